@@ -5,10 +5,33 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import imatch, urlrules
+from . import exactdedup, imatch, sharding, urlrules
 from .common import read
 
 
+def op1_histogram_shards(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard_by_bytes(docs, 8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op3_exact_dedup(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return exactdedup.dedup_table(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP3_SQL = """
+with n as (
+  select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as text_sha256
+  from documents
+)
+select doc_id, max(doc_id) over w as keep_id, cast(count(*) over w as bigint) as group_size,
+       doc_id = max(doc_id) over w as kept, text_sha256
+from n window w as (partition by text_sha256)
+"""
+
+
 def op7_imatch(spark, sf_dir):
     return imatch.edited_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -18,6 +41,6 @@ def op10_url_rules(spark, sf_dir):
     return urlrules.judge_urls(pages, urlrules.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op7_imatch": op7_imatch, "op10_url_rules": op10_url_rules}
+QUERIES = {"op1_histogram_shards": op1_histogram_shards, "op3_exact_dedup": op3_exact_dedup, "op7_imatch": op7_imatch, "op10_url_rules": op10_url_rules}
 
-ORACLES = {}
+ORACLES = {"op3_exact_dedup": OP3_SQL}
