@@ -94,3 +94,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 2
             scratch.drop(both)
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+
+
+def worker_cache(name: str) -> dict:
+    """A dict that lives as long as the Python worker, whichever task asks."""
+    import sys
+    import types
+
+    home = sys.modules.setdefault("_marginalia_worker", types.ModuleType("_marginalia_worker"))
+    return home.__dict__.setdefault(name, {})

@@ -5,10 +5,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exactdedup, imatch, sharding, urlrules
+from . import exactdedup, imatch, packing, pieces, sharding, urlrules
 from .common import read
 
 
+def tokenizer_file(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_histogram_shards(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard_by_bytes(docs, 8).select(
@@ -16,6 +22,19 @@ def op1_histogram_shards(spark, sf_dir):
     )
 
 
+def op2_residual_packing(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    cut, places = packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), 2048, 0)
+    digests = cut.select("uid", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return digests.join(places, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op9_piece_rounds(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.encode_texts(docs, tokenizer_file("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return exactdedup.dedup_table(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -41,6 +60,6 @@ def op10_url_rules(spark, sf_dir):
     return urlrules.judge_urls(pages, urlrules.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_histogram_shards": op1_histogram_shards, "op3_exact_dedup": op3_exact_dedup, "op7_imatch": op7_imatch, "op10_url_rules": op10_url_rules}
+QUERIES = {"op1_histogram_shards": op1_histogram_shards, "op2_residual_packing": op2_residual_packing, "op3_exact_dedup": op3_exact_dedup, "op9_piece_rounds": op9_piece_rounds, "op7_imatch": op7_imatch, "op10_url_rules": op10_url_rules}
 
 ORACLES = {"op3_exact_dedup": OP3_SQL}
