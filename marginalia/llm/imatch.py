@@ -3,7 +3,8 @@
 Terms whose document frequency lies in a band (neither rare nor common) form
 the lexicon.  Each of several randomised subsets of the lexicon keeps a term
 by its hash; a document's terms in a subset are sorted and hashed together.
-Subsets of several densities serve short and long documents alike.
+Subsets come in families of falling density, each inside the one before, so
+that short and long documents alike have subsets with a few of their terms.
 
 Everything here is DataFrame code: no Python runs on the executors.
 """
@@ -17,74 +18,59 @@ from .common import Scratch
 
 #: Band of relative document frequency, lower and upper end inclusive.
 BAND = (0.002, 0.1)
-#: Subset j keeps a term with probability 2 ** -DENSITY[j].
-DENSITY = tuple(r for r in range(1, 9) for _ in range(4))
+#: Families of subsets; level r of a family keeps a term with probability 2 ** -r.
+FAMILIES, LEVELS = 8, 8
 #: Slots with at most so many terms on either side decide a likeness.
 SPARSE = 2
 #: A lexicon of at most so many terms is broadcast; beyond it, it is joined.
 BROADCAST_TERMS = 1_000_000
+#: Rows for which one range of doc_id is meant, and the most ranges.
+RANGE_ROWS, MOST_RANGES = 1024, 4096
 
 
 def distinct_terms(text):
     """Distinct lower-cased runs of letters and digits."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
 
 
-def lexicon(documents: DataFrame, band=BAND, density=DENSITY) -> DataFrame:
-    """(term, mask) of the terms in the band; bit j of mask: in subset j.
+def lexicon(documents: DataFrame, n: int, band=BAND) -> DataFrame:
+    """(term, depth) of the terms in the band, of ``n`` documents.
 
-    The lower end is at least two documents.  As the band is relative, the
-    lexicon has at most (mean distinct terms per document) / band[0] terms,
-    whatever the number of documents.
+    ``depth`` has four bits for each family: the deepest level that keeps the
+    term.  The lower end is at least two documents.  As the band is relative,
+    the lexicon has at most (mean distinct terms per document) / band[0]
+    terms, whatever the number of documents.
     """
-    n = documents.count()
     seen = documents.select(F.explode(distinct_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     kept = seen.where((F.col("df") >= max(2, band[0] * n)) & (F.col("df") <= band[1] * n))
-    bits = [F.when(F.expr(f"xxhash64(term, {j}) & {2**r - 1}") == 0, F.lit(1 << j).cast("long")).otherwise(F.lit(0).cast("long")) for j, r in enumerate(density)]
-    mask = bits[0]
-    for b in bits[1:]:
-        mask = mask.bitwiseOR(b)
-    return kept.select("term", mask.alias("mask"))
+    families = []
+    for f in range(FAMILIES):
+        levels = " + ".join(f"int(xxhash64(term, {f}) & {2**r - 1} = 0)" for r in range(1, LEVELS + 1))
+        families.append(f"shiftleft(bigint({levels}), {4 * f})")
+    return kept.select("term", F.expr(" | ".join(families)).alias("depth"))
 
 
-def _slots(terms, density):
-    """Per subset: terms in it and their hash, like ``2:0a1b2c3d``; ``-`` if
-    there is none."""
+def _slot(terms):
+    """Terms in a subset and their hash, like ``2:0A1B2C``; ``-`` for none."""
+    printed = F.substring(F.lpad(F.hex(F.xxhash64(F.transform(terms, lambda t: t["term"]))), 16, "0"), 11, 6)
+    return F.when(F.size(terms) > 0, F.concat(F.size(terms).cast("string"), F.lit(":"), printed)).otherwise("-")
 
-    def one(j):
-        inside = F.filter(terms, lambda t: t["mask"].bitwiseAND(F.lit(1 << j).cast("long")) != 0)
-        named = F.transform(F.array(inside), lambda a: F.when(F.size(a) > 0, F.concat(F.size(a).cast("string"), F.lit(":"), F.substring(F.lpad(F.hex(F.xxhash64(F.transform(a, lambda t: t["term"]))), 16, "0"), 9, 8))).otherwise("-"))
-        return named[0]
 
-    return F.array_join(F.array(*[one(j) for j in range(len(density))]), " ")
+def _family(terms, f: int, level: int = 1):
+    """Slots of one family from ``level`` on; each level filters the last."""
+    floor = F.lit(level << (4 * f)).cast("long")
+    inside = F.filter(terms, lambda t: t["depth"].bitwiseAND(F.lit(15 << (4 * f)).cast("long")) >= floor)
+    if level == LEVELS:
+        return F.transform(F.array(inside), _slot)
+    return F.flatten(F.transform(F.array(inside), lambda a: F.concat(F.array(_slot(a)), _family(a, f, level + 1))))
 
 
-def fingerprints(keyed: DataFrame, words: DataFrame, whole: dict[str, str], density=DENSITY, flags=("fingerprint",)) -> DataFrame:
-    """One fingerprint column per flag for every row of ``keyed``.
-
-    ``keyed``: key columns, the text columns named in ``whole`` (flag -> text
-    column) and ``terms``, an array of structs (term, bits) whose bit i says
-    that the term occurs in the text of flag i.  ``words``: the lexicon.  A
-    text without a term in any subset has ``=`` and a hash of itself instead.
-    """
-    keys = [c for c in keyed.columns if c != "terms" and c not in whole.values()]
-    small = words.count() <= BROADCAST_TERMS
-    rows = keyed.select(*keys, *[F.xxhash64(c).alias(f"_h{i}") for i, c in enumerate(whole.values())], F.explode_outer("terms").alias("t")).select(
-        *keys, *[f"_h{i}" for i in range(len(flags))], F.col("t.term").alias("term"), F.col("t.bits").alias("bits")
-    )
-    found = rows.join(F.broadcast(words) if small else words, "term", "left")
-    per = found.groupBy(*keys).agg(
-        *[F.first(f"_h{i}").alias(f"_h{i}") for i in range(len(flags))],
-        F.array_sort(F.collect_list(F.when(F.col("mask") != 0, F.struct("term", "mask", "bits")))).alias("hits"),
-    )
-    out = []
-    for i, flag in enumerate(flags):
-        bit = F.lit(1 << i)
-        hits = F.filter("hits", lambda t: t["bits"].bitwiseAND(bit) != 0)  # noqa: B023
-        out.append(_slots(hits, density).alias(flag))
-    none = " ".join("-" * len(density))
-    sliced = per.select(*keys, *[f"_h{i}" for i in range(len(flags))], *out)
-    return sliced.select(*keys, *[F.when(F.col(f) == none, F.concat(F.lit("="), F.hex(f"_h{i}"))).otherwise(F.col(f)).alias(f) for i, f in enumerate(flags)])
+def fingerprint(terms, text_hash):
+    """Slots of sorted structs (term, depth); ``=`` and the text's hash if no
+    subset has a term of it."""
+    slots = F.array_join(F.concat(*[_family(terms, f) for f in range(FAMILIES)]), " ")
+    none = " ".join("-" * (FAMILIES * LEVELS))
+    return F.when(slots == none, F.concat(F.lit("="), F.hex(text_hash))).otherwise(slots)
 
 
 def likeness(a, b):
@@ -103,38 +89,18 @@ def likeness(a, b):
     return F.when(a == b, 1.0).when(a.startswith("=") | b.startswith("="), 0.0).when(F.size(sparse) > 0, share(sparse)).otherwise(share(full))
 
 
-def neighbours(documents: DataFrame, scratch: Scratch) -> DataFrame:
-    """For each distinct (doc_id, sha) of ``documents`` (doc_id, sha, n): the
-    next and the previous one in ascending order, the first following the
-    last.  Rows: doc_id, sha, n, next_id, next_sha, prev_id, prev_sha, prev_n.
-
-    Ids are range-partitioned, so no task holds more than its range; only the
-    first and last row of each partition pass through one task.
-    """
-    ids = documents.groupBy("doc_id", "sha").agg(F.max("n").alias("n"))
-    ranged = scratch.save(ids.repartitionByRange("doc_id", "sha").select("*", F.spark_partition_id().alias("part")))
-    me = F.struct("doc_id", "sha", "n")
-    ends = ranged.groupBy("part").agg(F.min(me).alias("lo"), F.max(me).alias("hi"))
-    every = Window.orderBy("part")
-    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = scratch.save(
-        ends.select(
-            "part",
-            F.coalesce(F.lead("lo").over(every), F.first("lo").over(whole)).alias("after"),
-            F.coalesce(F.lag("hi").over(every), F.last("hi").over(whole)).alias("before"),
-        )
-    )
-    w = Window.partitionBy("part").orderBy("doc_id", "sha")
-    near = ranged.select("*", F.lead(me).over(w).alias("nx"), F.lag(me).over(w).alias("pv")).join(ends, "part")
-    nx, pv = F.coalesce("nx", "after"), F.coalesce("pv", "before")
-    return scratch.save(
-        near.select(
-            "doc_id", "sha", "n", nx["doc_id"].alias("next_id"), nx["sha"].alias("next_sha"), pv["doc_id"].alias("prev_id"), pv["sha"].alias("prev_sha"), pv["n"].alias("prev_n")
-        )
-    )
+def range_of(column, bounds: list[int]):
+    """Number of ascending ``bounds`` that are at most ``column``, found among
+    some coarse bounds and then among the fine ones between two of these."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    coarse = F.size(F.filter(F.lit(bounds[::step]), lambda b: b <= column))
+    fine = F.size(F.filter(F.slice(F.lit(bounds), (coarse - 1) * step + 1, F.lit(step)), lambda b: b <= column))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine)
 
 
-def edited_fingerprints(documents: DataFrame, band=BAND, density=DENSITY) -> DataFrame:
+def edited_fingerprints(documents: DataFrame, band=BAND) -> DataFrame:
     """Fingerprints of every text and of its edited text.
 
     Edited: the last floor(n_chars / 4) code points give way to the first as
@@ -142,42 +108,58 @@ def edited_fingerprints(documents: DataFrame, band=BAND, density=DENSITY) -> Dat
     the last.  Returns doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next.
 
+    Whole texts move once, to ranges of doc_id, and what follows stays there;
+    between ranges only their first rows move.
+
     Null text counts as empty; a null doc_id comes first.  Rows with one
-    doc_id are taken in the order of their texts' SHA-256, and repeated rows
-    with one text count once in that order; each row is returned.  A lone
+    doc_id follow each other in the order of their texts' SHA-256.  A lone
     document is its own next one.  An empty table gives an empty one.  Other
     columns are ignored.
     """
     scratch = Scratch(documents.sparkSession)
-    docs = documents.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    words = scratch.save(lexicon(docs, band, density))
-    docs = docs.select("doc_id", F.sha2("text", 256).alias("sha"), "text")
-    order = neighbours(docs.select("doc_id", "sha", F.length("text").cast("long").alias("n")), scratch)
-    # what each document lends to the one before it
-    lent = (
-        docs.join(order, ["doc_id", "sha"])
-        .select(F.col("prev_id").alias("doc_id"), F.col("prev_sha").alias("sha"), F.expr("substring(text, 1, int(prev_n div 4))").alias("lent"))
-        .groupBy("doc_id", "sha")
-        .agg(F.first("lent").alias("lent"))
-    )
-    n = F.length("text").cast("long")
-    edited = F.concat(F.expr("substring(text, 1, int(length(text) - length(text) div 4))"), F.col("lent"))
-    both = docs.withColumn("row", F.monotonically_increasing_id()).join(lent, ["doc_id", "sha"]).select("doc_id", "sha", "row", n.alias("n_chars"), "text", edited.alias("edited"))
+    docs = documents.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    n = docs.count()
+    words = scratch.save(lexicon(docs, n, band))
+    small = words.count() <= BROADCAST_TERMS
+    many = min(MOST_RANGES, max(1, n // RANGE_ROWS))
+    found = docs.agg(F.percentile_approx("id", [i / many for i in range(1, many)], 100 * many)).first()[0] if many > 1 else []
+    bounds = sorted(set(found))
+    ranged = docs.select("id", F.sha2("text", 256).alias("sha"), "text", range_of(F.col("id"), bounds).alias("part"))
+    key = F.struct("id", "sha")
+    # the first text of each range, and how much of it the last row before it takes: a row per range
+    firsts = ranged.groupBy("part").agg(F.min_by("text", key).alias("first_text"), F.max_by(F.length("text"), key).alias("n_last"))
+    every = Window.orderBy("part")
+    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    follow = F.coalesce(F.lead("first_text").over(every), F.first("first_text").over(whole))
+    ends = scratch.save(scratch.save(firsts).select("part", F.substring(follow, F.lit(1), F.floor(F.col("n_last") / 4).cast("int")).alias("after")))
+    w = Window.partitionBy("part").orderBy("id", "sha")
+    quarter = F.floor(F.length("text") / 4).cast("int")
+    lent = F.coalesce(F.substring(F.lead("text").over(w), F.lit(1), quarter), F.col("after"))
+    rows = ranged.join(ends, "part").select("part", "id", "sha", "text", F.row_number().over(w).alias("row"), lent.alias("lent"))
+    both = rows.select("part", "id", "row", "text", F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), "lent").alias("edited"))
     a, b = F.col("a"), F.col("b")
     mark = lambda xs, bits: F.transform(xs, lambda t: F.struct(t.alias("term"), F.lit(bits).alias("bits")))
-    keyed = both.select("doc_id", "sha", "row", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", distinct_terms(F.col("text")).alias("a"), distinct_terms(F.col("edited")).alias("b")).select(
-        "doc_id", "sha", "row", "n_chars", "edited_sha256", "text", "edited", F.concat(mark(F.array_intersect(a, b), 3), mark(F.array_except(a, b), 1), mark(F.array_except(b, a), 2)).alias("terms")
+    about = F.struct("id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("h"), F.xxhash64("edited").alias("edited_h"))
+    marked = both.select("part", "row", about.alias("about"), distinct_terms(F.col("text")).alias("a"), distinct_terms(F.col("edited")).alias("b")).select(
+        "part", "row", "about", F.concat(mark(F.array_intersect(a, b), 3), mark(F.array_except(a, b), 1), mark(F.array_except(b, a), 2), F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("bits")))).alias("terms")
+    )
+    spread = marked.select("part", "row", "about", F.explode("terms").alias("t")).select("part", "row", F.when(F.col("t.term").isNull(), F.col("about")).alias("about"), F.col("t.term").alias("term"), F.col("t.bits").alias("bits"))
+    hits = spread.join(F.broadcast(words) if small else words, "term", "left").where("depth > 0 or about is not null")
+    per = hits.groupBy("part", "row").agg(F.max("about").alias("about"), F.array_sort(F.collect_list(F.when(F.col("depth") > 0, F.struct("term", "depth", "bits")))).alias("hits"))
+    of = lambda bit: F.filter("hits", lambda t: t["bits"].bitwiseAND(F.lit(bit)) != 0)
+    printed = scratch.save(
+        per.select("part", "row", "about", fingerprint(of(1), F.col("about.h")).alias("fingerprint"), fingerprint(of(2), F.col("about.edited_h")).alias("edited_fingerprint"))
+        .select("*", F.lead("fingerprint").over(Window.partitionBy("part").orderBy("row")).alias("next"))
     )
-    prints = scratch.save(fingerprints(keyed, words, {"fingerprint": "text", "edited_fingerprint": "edited"}, density, ("fingerprint", "edited_fingerprint")))
-    nexts = order.select("doc_id", "sha", F.col("next_id").alias("d2"), F.col("next_sha").alias("s2"))
-    other = prints.groupBy(F.col("doc_id").alias("d2"), F.col("sha").alias("s2")).agg(F.first("fingerprint").alias("next_fingerprint"))
-    out = prints.join(nexts, ["doc_id", "sha"]).join(other, ["d2", "s2"])
+    opening = scratch.save(printed.where("row = 1").select("part", "fingerprint"))
+    opening = opening.select("part", F.coalesce(F.lead("fingerprint").over(every), F.first("fingerprint").over(whole)).alias("other"))
+    out = printed.join(opening, "part")
     return out.select(
-        F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"),
-        "n_chars",
-        "edited_sha256",
+        F.when(F.col("about.id") != -(2**63), F.col("about.id")).alias("doc_id"),
+        "about.n_chars",
+        "about.edited_sha256",
         "fingerprint",
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        likeness(F.col("fingerprint"), F.coalesce("next", "other")).alias("near_next"),
     )

@@ -22,22 +22,13 @@ from .common import Scratch, worker_cache
 
 #: Items of one local round; bins that a node passes on; nodes that one node merges.
 GROUP_ITEMS, PASSED, FAN_IN = 4096, 16, 16
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 600_000
-
-#: White space other than the blank, as the pre-tokeniser's pattern takes it.
-_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0  -     　"
-_BESIDE_BLANK = re.compile(f" [ {_SPACES}]|[{_SPACES}] |[\x1c-\x1f\x85\xa0  -     　]")
-
 
 class ByteBpe:
     """Token ids of a byte-level BPE vocabulary file of the ``tokenizers``
     library, as little-endian 32-bit bytes.
 
     The merges run in ``tiktoken``, which gives the same ids some five times
-    as fast.  A blank between two other characters always starts a new
-    pre-token, so ids are kept for each blank-separated word; a text with
-    other white space beside a blank is encoded whole.
+    as fast.
     """
 
     def __init__(self, path: str):
@@ -50,7 +41,6 @@ class ByteBpe:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the byte-level pre-tokeniser's pattern
         self.encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.words: dict[str, bytes] = {}
 
     @staticmethod
     def _byte_chars() -> dict[str, int]:
@@ -62,26 +52,10 @@ class ByteBpe:
     def _raw(self, text: str) -> bytes:
         return array("I", self.encoding.encode_ordinary(text)).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            found = self.words[word] = self._raw(word)
-        return found
-
     def encode(self, text: str) -> bytes:
         if self.at_special and any(s in text for s in self.special):
             return b"".join(np.array([self.special[part]], "<u4").tobytes() if part in self.special else self.encode(part) for part in self.at_special.split(text) if part)
-        if _BESIDE_BLANK.search(text):
-            return self._raw(text)
-        first, *rest = text.split(" ")
-        get, word = self.words.get, self._word
-        out = [word(first)] if first else []
-        for w in rest:
-            w = " " + w
-            out.append(get(w) or word(w))
-        return b"".join(out)
+        return self._raw(text)
 
 
 def tokenise(documents: DataFrame, vocabulary: str, length: int, end_id: int) -> DataFrame:
