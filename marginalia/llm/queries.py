@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exactdedup, imatch, packing, pieces, sharding, urlrules
+from . import exactdedup, htmltext, imatch, langid, packing, pieces, sharding, urlrules
 from .common import read
 
 
@@ -29,6 +29,15 @@ def op2_residual_packing(spark, sf_dir):
     return digests.join(places, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_host_suffix_text(spark, sf_dir):
+    out = htmltext.main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_cross_parsing(spark, sf_dir):
+    return langid.identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op9_piece_rounds(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = pieces.encode_texts(docs, tokenizer_file("piece_bpe_32k.model"))
@@ -60,6 +69,6 @@ def op10_url_rules(spark, sf_dir):
     return urlrules.judge_urls(pages, urlrules.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_histogram_shards": op1_histogram_shards, "op2_residual_packing": op2_residual_packing, "op3_exact_dedup": op3_exact_dedup, "op9_piece_rounds": op9_piece_rounds, "op7_imatch": op7_imatch, "op10_url_rules": op10_url_rules}
+QUERIES = {"op1_histogram_shards": op1_histogram_shards, "op2_residual_packing": op2_residual_packing, "op3_exact_dedup": op3_exact_dedup, "op4_host_suffix_text": op4_host_suffix_text, "op8_cross_parsing": op8_cross_parsing, "op9_piece_rounds": op9_piece_rounds, "op7_imatch": op7_imatch, "op10_url_rules": op10_url_rules}
 
 ORACLES = {"op3_exact_dedup": OP3_SQL}
