@@ -42,7 +42,7 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/t{self._n}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
