@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pandas as pd
@@ -143,7 +144,7 @@ def smallest_owner(segments: list[bytes], owners: np.ndarray, length: int = LENG
     return [best[s : s + max(0, n - length + 1)] for s, n in zip(starts.tolist(), lens.tolist(), strict=True)]
 
 
-_BLOCK = "block long, ids binary, lengths binary, shas binary, body binary"
+_BLOCK = "block long, ids binary, lengths binary, shas binary, body binary, carried binary"
 
 
 def lay_out(documents: DataFrame) -> DataFrame:
@@ -153,7 +154,7 @@ def lay_out(documents: DataFrame) -> DataFrame:
     def run(batches):
         n = TaskContext.get().partitionId() << 40
         pack = zstandard.ZstdCompressor(level=3)
-        ids, texts, size = [], [], 0
+        ids, texts, carried, size = [], [], [], 0
 
         def block():
             return pd.DataFrame(
@@ -163,18 +164,20 @@ def lay_out(documents: DataFrame) -> DataFrame:
                     "lengths": [np.array([len(t) for t in texts], np.int64).tobytes()],
                     "shas": [b"".join(hashlib.sha256(t).digest() for t in texts)],
                     "body": [pack.compress(b"".join(texts))],
+                    "carried": [pack.compress(json.dumps(carried).encode())],
                 }
             )
 
         for pdf in batches:
-            for i, t in zip(pdf["id"].tolist(), pdf["text"], strict=True):
+            for i, t, c in zip(pdf["id"].tolist(), pdf["text"], pdf["carried"], strict=True):
+                carried.append(c)
                 t = t.encode("utf-8", "replace")
                 ids.append(i)
                 texts.append(t)
                 size += len(t)
                 if size >= BLOCK_BYTES or len(ids) >= 65_536:
                     yield block()
-                    ids, texts, size, n = [], [], 0, n + 1
+                    ids, texts, carried, size, n = [], [], [], 0, n + 1
         if ids:
             yield block()
 
@@ -186,7 +189,7 @@ def _body(row) -> tuple[np.ndarray, np.ndarray, bytes]:
     return np.frombuffer(row.ids, np.int64), np.frombuffer(row.lengths, np.int64), raw
 
 
-def dedup(documents: DataFrame) -> DataFrame:
+def dedup(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """What is left of each text without repeated strings.
 
     A byte goes if a string of ``LENGTH`` bytes that covers it also starts in
@@ -196,11 +199,13 @@ def dedup(documents: DataFrame) -> DataFrame:
 
     Null text counts as empty, a null doc_id as smaller than any other.  Rows
     that share a doc_id don't remove each other's bytes.  Repeated rows are
-    each returned; an empty table gives an empty one; other columns are
-    ignored.
+    each returned; an empty table gives an empty one.  Of the other columns
+    those named in ``carry`` are returned too.
     """
     scratch = Scratch(documents.sparkSession)
-    docs = documents.select(F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    packed = F.struct(F.lit(0).alias("_"), *carry)
+    kind = documents.select(packed.alias("c")).schema["c"].dataType.simpleString()
+    docs = documents.select(F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.to_json(packed).alias("carried"))
     blocks = scratch.save(lay_out(docs))
 
     # equal texts: all but those of the smallest doc_id go whole, so that only these are searched
@@ -354,13 +359,14 @@ def dedup(documents: DataFrame) -> DataFrame:
                 for i in np.asarray(r.skipped if r.skipped is not None else [], np.int64):
                     covered[begin[i] : ends[i]] = lengths[i] >= LENGTH
                 body = np.frombuffer(raw, np.uint8)
-                out = []
+                out, carried = [], json.loads(zstandard.ZstdDecompressor().decompress(r.carried))
                 for i in range(len(ids)):
                     c = covered[begin[i] : ends[i]]
                     spans = int(c[:1].sum() + (c[1:] & ~c[:-1]).sum())
-                    out.append((ids[i], lengths[i], int(c.sum()), spans, body[begin[i] : ends[i]][~c].tobytes()))
-                yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+                    out.append((ids[i], lengths[i], int(c.sum()), spans, body[begin[i] : ends[i]][~c].tobytes(), carried[i]))
+                yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept", "carried"])
 
-    last = blocks.select("block", "ids", "lengths", "body").join(answers, "block", "left").join(skipped, "block", "left")
-    done = last.mapInPandas(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return done.select(F.when(F.col("id") != -(2**63), F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    last = blocks.select("block", "ids", "lengths", "body", "carried").join(answers, "block", "left").join(skipped, "block", "left")
+    done = last.mapInPandas(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary, carried string")
+    named = F.from_json("carried", kind)
+    return done.select(F.when(F.col("id") != -(2**63), F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", *[named[c].alias(c) for c in carry])

@@ -166,7 +166,7 @@ class CrossParser:
         return total, has
 
 
-def identify(documents: DataFrame, batch: int = 256) -> DataFrame:
+def identify(documents: DataFrame, carry: tuple[str, ...] = (), batch: int = 256) -> DataFrame:
     """Language of every whole text, learned from rows of the same table.
 
     ``documents``: doc_id, text, lang.  Learns from a bounded sample of rows
@@ -178,7 +178,8 @@ def identify(documents: DataFrame, batch: int = 256) -> DataFrame:
     Null text or text without a letter, or nothing to learn from: ``und``
     with score 0.  Ties go to the first language in order.  A null doc_id
     isn't held out.  Repeated rows are each returned, an empty table gives an
-    empty one, other columns are ignored.
+    empty one.  Of the other columns those named in ``carry`` are returned
+    too; names that clash with the results are theirs to avoid.
     """
     docs = documents.select("doc_id", "text", "lang")
     sample = labelled_sample(docs)
@@ -201,7 +202,13 @@ def identify(documents: DataFrame, batch: int = 256) -> DataFrame:
                     weight = 2.0 ** -np.minimum(bits - bits.min(axis=0), 1000)
                     lang = np.where(has, np.array(parser.languages, object)[best], "und")
                     score = np.where(has, 1 / weight.sum(axis=0), 0.0)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "held_out": part["held_out"], "lang_pred": lang, "score": score})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "held_out": part["held_out"], "lang_pred": lang, "score": score, "carried": part["carried"]})
+
+    packed = F.struct(F.lit(0).alias("_"), *carry)
+    kind = documents.select(packed.alias("c")).schema["c"].dataType.simpleString()
+    rows = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"), F.to_json(packed).alias("carried")
+    )
+    out = rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, carried string")
+    named = F.from_json("carried", kind)
+    return out.select("doc_id", "held_out", "lang_pred", "score", *[named[c].alias(c) for c in carry])

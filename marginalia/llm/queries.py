@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bwtdedup, exactdedup, htmltext, imatch, langid, packing, pieces, sharding, urlrules
+from . import bwtdedup, exactdedup, htmltext, imatch, langid, orderhash, packing, pieces, sharding, urlrules
 from .common import read
 
 
@@ -39,6 +39,10 @@ def op5_merged_transforms(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_order_minhash(spark, sf_dir):
+    return orderhash.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_cross_parsing(spark, sf_dir):
     return langid.identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -74,6 +78,6 @@ def op10_url_rules(spark, sf_dir):
     return urlrules.judge_urls(pages, urlrules.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_histogram_shards": op1_histogram_shards, "op2_residual_packing": op2_residual_packing, "op3_exact_dedup": op3_exact_dedup, "op4_host_suffix_text": op4_host_suffix_text, "op5_merged_transforms": op5_merged_transforms, "op8_cross_parsing": op8_cross_parsing, "op9_piece_rounds": op9_piece_rounds, "op7_imatch": op7_imatch, "op10_url_rules": op10_url_rules}
+QUERIES = {"op1_histogram_shards": op1_histogram_shards, "op2_residual_packing": op2_residual_packing, "op3_exact_dedup": op3_exact_dedup, "op4_host_suffix_text": op4_host_suffix_text, "op5_merged_transforms": op5_merged_transforms, "op6_order_minhash": op6_order_minhash, "op8_cross_parsing": op8_cross_parsing, "op9_piece_rounds": op9_piece_rounds, "op7_imatch": op7_imatch, "op10_url_rules": op10_url_rules}
 
 ORACLES = {"op3_exact_dedup": OP3_SQL}
