@@ -1,4 +1,8 @@
 """Registry of queries over the driver's tables, and their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from . import q_events, q_people, q_scoring, q_store, q_text
+
+QUERIES, ORACLES = {}, {}
+for _part in (q_store, q_text, q_scoring, q_events, q_people):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
