@@ -1,10 +1,13 @@
 """I-Match document fingerprints.
 
 Terms whose document frequency lies in a band (neither rare nor common) form
-the lexicon.  Each of several randomised subsets of the lexicon keeps a term
-by its hash; a document's terms in a subset are sorted and hashed together.
-Subsets come in families of falling density, each inside the one before, so
-that short and long documents alike have subsets with a few of their terms.
+the lexicon.  Each of several randomised subsets of the lexicon keeps a term by
+its hash; a document's distinct terms in a subset are hashed together.  The
+hash of a set adds up (by exclusive or) the hashes of its terms: it is the
+same for every order, as if the terms had been sorted first, and it is an
+ordinary aggregate.  Subsets come in families of falling density, each inside
+the one before, so that short and long documents alike have subsets with a few
+of their terms.
 
 Everything here is DataFrame code: no Python runs on the executors.
 """
@@ -18,75 +21,57 @@ from .common import Scratch
 
 #: Band of relative document frequency, lower and upper end inclusive.
 BAND = (0.002, 0.1)
-#: Families of subsets; level r of a family keeps a term with probability 2 ** -r.
-FAMILIES, LEVELS = 8, 8
-#: Slots with at most so many terms on either side decide a likeness.
-SPARSE = 2
+#: Families of subsets, and their levels; level r keeps a term with probability 2 ** -r.
+FAMILIES, LEVELS = 8, range(2, 9)
 #: A lexicon of at most so many terms is broadcast; beyond it, it is joined.
 BROADCAST_TERMS = 1_000_000
 #: Rows for which one range of doc_id is meant, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 1024, 4096
 
 
+#: What a document's row without a term carries: its id, length, hashes, and the edited text's SHA-256 as four numbers.
+_KNOWN = ("id", "n_chars", "h1", "h2", "e0", "e1", "e2", "e3")
+
+
 def distinct_terms(text):
     """Distinct lower-cased runs of letters and digits."""
     return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
 
 
 def lexicon(documents: DataFrame, n: int, band=BAND) -> DataFrame:
-    """(term, depth) of the terms in the band, of ``n`` documents.
+    """(term, h, cells) of the terms in the band, of ``n`` documents: the
+    term's hash and the subsets that keep it.
 
-    ``depth`` has four bits for each family: the deepest level that keeps the
-    term.  The lower end is at least two documents.  As the band is relative,
-    the lexicon has at most (mean distinct terms per document) / band[0]
-    terms, whatever the number of documents.
+    The lower end is at least two documents.  As the band is relative, the
+    lexicon has at most (mean distinct terms per document) / band[0] terms,
+    whatever the number of documents.
     """
-    seen = documents.select(F.explode(distinct_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    seen = documents.select(F.explode_outer(distinct_terms(F.coalesce("text", F.lit("")))).alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     kept = seen.where((F.col("df") >= max(2, band[0] * n)) & (F.col("df") <= band[1] * n))
-    families = []
-    for f in range(FAMILIES):
-        levels = " + ".join(f"int(xxhash64(term, {f}) & {2**r - 1} = 0)" for r in range(1, LEVELS + 1))
-        families.append(f"shiftleft(bigint({levels}), {4 * f})")
-    return kept.select("term", F.expr(" | ".join(families)).alias("depth"))
-
-
-def _slot(terms):
-    """Terms in a subset and their hash, like ``2:0A1B2C``; ``-`` for none."""
-    printed = F.substring(F.lpad(F.hex(F.xxhash64(F.transform(terms, lambda t: t["term"]))), 16, "0"), 11, 6)
-    return F.when(F.size(terms) > 0, F.concat(F.size(terms).cast("string"), F.lit(":"), printed)).otherwise("-")
-
-
-def _family(terms, f: int, level: int = 1):
-    """Slots of one family from ``level`` on; each level filters the last."""
-    floor = F.lit(level << (4 * f)).cast("long")
-    inside = F.filter(terms, lambda t: t["depth"].bitwiseAND(F.lit(15 << (4 * f)).cast("long")) >= floor)
-    if level == LEVELS:
-        return F.transform(F.array(inside), _slot)
-    return F.flatten(F.transform(F.array(inside), lambda a: F.concat(F.array(_slot(a)), _family(a, f, level + 1))))
+    cells = [f"if(xxhash64(term, {f}) & {2**r - 1} = 0, {f * len(LEVELS) + i}, null)" for f in range(FAMILIES) for i, r in enumerate(LEVELS)]
+    return kept.select("term", F.xxhash64("term").alias("h"), F.expr(f"array_compact(array({', '.join(cells)}))").alias("cells")).where(F.size("cells") > 0)
 
 
-def fingerprint(terms, text_hash):
-    """Slots of sorted structs (term, depth); ``=`` and the text's hash if no
-    subset has a term of it."""
-    slots = F.array_join(F.concat(*[_family(terms, f) for f in range(FAMILIES)]), " ")
-    none = " ".join("-" * (FAMILIES * LEVELS))
-    return F.when(slots == none, F.concat(F.lit("="), F.hex(text_hash))).otherwise(slots)
+def slot(cell, n, h):
+    """A subset, the number of a text's terms in it and their hash, like
+    ``07:2:0A1B2C``; null if there is none."""
+    return F.when(n > 0, F.concat_ws(":", F.lpad(cell.cast("string"), 2, "0"), n.cast("string"), F.right(F.hex(h), F.lit(6))))
 
 
 def likeness(a, b):
     """Share of equal slots, 0 to 1.
 
-    Slots that are empty on both sides don't count.  If some slots have at
-    most ``SPARSE`` terms on either side, only those count: dense slots nearly
-    always differ after an edit.  Texts without any slot: 1 if equal, else 0.
-    Null on either side: null.
+    Slots that are empty on both sides don't count.  If some slots have one or
+    two terms on either side, only those count: dense slots nearly always
+    differ after an edit.  Texts without any slot: 1 if equal, else 0.  Null
+    on either side: null.
     """
-    pairs = F.arrays_zip(F.split(a, " ").alias("x"), F.split(b, " ").alias("y"))
-    count = lambda s: F.when(s == "-", 0).otherwise(F.split(s, ":")[0].cast("int"))
-    full = F.filter(pairs, lambda p: (p["x"] != "-") | (p["y"] != "-"))
-    sparse = F.filter(full, lambda p: (count(p["x"]) <= SPARSE) | (count(p["y"]) <= SPARSE))
-    share = lambda z: F.size(F.filter(z, lambda p: p["x"] == p["y"])) / F.size(z)
-    return F.when(a == b, 1.0).when(a.startswith("=") | b.startswith("="), 0.0).when(F.size(sparse) > 0, share(sparse)).otherwise(share(full))
+    each = lambda s, pattern, group: F.regexp_extract_all(s, F.lit(pattern), F.lit(group))
+    sparse = F.size(F.array_union(each(a, r"(\d+):[12]:", 1), each(b, r"(\d+):[12]:", 1)))
+    same_sparse = F.size(F.array_intersect(each(a, r"\d+:[12]:[0-9A-F]+", 0), each(b, r"\d+:[12]:[0-9A-F]+", 0)))
+    full = F.size(F.array_union(each(a, r"(\d+):\d+:", 1), each(b, r"(\d+):\d+:", 1)))
+    same = F.size(F.array_intersect(F.split(a, " "), F.split(b, " ")))
+    return F.when(a == b, 1.0).when(a.startswith("=") | b.startswith("="), 0.0).when(sparse > 0, same_sparse / sparse).otherwise(same / full)
 
 
 def range_of(column, bounds: list[int]):
@@ -137,27 +122,36 @@ def edited_fingerprints(documents: DataFrame, band=BAND) -> DataFrame:
     lent = F.coalesce(F.substring(F.lead("text").over(w), F.lit(1), quarter), F.col("after"))
     rows = ranged.join(ends, "part").select("part", "id", "sha", "text", F.row_number().over(w).alias("row"), lent.alias("lent"))
     both = rows.select("part", "id", "row", "text", F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), "lent").alias("edited"))
-    a, b = F.col("a"), F.col("b")
-    mark = lambda xs, bits: F.transform(xs, lambda t: F.struct(t.alias("term"), F.lit(bits).alias("bits")))
-    about = F.struct("id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("h"), F.xxhash64("edited").alias("edited_h"))
-    marked = both.select("part", "row", about.alias("about"), distinct_terms(F.col("text")).alias("a"), distinct_terms(F.col("edited")).alias("b")).select(
-        "part", "row", "about", F.concat(mark(F.array_intersect(a, b), 3), mark(F.array_except(a, b), 1), mark(F.array_except(b, a), 2), F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("bits")))).alias("terms")
+    sets = both.select("part", "row", "id", "text", "edited", distinct_terms(F.col("text")).alias("a"), distinct_terms(F.col("edited")).alias("b")).select(
+        "part", "row", "id", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("h1"), F.xxhash64("edited").alias("h2"), F.sha2("edited", 256).alias("sha"),
+        F.array_intersect("a", "b").alias("t3"), F.array_except("a", "b").alias("t1"), F.array_except("b", "a").alias("t2"), F.array(F.lit(None).cast("string")).alias("t0"),
+    )
+    # bit 0: in the text, bit 1: in the edited one; one more row, without a term, carries what is known of the document
+    sets = sets.select("part", "row", *_KNOWN[:4], *[F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("long").alias(f"e{i}") for i in range(4)], F.explode(F.array(*[F.struct(F.lit(i).alias("bits"), F.col(f"t{i}").alias("ts")) for i in range(4)])).alias("g"))
+    spread = sets.select("part", "row", *[F.when(F.col("g.bits") == 0, F.col(c)).alias(c) for c in _KNOWN], F.col("g.bits").alias("bits"), F.explode("g.ts").alias("term"))
+    hits = spread.join(F.broadcast(words) if small else words, "term", "left").where("cells is not null or bits = 0")
+    hits = hits.select("part", "row", *_KNOWN, "bits", "h", F.explode_outer("cells").alias("cell"))
+    inside = [F.col("bits").bitwiseAND(F.lit(bit)) != 0 for bit in (1, 2)]
+    cells = hits.groupBy("part", "row", "cell").agg(
+        *[F.max(c).alias(c) for c in _KNOWN],
+        *[F.bit_xor(F.when(x, F.col("h"))).alias(f"x{i}") for i, x in enumerate(inside)],
+        *[F.count(F.when(x, 1)).alias(f"n{i}") for i, x in enumerate(inside)],
     )
-    spread = marked.select("part", "row", "about", F.explode("terms").alias("t")).select("part", "row", F.when(F.col("t.term").isNull(), F.col("about")).alias("about"), F.col("t.term").alias("term"), F.col("t.bits").alias("bits"))
-    hits = spread.join(F.broadcast(words) if small else words, "term", "left").where("depth > 0 or about is not null")
-    per = hits.groupBy("part", "row").agg(F.max("about").alias("about"), F.array_sort(F.collect_list(F.when(F.col("depth") > 0, F.struct("term", "depth", "bits")))).alias("hits"))
-    of = lambda bit: F.filter("hits", lambda t: t["bits"].bitwiseAND(F.lit(bit)) != 0)
+    printed_slots = cells.select("part", "row", *_KNOWN, *[slot(F.col("cell"), F.col(f"n{i}"), F.col(f"x{i}")).alias(f"s{i}") for i in range(2)])
+    per = printed_slots.groupBy("part", "row").agg(*[F.max(c).alias(c) for c in _KNOWN], *[F.array_join(F.array_sort(F.collect_list(f"s{i}")), " ").alias(f"s{i}") for i in range(2)])
+    sha = F.lower(F.concat(*[F.lpad(F.hex(f"e{i}"), 16, "0") for i in range(4)]))
+    whole_text = lambda s, h: F.when(F.col(s) == "", F.concat(F.lit("="), F.hex(h))).otherwise(F.col(s))
     printed = scratch.save(
-        per.select("part", "row", "about", fingerprint(of(1), F.col("about.h")).alias("fingerprint"), fingerprint(of(2), F.col("about.edited_h")).alias("edited_fingerprint"))
+        per.select("part", "row", "id", "n_chars", sha.alias("edited_sha256"), whole_text("s0", "h1").alias("fingerprint"), whole_text("s1", "h2").alias("edited_fingerprint"))
         .select("*", F.lead("fingerprint").over(Window.partitionBy("part").orderBy("row")).alias("next"))
     )
     opening = scratch.save(printed.where("row = 1").select("part", "fingerprint"))
     opening = opening.select("part", F.coalesce(F.lead("fingerprint").over(every), F.first("fingerprint").over(whole)).alias("other"))
     out = printed.join(opening, "part")
     return out.select(
-        F.when(F.col("about.id") != -(2**63), F.col("about.id")).alias("doc_id"),
-        "about.n_chars",
-        "about.edited_sha256",
+        F.when(F.col("id") != -(2**63), F.col("id")).alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
