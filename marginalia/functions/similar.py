@@ -11,15 +11,20 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as D
 
 
-@F.pandas_udf("double")
+def _struct(**fields):
+    return D.StructType([D.StructField(k, v) for k, v in fields.items()])
+
+
+@F.pandas_udf(D.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp similarity; null counts as empty."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("struct<added: long, first: string>")
+@F.pandas_udf(_struct(added=D.LongType(), first=D.StringType()))
 def added_text(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     """Characters that a revision added, and the first run of them.  A
     revision that only appends is answered without an alignment."""
@@ -65,7 +70,7 @@ def find_quote(body: str, quote: str, least: float = 0.85) -> tuple[int, int] |
     return span if best >= least else None
 
 
-@F.pandas_udf("struct<start: int, end: int>")
+@F.pandas_udf(_struct(start=D.IntegerType(), end=D.IntegerType()))
 def locate_quote(body: pd.Series, quote: pd.Series) -> pd.DataFrame:
     found = [find_quote(b or "", q or "") or (None, None) for b, q in zip(body, quote, strict=True)]
     return pd.DataFrame(found, columns=["start", "end"]).astype("Int32")
@@ -97,7 +102,7 @@ def rebuild_paragraphs(raw: str) -> str:
     return "\n\n".join(pages)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(D.StringType())
 def paragraphs(raw: pd.Series) -> pd.Series:
     return raw.map(rebuild_paragraphs, na_action="ignore")
 
@@ -115,6 +120,6 @@ def log_errors(log: str) -> list[str]:
     return ["\n".join(e) for e in found]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(D.ArrayType(D.StringType()))
 def tex_errors(log: pd.Series) -> pd.Series:
     return log.map(lambda x: log_errors(x or ""))
