@@ -86,7 +86,7 @@ def splitters(sized: DataFrame, targets: list[tuple[int, int]], total: int) -> l
             starts = ends - g["bytes"].to_numpy()
             hash_ = rng[0]
             as_key = lambda k: (int(k), 2**63 - 1) if hash_ is None else (hash_, int(k))  # noqa: B023, E731
-            below = (rng[1] - 1, 2**63 - 1) if hash_ is None else (hash_, rng[1] - 1)
+            below = (rng[1] - 1, 2**63 - 1) if hash_ is None else (hash_, rng[1] - 1) if rng[1] > -(2**63) else (hash_ - 1, 2**63 - 1)
             cuts = [(abs(before - place), below), *((abs(int(e) - place), as_key(k)) for e, k in zip(ends, g["hi"], strict=True))]
             off, key = min(cuts)
             i = min(int(np.searchsorted(ends, place, "left")), len(g) - 1)
