@@ -33,7 +33,7 @@ def identify_language(spark, docs, sf_dir):
 def drop_exact_copies(spark, docs, sf_dir):
     """Of equal texts (A-Z folded) the row with the largest doc_id."""
     judged = exactdedup.dedup_table(docs)
-    gone = judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    gone = judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct().hint("merge")  # it grows with the corpus
     sha = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
     return docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")
 
@@ -41,7 +41,7 @@ def drop_exact_copies(spark, docs, sf_dir):
 def drop_near_copies(spark, docs, sf_dir):
     """Of each class of near-duplicates the row with the smallest doc_id."""
     judged = orderhash.classes(docs)
-    gone = judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    gone = judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct().hint("merge")  # it grows with the corpus
     hashed = F.xxhash64(F.coalesce("text", F.lit("")))
     return docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (hashed == F.col("_hash")), "left_anti")
 
