@@ -26,7 +26,7 @@ from .urlrules import host_of
 #: Tokens of a repeated run, and distinct pages that share it.
 RUN_TOKENS, RUN_PAGES = 8, 3
 #: Pages of one host whose streams are concatenated; larger hosts are dealt into such groups.
-GROUP_PAGES = 256
+GROUP_PAGES = 50
 #: Hosts above that size of which a table is broadcast; more are joined.
 BROADCAST_HOSTS = 100_000
 
