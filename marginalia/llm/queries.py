@@ -78,6 +78,38 @@ def op10_url_rules(spark, sf_dir):
     return urlrules.judge_urls(pages, urlrules.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+OP10_SQL = r"""
+with recursive rules(rule_host, rule_path, v) as (values
+  ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+links as (
+  select url as from_url, case when contains(t, '://') then t
+      when starts_with(t, '//') then regexp_extract(url, '^([^/?#]*):', 1) || ':' || t
+      when starts_with(t, '/') then regexp_extract(url, '^([^/?#]*://[^/?#]*)', 1) || t
+      when starts_with(t, '#') or starts_with(t, '?') then regexp_extract(url, '^([^/?#]*://[^/?#]*)', 1) || regexp_extract(url, '://[^/?#]*([^?#]*)', 1) || t
+      else regexp_extract(url, '^([^/?#]*://[^/?#]*)', 1) || coalesce(nullif(regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '[^/]*$', ''), ''), '/') || t end as to_url
+  from (
+    select url, regexp_extract(unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) as t from pages where url is not null
+    union all
+    select url, regexp_extract(unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')), '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) from pages where url is not null)
+  where t <> ''),
+urls as (
+  select url, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path,
+    array_to_string(list_filter(string_split(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), '&'), lambda q: q <> '' and not starts_with(q, 'utm_')), '&') as query
+  from (select distinct url from pages union select from_url from links union select to_url from links)),
+keyed as (select url, host, path, case when contains(url, '://') then host || path || case when query <> '' then '?' || query else '' end end as key from urls),
+fits as (
+  select url, rule_host || rule_path as rule, v, row_number() over (partition by url order by length(rule_host || rule_path) desc, v) as n
+  from keyed join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)),
+ruled as (select k.*, f.rule, f.v from keyed k left join fits f on f.url is not distinct from k.url and f.n = 1),
+e as (select distinct a.key as a, b.key as b from links l join keyed a on a.url = l.from_url join keyed b on b.url = l.to_url where a.key <> b.key),
+both_ways as (select a, b from e union select b, a from e),
+reach(a, b) as (select a, a from both_ways union select reach.a, both_ways.b from reach join both_ways on reach.b = both_ways.a),
+aliased as (select reach.a as key from reach join ruled on ruled.key = reach.b where v is not null group by reach.a having bool_or(v = 'block') and not bool_or(v = 'allow'))
+select page_id, r.host, r.path, r.rule, coalesce(r.v, case when r.key in (select key from aliased) then 'block' else 'allow' end) as verdict
+from pages p left join ruled r on r.url is not distinct from p.url
+"""
+
+
 QUERIES = {"op1_histogram_shards": op1_histogram_shards, "op2_residual_packing": op2_residual_packing, "op3_exact_dedup": op3_exact_dedup, "op4_host_suffix_text": op4_host_suffix_text, "op5_merged_transforms": op5_merged_transforms, "op6_order_minhash": op6_order_minhash, "op8_cross_parsing": op8_cross_parsing, "op9_piece_rounds": op9_piece_rounds, "op7_imatch": op7_imatch, "op10_url_rules": op10_url_rules}
 
-ORACLES = {"op3_exact_dedup": OP3_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op10_url_rules": OP10_SQL}
