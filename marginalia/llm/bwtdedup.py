@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 #: Bytes of a string that is removed; of a gram; grams in a window.
-LENGTH, GRAM = 50, 32
+LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
 #: Bytes of a block; names of a bucket; suffixes of a shard; windows of a segment.
 BLOCK_BYTES, BUCKET_NAMES, SHARD_SUFFIXES, SEGMENT_WINDOWS = 1 << 20, 1 << 17, 1 << 17, 64
@@ -42,9 +42,10 @@ def _hashes(body: np.ndarray) -> np.ndarray:
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
     while k < GRAM:
-        h = h[:-k] * np.uint64(m) + h[k:]
+        step = min(k, GRAM - k)  # the last one may overlap
+        h = h[:-step] * np.uint64(m) + h[step:]
         h ^= h >> np.uint64(31)
-        m, k = (m * m | 1) % 2**64, 2 * k
+        m, k = (m * m | 1) % 2**64, k + step
     return h
 
 
@@ -94,23 +95,24 @@ def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarr
     Symbol 0 ends a string; ends differ from each other, and those of earlier
     shards come first.  Returns for each place of the merged order its shard
     and its block; a shard's own suffixes keep their order."""
-    shard = np.repeat(np.arange(len(transforms)), [len(t) for t in transforms]).astype(np.uint16)
+    small = np.uint8 if len(transforms) < 256 else np.uint16
+    shard = np.repeat(np.arange(len(transforms), dtype=small), [len(t) for t in transforms])
     symbols = np.concatenate(transforms)
-    ends = np.repeat(np.arange(len(transforms)), [int((t == 0).sum()) for t in transforms]).astype(np.uint16)
-    block = np.zeros(len(shard), np.int64)
+    ends = np.repeat(np.arange(len(transforms), dtype=small), [int((t == 0).sum()) for t in transforms])
+    block = np.zeros(len(shard), np.int32)
+    merged = np.empty_like(symbols)
+    new = np.ones(len(shard), bool)
     for _ in range(depth):
         if block[-1] == len(block) - 1:
             break
-        at = np.argsort(shard, kind="stable")
-        merged = np.empty_like(symbols)
-        merged[at] = symbols
-        inner = np.flatnonzero(merged)
-        by = inner[np.argsort(merged[inner], kind="stable")]
+        merged[np.argsort(shard, kind="stable")] = symbols
+        # ends sort first and come from no suffix: what symbol 0 precedes falls away
+        by = np.argsort(merged, kind="stable")[len(ends) :]
         head, below = merged[by], block[by]
-        new = np.ones(len(block), bool)
-        new[len(ends) + 1 :] = (head[1:] != head[:-1]) | (below[1:] != below[:-1])
+        np.not_equal(head[1:], head[:-1], out=new[len(ends) + 1 :])
+        new[len(ends) + 1 :] |= below[1:] != below[:-1]
         shard = np.concatenate([ends, shard[by]])
-        block = np.cumsum(new) - 1
+        block = np.cumsum(new, dtype=np.int32) - 1
     return shard, block
 
 
@@ -282,59 +284,86 @@ def dedup(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                     hit &= ~np.isin(text[at], np.asarray(r.skipped, np.int64))
                 stop = np.r_[at[1:], len(name)]
                 at, stop = at[hit], stop[hit]
-                found: dict[int, dict[bytes, int]] = {}
-                occ: dict[int, list[tuple[int, int, int]]] = {}
-                where = zip(bucket[at].tolist(), start[at].tolist(), (stop - at).tolist(), text[at].tolist(), strict=True)
-                for b, s, n, t in where:
-                    mine, seen = found.setdefault(b, {}), occ.setdefault(b, [])
-                    for k in range(0, n, SEGMENT_WINDOWS):
-                        w = min(SEGMENT_WINDOWS, n - k)
-                        seen.append((mine.setdefault(raw[s + k : s + k + w + LENGTH - 1], len(mine)), s + k, t))
-                for b, mine in found.items():
-                    o = np.array(occ[b], np.int64)
-                    least = np.full(len(mine), 2**63 - 1, np.int64)
-                    np.minimum.at(least, o[:, 0], ids[o[:, 2]])
-                    yield pd.DataFrame(
-                        {
-                            "bucket": [b],
-                            "block": [r.block],
-                            "lens": [np.array([len(x) for x in mine], np.uint8).tobytes()],
-                            "segs": [b"".join(mine)],
-                            "least": [least.tobytes()],
-                            "occ": [o.astype(np.int32).tobytes()],
-                        }
+                if not len(at):
+                    continue
+                # long runs (of text that repeats itself) in parts
+                parts = -(-(stop - at) // SEGMENT_WINDOWS)
+                part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                at = np.repeat(at, parts) + part * SEGMENT_WINDOWS
+                begin = start[at]
+                end = begin + np.minimum(SEGMENT_WINDOWS, np.repeat(stop, parts) - at) + LENGTH - 1
+                index: dict[bytes, int] = {}
+                which = np.array([index.setdefault(raw[x:y], len(index)) for x, y in zip(begin.tolist(), end.tolist(), strict=True)], np.int64)
+                n = len(index)
+                least = np.full(n, 2**63 - 1, np.int64)
+                np.minimum.at(least, which, ids[text[at]])
+                home, key = np.empty(n, np.int64), np.empty(n, np.uint32)
+                home[which], key[which] = bucket[at], low[at]
+                order = np.argsort(home, kind="stable")
+                place = np.empty(n, np.int64)
+                place[order] = np.arange(n)
+                segs = list(index)
+                uses = np.argsort(place[which], kind="stable")  # occurrences by bucket
+                cut = np.flatnonzero(np.r_[True, home[order][1:] != home[order][:-1]])
+                use_cut = np.searchsorted(place[which][uses], cut)
+                rows = []
+                for a, b, c, d in zip(cut.tolist(), [*cut[1:].tolist(), n], use_cut.tolist(), [*use_cut[1:].tolist(), len(uses)], strict=True):
+                    mine, used = order[a:b], uses[c:d]
+                    own = [segs[i] for i in mine.tolist()]
+                    occ = np.stack([place[which[used]] - a, begin[used], text[at[used]]], axis=1)
+                    rows.append(
+                        (
+                            int(home[mine[0]]),
+                            r.block,
+                            bytes(map(len, own)),
+                            b"".join(own),
+                            key[mine].tobytes(),
+                            least[mine].tobytes(),
+                            occ.astype(np.int32).tobytes(),
+                        )
                     )
+                yield pd.DataFrame(rows, columns=["bucket", "block", "lens", "segs", "names", "least", "occ"])
 
     asked = blocks.select("block", "ids", "lengths", "body").join(wanted, "block").join(skipped, "block", "left")
-    found = scratch.save(asked.mapInPandas(segments, "bucket long, block long, lens binary, segs binary, least binary, occ binary"))
+    found = scratch.save(asked.mapInPandas(segments, "bucket long, block long, lens binary, segs binary, names binary, least binary, occ binary"))
 
     def owners(pdf: pd.DataFrame) -> pd.DataFrame:
         index: dict[bytes, int] = {}
-        least: list[int] = []
         uses = []
-        for lens, segs, mins in zip(pdf["lens"], pdf["segs"], pdf["least"], strict=True):
-            ends, use, a = np.cumsum(np.frombuffer(lens, np.uint8).astype(np.int64)).tolist(), [], 0
-            for e, m in zip(ends, np.frombuffer(mins, np.int64).tolist(), strict=True):
-                i = index.setdefault(segs[a:e], len(index))
-                if i == len(least):
-                    least.append(m)
-                elif m < least[i]:
-                    least[i] = m
-                use.append(i)
-                a = e
-            uses.append(use)
-        best = smallest_owner(list(index), np.array(least, np.int64))
+        for lens, segs in zip(pdf["lens"], pdf["segs"], strict=True):
+            ends = np.cumsum(np.frombuffer(lens, np.uint8).astype(np.int64)).tolist()
+            uses.append(np.array([index.setdefault(segs[a:b], len(index)) for a, b in zip([0, *ends], ends, strict=False)], np.int64))
+        segments, every = list(index), np.concatenate(uses)
+        least = np.full(len(segments), 2**63 - 1, np.int64)
+        np.minimum.at(least, every, np.frombuffer(b"".join(pdf["least"]), np.int64))
+        name = np.empty(len(segments), np.uint32)
+        name[every] = np.frombuffer(b"".join(pdf["names"]), np.uint32)
+        # a segment that is alone under its name has its windows to itself; the others' may be in each other
+        _, kind, variants = np.unique(name, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(variants[kind] > 1)
+        best = [np.full(len(x) - LENGTH + 1, o) for x, o in zip(segments, least.tolist(), strict=True)]
+        if len(several):
+            for i, w in zip(several.tolist(), smallest_owner([segments[i] for i in several.tolist()], least[several]), strict=True):
+                best[i] = w
         # per segment: runs of windows with one smallest owner
-        runs = []
-        for w in best:
-            cut = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            runs.append((np.diff(np.r_[cut, len(w)]).astype(np.uint8), w[cut]))
-        counts = [np.array([len(runs[i][0]) for i in use], np.uint8).tobytes() for use in uses]
-        sizes = [np.concatenate([runs[i][0] for i in use]).tobytes() for use in uses]
-        firsts = [np.concatenate([runs[i][1] for i in use]).tobytes() for use in uses]
+        flat = np.concatenate(best)
+        size = np.array([len(w) for w in best], np.int64)
+        opens = np.r_[True, flat[1:] != flat[:-1]]
+        opens[np.cumsum(size)[:-1]] = True
+        at = np.flatnonzero(opens)
+        runs, owner = np.diff(np.r_[at, len(flat)]).astype(np.uint8), flat[at]
+        count = np.add.reduceat(opens, np.cumsum(size) - size)
+        first = np.cumsum(count) - count
+        counts, sizes, firsts = [], [], []
+        for use in uses:
+            per = count[use]
+            pick = np.repeat(first[use] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+            counts.append(per.astype(np.uint8).tobytes())
+            sizes.append(runs[pick].tobytes())
+            firsts.append(owner[pick].tobytes())
         return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "counts": counts, "sizes": sizes, "owners": firsts})
 
-    judged = found.select("bucket", "block", "lens", "segs", "least").groupBy("bucket").applyInPandas(owners, "block long, bucket long, counts binary, sizes binary, owners binary")
+    judged = found.select("bucket", "block", "lens", "segs", "names", "least").groupBy("bucket").applyInPandas(owners, "block long, bucket long, counts binary, sizes binary, owners binary")
     answers = found.select("block", "bucket", "occ").join(judged, ["block", "bucket"]).groupBy("block").agg(F.collect_list(F.struct("occ", "counts", "sizes", "owners")).alias("answers"))
     answers = scratch.save(answers)
     def cut(batches):
