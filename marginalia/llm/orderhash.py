@@ -206,7 +206,8 @@ def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
                         rows.append((i, shingles(w).tobytes()))
                 yield pd.DataFrame(rows, columns=["tid", "seq"])
 
-    seqs = scratch.save(docs.join(asked, "id").select("tid", "text", "digest").mapInPandas(sequence, "tid long, seq binary").dropDuplicates(["tid"]))
+    # the texts asked for grow with the corpus, so this is a merge join at every size
+    seqs = scratch.save(docs.join(asked.hint("merge"), "id").select("tid", "text", "digest").mapInPandas(sequence, "tid long, seq binary").dropDuplicates(["tid"]))
 
     def verify(batches):
         for pdf in batches:
