@@ -221,7 +221,9 @@ def dedup(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     texts = scratch.save(blocks.select("block", "ids", "lengths", "shas").mapInPandas(rows, "block long, row long, id long, n long, sha binary"))
     total = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     many = texts.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    copies = scratch.save(texts.join(scratch.save(many), "sha").where("id > first").select("block", "row"))
+    many = scratch.save(many)
+    copies = scratch.save(texts.join(many, "sha").where("id > first").select("block", "row"))
+    scratch.drop(texts, many)
     skipped = copies.groupBy("block").agg(F.collect_list("row").alias("skipped"))
 
     buckets = max(1, -(-total // (10 * BUCKET_NAMES)))
@@ -267,8 +269,8 @@ def dedup(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         return out[out["low"].str.len() > 0]
 
     named = blocks.select("block", "ids", "lengths", "body").mapInPandas(names, "bucket long, block long, low binary, several binary")
-    wanted = scratch.save(named.groupBy("bucket").applyInPandas(shared, "block long, bucket long, low binary"))
-    wanted = wanted.groupBy("block").agg(F.collect_list(F.struct("bucket", "low")).alias("wanted"))
+    screened = scratch.save(named.groupBy("bucket").applyInPandas(shared, "block long, bucket long, low binary"))
+    wanted = screened.groupBy("block").agg(F.collect_list(F.struct("bucket", "low")).alias("wanted"))
 
     def segments(batches):
         for pdf in batches:
@@ -327,6 +329,8 @@ def dedup(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     asked = blocks.select("block", "ids", "lengths", "body").join(wanted, "block").join(skipped, "block", "left")
     found = scratch.save(asked.mapInPandas(segments, "bucket long, block long, lens binary, segs binary, names binary, least binary, occ binary"))
 
+    scratch.drop(screened)
+
     def owners(pdf: pd.DataFrame) -> pd.DataFrame:
         index: dict[bytes, int] = {}
         uses = []
@@ -366,6 +370,7 @@ def dedup(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     judged = found.select("bucket", "block", "lens", "segs", "names", "least").groupBy("bucket").applyInPandas(owners, "block long, bucket long, counts binary, sizes binary, owners binary")
     answers = found.select("block", "bucket", "occ").join(judged, ["block", "bucket"]).groupBy("block").agg(F.collect_list(F.struct("occ", "counts", "sizes", "owners")).alias("answers"))
     answers = scratch.save(answers)
+    scratch.drop(found)
     def cut(batches):
         for pdf in batches:
             for r in pdf.itertuples():

@@ -150,7 +150,9 @@ def dedup(snapshot: DataFrame, batch: DataFrame, digest: Callable[[Column], Colu
     several = classes.where("n > 1").select("digest", F.col("top").alias("ref_id"))
     members = scratch.save(docs.join(several, "digest").select("doc_id", "digest", "norm", "ref_id"))
     refs = members.where("doc_id <=> ref_id").groupBy("digest").agg(F.min("norm").alias("ref"))
-    odd = scratch.save(members.join(scratch.save(refs), "digest").where("norm <> ref").select("digest").distinct())
+    refs = scratch.save(refs)
+    odd = scratch.save(members.join(refs, "digest").where("norm <> ref").select("digest").distinct())
+    scratch.drop(groups, filters, met, members, refs)
     if odd.limit(1).count() == 0:
         out = keys.join(classes, "digest")
     else:  # digests that several texts share: their texts are the keys

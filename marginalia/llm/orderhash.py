@@ -216,12 +216,14 @@ def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     sided = pairs.join(seqs.withColumnRenamed("seq", "x"), "tid").join(seqs.select(F.col("tid").alias("leader"), F.col("seq").alias("y")), "leader")
     links = scratch.save(sided.select("tid", "leader", "x", "y").mapInPandas(verify, "tid long, leader long"))
+    scratch.drop(keyed, leaders, pairs, asked, seqs)
     joined = connected_components(links.select(F.col("tid").alias("a"), F.col("leader").alias("b")), scratch)
     degree = links.select(F.explode(F.array("tid", "leader")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     member = texts.select("tid", "digest", "first", "n").join(joined.withColumnRenamed("node", "tid"), "tid", "left").join(degree.withColumnRenamed("node", "tid"), "tid", "left")
     member = scratch.save(member.select("digest", "first", "n", F.coalesce("component", "tid").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))
     named = scratch.save(member.groupBy("component").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size")))
     of_text = scratch.save(member.join(named, "component").select("digest", "class_id", "class_size", "links"))
+    scratch.drop(sizes, texts, links, member, named)
     out = sketched.select("id", "hash", "digest").join(of_text, "digest")
     real = lambda c: F.when(F.col(c) != -(2**63), F.col(c))
     return out.select(real("id").alias("doc_id"), real("class_id").alias("class_id"), F.col("class_size").cast("long").alias("class_size"), (F.col("id") == F.col("class_id")).alias("kept"), F.col("links").cast("long").alias("links"), F.col("hash").alias("text_hash"))
