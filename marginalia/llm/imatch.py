@@ -38,7 +38,7 @@ def distinct_terms(text):
     return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
 
 
-def lexicon(documents: DataFrame, n: int, band=BAND) -> DataFrame:
+def lexicon(documents: DataFrame, n: int, scratch: Scratch, band=BAND) -> DataFrame:
     """(term, h, cells) of the terms in the band, of ``n`` documents: the
     term's hash and the subsets that keep it.
 
@@ -46,8 +46,9 @@ def lexicon(documents: DataFrame, n: int, band=BAND) -> DataFrame:
     lexicon has at most (mean distinct terms per document) / band[0] terms,
     whatever the number of documents.
     """
-    seen = documents.select(F.explode_outer(distinct_terms(F.coalesce("text", F.lit("")))).alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    kept = seen.where((F.col("df") >= max(2, band[0] * n)) & (F.col("df") <= band[1] * n))
+    seen = documents.select(F.explode(distinct_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # written first: else the filter on cells, which needs the term alone, would move below the count and hash every word of the corpus
+    kept = scratch.save(seen.where((F.col("df") >= max(2, band[0] * n)) & (F.col("df") <= band[1] * n)).select("term"))
     cells = [f"if(xxhash64(term, {f}) & {2**r - 1} = 0, {f * len(LEVELS) + i}, null)" for f in range(FAMILIES) for i, r in enumerate(LEVELS)]
     return kept.select("term", F.xxhash64("term").alias("h"), F.expr(f"array_compact(array({', '.join(cells)}))").alias("cells")).where(F.size("cells") > 0)
 
@@ -104,7 +105,7 @@ def edited_fingerprints(documents: DataFrame, band=BAND) -> DataFrame:
     scratch = Scratch(documents.sparkSession)
     docs = documents.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     n = docs.count()
-    words = scratch.save(lexicon(docs, n, band))
+    words = scratch.save(lexicon(docs, n, scratch, band))
     small = words.count() <= BROADCAST_TERMS
     many = min(MOST_RANGES, max(1, n // RANGE_ROWS))
     found = docs.agg(F.percentile_approx("id", [i / many for i in range(1, many)], 100 * many)).first()[0] if many > 1 else []
