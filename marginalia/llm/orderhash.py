@@ -5,7 +5,9 @@ takes the few with the smallest hashes and keeps them in text order, so that
 it collides for texts that share these shingles in one order: for texts at a
 small edit distance.  Texts that share a sketch are aligned within a band, and
 those whose aligned shingles reach the similarity are linked; classes are the
-connected components of the links.
+connected components of the links.  First a text is aligned with the leader of
+each of its sketches, then with every other text of them that is not yet in
+its class.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from .common import Scratch, connected_components, worker_cache
 WORDS, SIMILARITY = 5, 0.8
 #: Sketches, and shingles that each takes.
 SKETCHES, TAKEN = 16, 4
+#: Texts of a sketch that are compared at once with as many others, and bins
+#: of shingles that bound what two of them share.
+BLOCK_TEXTS, BINS = 256, 128
 #: Words whose hash a worker keeps.
 CACHE_WORDS = 600_000
 
@@ -153,6 +158,43 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return c / (len(a) + len(b) - c) if c >= 0 else 0.0
 
 
+def unlinked(seqs: list[np.ndarray], component: list[int], block: list[int], least: float) -> list[tuple[int, int]]:
+    """Places of linked pairs that join all alike texts of different components.
+
+    If there are two blocks, only pairs across them are compared.  Pairs are
+    tried by what they can share at most, counted in bins of shingles, and
+    left out once their components are one."""
+    n = np.array([len(s) for s in seqs])
+    bins = np.array([np.bincount((labelled(s) % _U(BINS)).astype(np.int64), minlength=BINS) for s in seqs], np.int32)
+    comp, side, across = np.array(component), np.array(block), len(set(block)) > 1
+    top: dict[int, int] = {}
+
+    def find(c):
+        while c in top:
+            c = top[c]
+        return c
+
+    tried = []
+    for i in range(len(seqs) - 1):
+        need = np.ceil(least / (1 + least) * (n[i] + n[i + 1 :]) - 1e-9)
+        ok = (comp[i + 1 :] != comp[i]) & (np.minimum(n[i], n[i + 1 :]) >= need)
+        if across:
+            ok &= side[i + 1 :] != side[i]
+        j = np.flatnonzero(ok) + i + 1
+        if len(j):
+            shared = np.minimum(bins[i], bins[j]).sum(axis=1)
+            may = shared >= need[j - i - 1]
+            j, shared = j[may], shared[may]
+            tried += zip((shared / (n[i] + n[j] - shared)).tolist(), [i] * len(j), j.tolist(), strict=True)
+    out = []
+    for _, i, j in sorted(tried, key=lambda t: -t[0]):
+        p, q = find(component[i]), find(component[j])
+        if p != q and similarity(seqs[i], seqs[j], least) >= least:
+            top[p] = q
+            out.append((i, j))
+    return out
+
+
 def _digest(words: np.ndarray) -> str:
     return xxhash.xxh3_128_hexdigest(words.tobytes())
 
@@ -191,7 +233,7 @@ def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
         sketched.join(sizes, "digest").where("id = first").select("digest", "first", "n", "keys").dropDuplicates(["digest"]).withColumn("tid", F.monotonically_increasing_id())
     )
     keyed = scratch.save(texts.select("tid", F.explode("keys").alias("key")))
-    leaders = scratch.save(keyed.groupBy("key").agg(F.min("tid").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "leader"))
+    leaders = scratch.save(keyed.groupBy("key").agg(F.min("tid").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1"))
     pairs = scratch.save(keyed.join(leaders, "key").where("tid <> leader").select("tid", "leader").distinct())
     asked = pairs.select(F.explode(F.array("tid", "leader")).alias("tid")).distinct()
     asked = scratch.save(texts.select("tid", "first", "digest").join(asked, "tid").select("tid", F.col("first").alias("id"), "digest"))
@@ -216,8 +258,32 @@ def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     sided = pairs.join(seqs.withColumnRenamed("seq", "x"), "tid").join(seqs.select(F.col("tid").alias("leader"), F.col("seq").alias("y")), "leader")
     links = scratch.save(sided.select("tid", "leader", "x", "y").mapInPandas(verify, "tid long, leader long"))
-    scratch.drop(keyed, leaders, pairs, asked, seqs)
+    scratch.drop(pairs, asked)
     joined = connected_components(links.select(F.col("tid").alias("a"), F.col("leader").alias("b")), scratch)
+
+    # texts of a sketch beside its leader that are in several components yet; of sketches with the same texts one stays
+    beside = keyed.join(leaders.where("c > 2"), "key").where("tid <> leader").select("key", "tid")
+    beside = scratch.save(beside.join(joined.withColumnRenamed("node", "tid"), "tid", "left").select("key", "tid", F.coalesce("component", "tid").alias("component")))
+    mark = lambda k: F.bit_xor(F.xxhash64("tid", F.lit(k)))
+    open_keys = beside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"), mark(1).alias("p"), mark(2).alias("q")).where("low <> high")
+    open_keys = scratch.save(open_keys.groupBy("p", "q", "m").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / BLOCK_TEXTS).cast("int").alias("blocks")))
+    dealt = beside.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("tid", F.lit(3)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        tid = pdf["tid"].tolist()
+        found = unlinked([np.frombuffer(s, _U) for s in pdf["seq"]], pdf["component"].tolist(), pdf["block"].tolist(), least)
+        return pd.DataFrame([(max(tid[i], tid[j]), min(tid[i], tid[j])) for i, j in found], columns=["tid", "leader"])
+
+    full = dealt.select("key", "lo", "hi", "tid", "component", "block").join(seqs, "tid")
+    more = scratch.save(full.groupBy("key", "lo", "hi").applyInPandas(compare, "tid long, leader long").distinct())
+    scratch.drop(keyed, leaders, beside, open_keys, seqs)
+    if more.limit(1).count():
+        first_links, links = links, scratch.save(links.unionByName(more))
+        edges = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select(F.col("tid").alias("a"), F.col("leader").alias("b")))
+        joined = connected_components(edges, scratch)
+        scratch.drop(first_links)
+    scratch.drop(more)
     degree = links.select(F.explode(F.array("tid", "leader")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     member = texts.select("tid", "digest", "first", "n").join(joined.withColumnRenamed("node", "tid"), "tid", "left").join(degree.withColumnRenamed("node", "tid"), "tid", "left")
     member = scratch.save(member.select("digest", "first", "n", F.coalesce("component", "tid").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))

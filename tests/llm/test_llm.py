@@ -294,6 +294,41 @@ def test_classes_against_all_pairs(spark, docs, empty):
     assert orderhash.classes(empty).count() == 0
 
 
+def test_copies_that_are_alike_through_their_original_alone(spark):
+    rng = random.Random(11)
+    original = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    rows = []
+    for i in range(300):
+        ws = list(original)
+        for at in rng.sample(range(400), 8):
+            ws[at] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(original if i == 150 else ws)))
+    # texts that share a passage and are not alike
+    rows += [(1000 + i, " ".join(original[:60] + [f"y{rng.randrange(10**9)}" for _ in range(60)])) for i in range(300)]
+    seqs = [orderhash.shingles(orderhash.word_hashes(t)) for _, t in rows]
+    top = list(range(len(rows)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for x in range(len(rows)):
+        for y in range(x + 1, len(rows)):
+            if find(x) != find(y) and orderhash.similarity(seqs[x], seqs[y]) >= 0.8:
+                p, q = sorted((find(x), find(y)))
+                top[q] = p
+    got = {r["doc_id"]: r["class_id"] for r in orderhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+    assert sum(c == 0 for c in got.values()) > 250
+
+
+def test_blocks_of_a_sketch_find_every_class(monkeypatch, spark, docs):
+    want = {(r["doc_id"], r["class_id"]) for r in orderhash.classes(docs).collect()}
+    monkeypatch.setattr(orderhash, "BLOCK_TEXTS", 2)
+    assert {(r["doc_id"], r["class_id"]) for r in orderhash.classes(docs).collect()} == want
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3), (200, 200)]
     got = common.connected_components(spark.createDataFrame(edges, "a long, b long"), common.Scratch(spark)).collect()
