@@ -156,9 +156,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     ``pages``: page_id, url, html.  Character references are decoded, white
     space in a block becomes one space, blocks are joined by one space.  Null
     html counts as empty and gives an empty text; a page with a null or odd
-    url belongs to the empty host; repeated rows are each returned, and count
-    as pages of their own; an empty table gives an empty one; other columns
-    are ignored.
+    url belongs to the empty host; repeated rows are each returned; pages of
+    the same text count as one; an empty table gives an empty one; other
+    columns are ignored.
     """
     scratch = Scratch(pages.sparkSession)
 
@@ -184,13 +184,15 @@ def main_text(pages: DataFrame) -> DataFrame:
         streams = [t.split() for t in texts]
         unsure = np.flatnonzero(~pdf["sure"].to_numpy(bool))
         if len(unsure) and len(pdf) >= RUN_PAGES:
-            lengths = [len(s) for s in streams]
-            page = np.repeat(np.arange(len(streams)), lengths)
-            tokens = pd.factorize(np.array([w for s in streams for w in s], object))[0] if len(page) else np.array([], np.int64)
+            of, kinds = pd.factorize(np.array(texts, object))  # copies of a page are one page
+            kinds = [t.split() for t in kinds]
+            lengths = [len(s) for s in kinds]
+            page = np.repeat(np.arange(len(kinds)), lengths)
+            tokens = pd.factorize(np.array([w for s in kinds for w in s], object))[0] if len(page) else np.array([], np.int64)
             gone = repeated(tokens, page)
             ends = np.cumsum(lengths)
             for i in unsure:
-                drop = gone[ends[i] - lengths[i] : ends[i]]
+                drop = gone[ends[of[i]] - lengths[of[i]] : ends[of[i]]]
                 removed[i] = drop.sum()
                 if removed[i]:
                     texts[i] = " ".join(w for w, g in zip(streams[i], drop, strict=True) if not g)

@@ -192,6 +192,12 @@ def test_repeated_runs_go_where_no_article_is_marked(spark):
     assert htmltext.main_text(pages.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    text = "one page without any article that was copied five times as it is"
+    pages = spark.createDataFrame([(i, f"http://h.org/{i}", f"<body><div>{text}</div>") for i in range(5)], "page_id long, url string, html string")
+    assert [r["text"] for r in htmltext.main_text(pages).collect()] == [text] * 5
+
+
 def test_repeats_against_brute_force():
     rng = np.random.default_rng(3)
     tokens, page = rng.integers(0, 3, 400), np.repeat(np.arange(8), 50)
