@@ -2,9 +2,9 @@
 
 Markup tells most: text in elements that never hold the article goes, and if
 a page has an ``article`` or ``main`` element its text is the article.  For
-pages without one, the token streams of a host's pages are concatenated, long
-token runs that repeat on several of them are found with a suffix array, and
-what these runs cover is removed.
+pages without one, the token streams of a host's pages are concatenated in
+groups, long token runs are counted with a suffix array of each group, and what
+runs cover that several of the host's pages share is removed.
 
 Runs inside ``article`` and ``main`` are not removed: menus and adverts often
 quote other pages' articles, so repeats alone would cut into real text.
@@ -17,6 +17,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,8 @@ from .urlrules import host_of
 
 #: Tokens of a repeated run, and distinct pages that share it.
 RUN_TOKENS, RUN_PAGES = 8, 3
-#: Pages of one host whose streams are concatenated; larger hosts are dealt into such groups.
+#: Page texts of one host whose streams are concatenated; larger hosts are dealt into such
+#: groups, whose counts of a run are added up.
 GROUP_PAGES = 50
 #: Hosts above that size of which a table is broadcast; more are joined.
 BROADCAST_HOSTS = 100_000
@@ -116,16 +118,17 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
     return (inside, True) if found and inside else (anywhere, False)
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray) -> np.ndarray:
-    """Tokens covered by a run of ``RUN_TOKENS`` that ``RUN_PAGES`` pages share.
+def shared_runs(tokens: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all runs of ``RUN_TOKENS`` in the order of a suffix array,
+    the interval of equal runs each start belongs to, and the distinct pages
+    of each interval.
 
     The suffix array is sorted as deep as the run: by doubling, ranks of k
     tokens give those of 2k, and equal ranks at that depth are the intervals
     of repeated runs.  ``page`` must ascend; no run crosses pages."""
-    n = len(tokens)
-    covered = np.zeros(n, bool)
+    n, none = len(tokens), np.array([], np.int64)
     if n < RUN_TOKENS:
-        return covered
+        return none, none, none
     rank, k = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
     while k < RUN_TOKENS:
         step = min(k, RUN_TOKENS - k)
@@ -138,18 +141,32 @@ def repeated(tokens: np.ndarray, page: np.ndarray) -> np.ndarray:
     sa = np.flatnonzero(whole)
     sa = sa[np.argsort(rank[sa], kind="stable")]
     if not len(sa):
-        return covered
+        return none, none, none
     head = np.r_[True, rank[sa[1:]] != rank[sa[:-1]]]
     new_page = head | np.r_[True, page[sa[1:]] != page[sa[:-1]]]  # positions of an interval ascend, so do pages
     interval = np.cumsum(head) - 1
-    pages = np.bincount(interval[new_page])
-    start = sa[pages[interval] >= RUN_PAGES]
+    return sa, interval, np.bincount(interval[new_page])
+
+
+def covered(n: int, start: np.ndarray) -> np.ndarray:
+    """Which of n tokens the runs that begin at ``start`` cover."""
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, start, 1)
     np.add.at(edge, start + RUN_TOKENS, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
+def repeated(tokens: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """Tokens covered by a run of ``RUN_TOKENS`` that ``RUN_PAGES`` pages share."""
+    sa, interval, pages = shared_runs(tokens, page)
+    return covered(len(tokens), sa[pages[interval] >= RUN_PAGES] if len(sa) else sa)
+
+
+def run_digests(words: list[str], start: np.ndarray) -> list[bytes]:
+    """Digest of the run at each start, the same in every group."""
+    return [xxhash.xxh3_128_digest(" ".join(words[i : i + RUN_TOKENS]).encode("utf-8", "surrogatepass")) for i in start.tolist()]
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """Main text of every page: page_id, url, text, removed_tokens.
 
@@ -168,34 +185,62 @@ def main_text(pages: DataFrame) -> DataFrame:
                 part = pdf.iloc[at : at + 256]
                 got = [blocks_of(h) for h in part["html"]]
                 yield pd.DataFrame(
-                    {"page_id": part["page_id"].astype("Int64"), "url": part["url"], "host": part["host"], "deal": part["deal"], "text": [" ".join(b) for b, _ in got], "sure": [s for _, s in got]}
+                    {"page_id": part["page_id"].astype("Int64"), "url": part["url"], "host": part["host"], "text": [" ".join(b) for b, _ in got], "sure": [s for _, s in got]}
                 )
 
-    deal = F.xxhash64("page_id", "url", F.lit(3))
-    given = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), deal.alias("deal"), F.coalesce("html", F.lit("")).alias("html"))
-    parsed = scratch.save(given.mapInPandas(parse, "page_id long, url string, host string, deal long, text string, sure boolean"))
-    large = scratch.save(parsed.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_PAGES).select("host", F.ceil(F.col("n") / GROUP_PAGES).alias("groups")))
-    few = large.count() <= BROADCAST_HOSTS
-    dealt = parsed.join(F.broadcast(large) if few else large, "host", "left").withColumn("part", F.pmod("deal", F.coalesce("groups", F.lit(1).cast("long"))))
-
-    def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page_id", "deal"], na_position="first").reset_index(drop=True)
-        texts, removed = pdf["text"].tolist(), np.zeros(len(pdf), np.int64)
-        streams = [t.split() for t in texts]
-        unsure = np.flatnonzero(~pdf["sure"].to_numpy(bool))
-        if len(unsure) and len(pdf) >= RUN_PAGES:
-            of, kinds = pd.factorize(np.array(texts, object))  # copies of a page are one page
-            kinds = [t.split() for t in kinds]
-            lengths = [len(s) for s in kinds]
-            page = np.repeat(np.arange(len(kinds)), lengths)
-            tokens = pd.factorize(np.array([w for s in kinds for w in s], object))[0] if len(page) else np.array([], np.int64)
-            gone = repeated(tokens, page)
-            ends = np.cumsum(lengths)
-            for i in unsure:
-                drop = gone[ends[of[i]] - lengths[of[i]] : ends[of[i]]]
-                removed[i] = drop.sum()
-                if removed[i]:
-                    texts[i] = " ".join(w for w, g in zip(streams[i], drop, strict=True) if not g)
-        return pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": texts, "removed_tokens": removed})
-
-    return dealt.groupBy("host", "part").applyInPandas(prune, "page_id long, url string, text string, removed_tokens long")
+    given = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    parsed = scratch.save(given.mapInPandas(parse, "page_id long, url string, host string, text string, sure boolean"))
+    unsure = parsed.where("not sure")
+    as_is = lambda df: df.select("page_id", "url", "text", F.lit(0).cast("long").alias("removed_tokens"))
+    if not unsure.limit(1).count():
+        return as_is(parsed)
+
+    # distinct texts of the hosts that have such pages, in groups that bound memory; a host's groups add up
+    texts = parsed.join(unsure.select("host").distinct(), "host", "left_semi").groupBy("host", F.sha2("text", 256).alias("sha")).agg(F.first("text").alias("text"), F.bool_or(~F.col("sure")).alias("wanted"))
+    texts = scratch.save(texts)
+    groups = scratch.save(texts.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / GROUP_PAGES).alias("groups")))
+    few = groups.count() <= BROADCAST_HOSTS
+    dealt = texts.join(F.broadcast(groups) if few else groups, "host").withColumn("part", F.pmod(F.xxhash64("sha", F.lit(3)), "groups"))
+
+    def stream(pdf: pd.DataFrame):
+        streams = [t.split() for t in pdf["text"]]
+        page = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
+        words = [w for s in streams for w in s]
+        tokens = pd.factorize(np.array(words, object))[0] if words else np.array([], np.int64)
+        return streams, words, tokens, page
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, words, tokens, page = stream(pdf)
+        sa, interval, n = shared_runs(tokens, page)
+        first = sa[np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]])] if len(sa) else sa
+        return pd.DataFrame({"host": pdf["host"].iloc[0], "part": pdf["part"].iloc[0], "run": run_digests(words, first), "n": n})
+
+    counted = scratch.save(dealt.where("groups > 1").groupBy("host", "part").applyInPandas(count, "host string, part long, run binary, n long"))
+    # runs that a group alone has often enough need no word from others
+    often = counted.groupBy("host", "run").agg(F.sum("n").alias("total")).where(F.col("total") >= RUN_PAGES).select("host", "run")
+    told = counted.where(F.col("n") < RUN_PAGES).join(often.hint("merge"), ["host", "run"]).select("host", "part", "run")
+
+    def prune(pdf: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        streams, words, tokens, page = stream(pdf)
+        sa, interval, n = shared_runs(tokens, page)
+        begin = sa[:0]
+        if len(sa):
+            hit, known = n >= RUN_PAGES, {bytes(r) for r in runs["run"]}
+            if known:
+                first = sa[np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]])]
+                hit |= np.array([d in known for d in run_digests(words, first)], bool)
+            begin = sa[hit[interval]]
+        gone, at, rows = covered(len(tokens), begin), 0, []
+        for host, sha, wanted, s in zip(pdf["host"], pdf["sha"], pdf["wanted"], streams, strict=True):
+            drop = gone[at : at + len(s)]
+            at += len(s)
+            if wanted and drop.any():
+                rows.append((host, sha, " ".join(w for w, g in zip(s, drop, strict=True) if not g), int(drop.sum())))
+        return pd.DataFrame(rows, columns=["host", "sha", "left", "removed"])
+
+    cut = dealt.groupBy("host", "part").cogroup(told.groupBy("host", "part")).applyInPandas(prune, "host string, sha string, left string, removed long")
+    cut = scratch.save(cut)
+    scratch.drop(texts, groups, counted)
+    pruned = unsure.withColumn("sha", F.sha2("text", 256)).join(cut, ["host", "sha"], "left")
+    pruned = pruned.select("page_id", "url", F.coalesce("left", "text").alias("text"), F.coalesce("removed", F.lit(0)).cast("long").alias("removed_tokens"))
+    return as_is(parsed.where("sure")).unionByName(pruned)

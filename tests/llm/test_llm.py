@@ -192,6 +192,16 @@ def test_repeated_runs_go_where_no_article_is_marked(spark):
     assert htmltext.main_text(pages.limit(0)).count() == 0
 
 
+def test_a_large_hosts_runs_are_counted_over_all_its_pages(spark):
+    menu = "a few pages of this very large site share these words in a row"
+    own = lambda i: " ".join(f"p{i}w{k}" for k in range(20))
+    rows = [(i, f"http://h.org/{i}", f"<body><div>{menu if i < 5 else ''}</div><div>{own(i)}</div>") for i in range(400)]
+    rows += [(500 + i, f"http://h.org/x{i}", f"<body><div>twice is not enough for these ten words here {i}</div>") for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(pages).collect()}
+    assert got == {i: own(i) for i in range(400)} | {500 + i: f"twice is not enough for these ten words here {i}" for i in range(2)}
+
+
 def test_copies_of_a_page_keep_their_text(spark):
     text = "one page without any article that was copied five times as it is"
     pages = spark.createDataFrame([(i, f"http://h.org/{i}", f"<body><div>{text}</div>") for i in range(5)], "page_id long, url string, html string")
