@@ -62,14 +62,16 @@ def suggest(names: DataFrame, roster: DataFrame, most: int = 5) -> DataFrame:
     tokens' pairs of letters; only pairs that share the first two letters of
     the shorter name are compared."""
     left = names.select("name", F.lower(F.trim("name")).alias("a")).distinct()
-    right = roster.select("full_name", "position", F.lower(F.trim("full_name")).alias("b"))
+    # of equal roster names the first ``most`` are enough, and they are compared once
+    places = roster.select("full_name", "position").distinct().withColumn("of_name", F.row_number().over(Window.partitionBy("full_name").orderBy("position"))).where(F.col("of_name") <= most)
+    right = places.select("full_name", F.lower(F.trim("full_name")).alias("b")).distinct()
 
     def grams(c):
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
 
-    inside = left.select("name", "a", F.substring("a", 1, 2).alias("g")).join(right.select("full_name", "position", "b", F.explode(grams(F.col("b"))).alias("g")), "g").where(F.contains("b", "a"))
-    around = left.select("name", "a", F.explode(grams(F.col("a"))).alias("g")).join(right.select("full_name", "position", "b", F.substring("b", 1, 2).alias("g")), "g").where(F.contains("a", "b"))
-    pairs = inside.select("name", "full_name", "position").union(around.select("name", "full_name", "position")).distinct()
+    inside = left.select("name", "a", F.substring("a", 1, 2).alias("g")).join(right.select("full_name", "b", F.explode(grams(F.col("b"))).alias("g")), "g").where(F.contains("b", "a"))
+    around = left.select("name", "a", F.explode(grams(F.col("a"))).alias("g")).join(right.select("full_name", "b", F.substring("b", 1, 2).alias("g")), "g").where(F.contains("a", "b"))
+    pairs = inside.select("name", "full_name").union(around.select("name", "full_name")).distinct().join(places.select("full_name", "position"), "full_name")
     w = Window.partitionBy("name").orderBy("position")
     return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most).select("name", "full_name", "rank")
 

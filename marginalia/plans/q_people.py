@@ -50,6 +50,14 @@ def containment_suggest(spark, d):
     return people.suggest(part.where("p_size = 1").select(F.col("p_name").alias("name")), roster)
 
 
+@query()
+def containment_suggest_all(spark, d):
+    """All part names against the whole table as roster."""
+    part = table(spark, d, "part")
+    roster = part.select(F.col("p_partkey").alias("position"), F.col("p_name").alias("full_name"))
+    return people.suggest(part.select(F.col("p_name").alias("name")), roster)
+
+
 @query()
 def fuzzy_match(spark, d):
     """Supplier names with their last but one digit gone, against the roster."""

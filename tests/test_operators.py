@@ -102,6 +102,19 @@ def test_roster_and_fuzzy(spark):
     assert [(r["full_name"]) for r in people.suggest(spark.createDataFrame([("Ray",)], "name string"), roster).collect()] == ["Bob Ray"]
 
 
+def test_suggestions_over_the_whole_table_against_brute_force(spark):
+    from marginalia.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    parts = [(r["p_partkey"], r["p_name"]) for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name").collect()]
+    want = set()
+    for name in {n for _, n in parts}:
+        hits = [n for _, n in sorted(parts) if name.strip().lower() in n.strip().lower() or n.strip().lower() in name.strip().lower()]
+        want |= {(name, n, i + 1) for i, n in enumerate(hits[:5])}
+    got = [tuple(r) for r in registry.QUERIES["containment_suggest_all"](spark, sf).select("name", "full_name", "rank").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_disjoint_and_annotated(spark):
     spans = spark.createDataFrame([([(5, 8, "x"), (0, 4, "<y>"), (3, 6, "z")], "abcd&efgh")], "i array<struct<start:int,end:int,comment:string>>, t string")
     kept = audit.keep_disjoint(F.col("i"))
