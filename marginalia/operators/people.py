@@ -89,7 +89,7 @@ def fuzzy_match(names: DataFrame, roster: DataFrame, least: float = LEAST_RATIO)
     mailed = people.where(F.coalesce("email", F.lit("")) != "")
     exact = wanted.join(mailed, wanted["key"] == mailed["name_key"]).select("name", "full_name", "email", F.lit(1.0).alias("score"))
     rest = wanted.join(exact.select("name"), "name", "left_anti").withColumn("la", F.length("key"))
-    low, high = F.ceil(F.col("la") * least / (2 - least)), F.floor(F.col("la") * (2 - least) / least)
+    low, high = F.ceil(F.col("la") * least / (2 - least) - 1e-9), F.floor(F.col("la") * (2 - least) / least + 1e-9)
     spread = rest.where("la > 0").select("name", "key", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("lb"))
     sized = people.withColumn("lb", F.length("name_key"))
     scored = spread.join(sized, "lb").withColumn("score", ratio("key", "name_key")).where(F.col("score") >= least)

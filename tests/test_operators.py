@@ -102,6 +102,12 @@ def test_roster_and_fuzzy(spark):
     assert [(r["full_name"]) for r in people.suggest(spark.createDataFrame([("Ray",)], "name string"), roster).collect()] == ["Bob Ray"]
 
 
+def test_a_ratio_of_exactly_the_least_is_met(spark):
+    roster = spark.createDataFrame([("abcdefghijkl", "L", "l@x", 0), ("xy", "S", "s@x", 1)], "name_key string, full_name string, email string, position long")
+    names = spark.createDataFrame([("abcdefgh",), ("xyz",)], "name string")
+    assert {r["name"]: r["full_name"] for r in people.fuzzy_match(names, roster).collect()} == {"abcdefgh": "L", "xyz": "S"}
+
+
 def test_suggestions_over_the_whole_table_against_brute_force(spark):
     from marginalia.plans import registry
 
