@@ -2,12 +2,10 @@
 
 Terms whose document frequency lies in a band (neither rare nor common) form
 the lexicon.  Each of several randomised subsets of the lexicon keeps a term by
-its hash; a document's distinct terms in a subset are hashed together.  The
-hash of a set adds up (by exclusive or) the hashes of its terms: it is the
-same for every order, as if the terms had been sorted first, and it is an
-ordinary aggregate.  Subsets come in families of falling density, each inside
-the one before, so that short and long documents alike have subsets with a few
-of their terms.
+its hash; a document's distinct terms in a subset, named by their 64-bit
+hashes, are sorted and hashed together.  Subsets come in families of falling
+density, each inside the one before, so that short and long documents alike
+have subsets with a few of their terms.
 
 Everything here is DataFrame code: no Python runs on the executors.
 """
@@ -25,8 +23,9 @@ BAND = (0.002, 0.1)
 FAMILIES, LEVELS = 8, range(2, 9)
 #: A lexicon of at most so many terms is broadcast; beyond it, it is joined.
 BROADCAST_TERMS = 1_000_000
-#: Rows for which one range of doc_id is meant, and the most ranges.
-RANGE_ROWS, MOST_RANGES = 1024, 4096
+#: Rows for which one range of doc_id is meant, and the most quantiles taken; beyond
+#: them the room between two quantiles is cut evenly.
+RANGE_ROWS, QUANTILES = 1024, 4096
 
 
 #: What a document's row without a term carries: its id, length, hashes, and the edited text's SHA-256 as four numbers.
@@ -55,8 +54,8 @@ def lexicon(documents: DataFrame, n: int, scratch: Scratch, band=BAND) -> DataFr
 
 def slot(cell, n, h):
     """A subset, the number of a text's terms in it and their hash, like
-    ``07:2:0A1B2C``; null if there is none."""
-    return F.when(n > 0, F.concat_ws(":", F.lpad(cell.cast("string"), 2, "0"), n.cast("string"), F.right(F.hex(h), F.lit(6))))
+    ``07:2:0A1B2C3D``; null if there is none."""
+    return F.when(n > 0, F.concat_ws(":", F.lpad(cell.cast("string"), 2, "0"), n.cast("string"), F.lpad(F.right(F.hex(h), F.lit(8)), 8, "0")))
 
 
 def likeness(a, b):
@@ -86,6 +85,37 @@ def range_of(column, bounds: list[int]):
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine)
 
 
+def ranges(docs: DataFrame, n: int):
+    """(coarse, part) of ``id`` as columns: ascending ranges of about
+    ``RANGE_ROWS`` rows each, however many there are."""
+    many = max(1, n // RANGE_ROWS)
+    taken = min(many, QUANTILES)
+    if taken == 1:
+        return F.lit(0), F.lit(0).cast("long")
+    found = docs.agg(F.percentile_approx("id", [i / taken for i in range(1, taken)], 100 * taken).alias("q"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+    bounds = sorted(set(found["q"]))
+    coarse = range_of(F.col("id"), bounds)
+    fine = -(-many // taken)
+    if fine == 1:
+        return coarse, coarse.cast("long")
+    edges = F.lit([float(x) for x in (found["low"], *bounds, found["high"])])
+    low, high = F.get(edges, coarse), F.get(edges, coarse + 1)
+    inside = F.floor((F.col("id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * fine)
+    return coarse, coarse.cast("long") * fine + F.least(F.greatest(inside, F.lit(0)), F.lit(fine - 1))
+
+
+def following(parts: DataFrame) -> DataFrame:
+    """(part, next) of the ranges (coarse, part) that have rows; the first
+    follows the last.  The one window without a partition has a row per
+    quantile."""
+    heads = parts.groupBy("coarse").agg(F.min("part").alias("head"))
+    every = Window.orderBy("coarse")
+    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select("coarse", F.coalesce(F.lead("head").over(every), F.first("head").over(whole)).alias("after"))
+    inner = parts.select("coarse", "part", F.lead("part").over(Window.partitionBy("coarse").orderBy("part")).alias("within"))
+    return inner.join(F.broadcast(heads), "coarse").select("part", F.coalesce("within", "after").alias("next"))
+
+
 def edited_fingerprints(documents: DataFrame, band=BAND) -> DataFrame:
     """Fingerprints of every text and of its edited text.
 
@@ -107,17 +137,15 @@ def edited_fingerprints(documents: DataFrame, band=BAND) -> DataFrame:
     n = docs.count()
     words = scratch.save(lexicon(docs, n, scratch, band))
     small = words.count() <= BROADCAST_TERMS
-    many = min(MOST_RANGES, max(1, n // RANGE_ROWS))
-    found = docs.agg(F.percentile_approx("id", [i / many for i in range(1, many)], 100 * many)).first()[0] if many > 1 else []
-    bounds = sorted(set(found))
-    ranged = docs.select("id", F.sha2("text", 256).alias("sha"), "text", range_of(F.col("id"), bounds).alias("part"))
+    coarse, part = ranges(docs, n)
+    ranged = docs.select("id", F.sha2("text", 256).alias("sha"), "text", part.alias("part"), coarse.alias("coarse"))
     key = F.struct("id", "sha")
     # the first text of each range, and how much of it the last row before it takes: a row per range
-    firsts = ranged.groupBy("part").agg(F.min_by("text", key).alias("first_text"), F.max_by(F.length("text"), key).alias("n_last"))
-    every = Window.orderBy("part")
-    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follow = F.coalesce(F.lead("first_text").over(every), F.first("first_text").over(whole))
-    ends = scratch.save(scratch.save(firsts).select("part", F.substring(follow, F.lit(1), F.floor(F.col("n_last") / 4).cast("int")).alias("after")))
+    firsts = ranged.groupBy("part").agg(F.min_by("text", key).alias("first_text"), F.max_by(F.length("text"), key).alias("n_last"), F.first("coarse").alias("coarse"))
+    firsts = scratch.save(firsts)
+    after = scratch.save(following(firsts.select("coarse", "part")))
+    lent = firsts.select("part", "n_last").join(after, "part").join(firsts.select(F.col("part").alias("next"), "first_text"), "next")
+    ends = scratch.save(lent.select("part", F.substring("first_text", F.lit(1), F.floor(F.col("n_last") / 4).cast("int")).alias("after")))
     w = Window.partitionBy("part").orderBy("id", "sha")
     quarter = F.floor(F.length("text") / 4).cast("int")
     lent = F.coalesce(F.substring(F.lead("text").over(w), F.lit(1), quarter), F.col("after"))
@@ -135,7 +163,7 @@ def edited_fingerprints(documents: DataFrame, band=BAND) -> DataFrame:
     inside = [F.col("bits").bitwiseAND(F.lit(bit)) != 0 for bit in (1, 2)]
     cells = hits.groupBy("part", "row", "cell").agg(
         *[F.max(c).alias(c) for c in _KNOWN],
-        *[F.bit_xor(F.when(x, F.col("h"))).alias(f"x{i}") for i, x in enumerate(inside)],
+        *[F.xxhash64(F.array_sort(F.collect_list(F.when(x, F.col("h"))))).alias(f"x{i}") for i, x in enumerate(inside)],
         *[F.count(F.when(x, 1)).alias(f"n{i}") for i, x in enumerate(inside)],
     )
     printed_slots = cells.select("part", "row", *_KNOWN, *[slot(F.col("cell"), F.col(f"n{i}"), F.col(f"x{i}")).alias(f"s{i}") for i in range(2)])
@@ -146,9 +174,10 @@ def edited_fingerprints(documents: DataFrame, band=BAND) -> DataFrame:
         per.select("part", "row", "id", "n_chars", sha.alias("edited_sha256"), whole_text("s0", "h1").alias("fingerprint"), whole_text("s1", "h2").alias("edited_fingerprint"))
         .select("*", F.lead("fingerprint").over(Window.partitionBy("part").orderBy("row")).alias("next"))
     )
-    opening = scratch.save(printed.where("row = 1").select("part", "fingerprint"))
-    opening = opening.select("part", F.coalesce(F.lead("fingerprint").over(every), F.first("fingerprint").over(whole)).alias("other"))
+    opening = printed.where("row = 1").select(F.col("part").alias("next_part"), F.col("fingerprint").alias("other"))
+    opening = scratch.save(after.withColumnRenamed("next", "next_part").join(opening, "next_part").select("part", "other"))
     out = printed.join(opening, "part")
+    scratch.drop(words, firsts, ends, after)
     return out.select(
         F.when(F.col("id") != -(2**63), F.col("id")).alias("doc_id"),
         "n_chars",
