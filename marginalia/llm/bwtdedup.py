@@ -88,13 +88,21 @@ def _order(text: np.ndarray) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
+def mixed(name: np.ndarray) -> np.ndarray:
+    """Names spread evenly: a smallest hash crowds at the low end."""
+    h = (name ^ (name >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
 def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of shards' transforms, and blocks of suffixes that agree on
-    ``depth`` symbols.
+    """Interleave of shards' transforms, and common prefixes of neighbours up
+    to ``depth`` symbols.
 
     Symbol 0 ends a string; ends differ from each other, and those of earlier
-    shards come first.  Returns for each place of the merged order its shard
-    and its block; a shard's own suffixes keep their order."""
+    shards come first.  Returns for each place of the merged order its shard,
+    and the length of the prefix its suffix has in common with the one before;
+    a shard's own suffixes keep their order.  A boundary, once it is there,
+    keeps its place, so the prefix is the number of rounds before it."""
     small = np.uint8 if len(transforms) < 256 else np.uint16
     shard = np.repeat(np.arange(len(transforms), dtype=small), [len(t) for t in transforms])
     symbols = np.concatenate(transforms)
@@ -102,6 +110,7 @@ def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarr
     block = np.zeros(len(shard), np.int32)
     merged = np.empty_like(symbols)
     new = np.ones(len(shard), bool)
+    prefix = np.zeros(len(shard), np.uint8)
     for _ in range(depth):
         if block[-1] == len(block) - 1:
             break
@@ -113,7 +122,8 @@ def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarr
         new[len(ends) + 1 :] |= below[1:] != below[:-1]
         shard = np.concatenate([ends, shard[by]])
         block = np.cumsum(new, dtype=np.int32) - 1
-    return shard, block
+        prefix += ~new
+    return shard, prefix
 
 
 def smallest_owner(segments: list[bytes], owners: np.ndarray, length: int = LENGTH, shard_suffixes: int = SHARD_SUFFIXES) -> list[np.ndarray]:
@@ -135,13 +145,14 @@ def smallest_owner(segments: list[bytes], owners: np.ndarray, length: int = LENG
         sa = _order(text[a:b])
         transforms.append(np.where(sa > 0, text[a:b][sa - 1], 0).astype(np.uint8))
         places.append(sa + a)
-    shard, block = merge_transforms(transforms, length)
+    shard, prefix = merge_transforms(transforms, length)
     suffix = np.empty(len(text), np.int64)
     suffix[np.argsort(shard, kind="stable")] = np.concatenate(places)
     owner = np.repeat(owners, lens + 1)
-    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    opens = prefix < length  # a repeated interval lasts while neighbours share that much
+    opens[0] = True
     best = np.empty(len(text), np.int64)
-    best[suffix] = np.minimum.reduceat(owner[suffix], first)[block]
+    best[suffix] = np.minimum.reduceat(owner[suffix], np.flatnonzero(opens))[np.cumsum(opens) - 1]
     starts = stops - lens - 1
     return [best[s : s + max(0, n - length + 1)] for s, n in zip(starts.tolist(), lens.tolist(), strict=True)]
 
@@ -238,7 +249,7 @@ def dedup(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                 ids, lengths, raw = _body(r)
                 _, name, text = window_names(np.frombuffer(raw, np.uint8), lengths)
                 at = _runs(name, text)
-                name, owner = name[at], ids[text[at]]
+                name, owner = mixed(name[at]), ids[text[at]]
                 by = np.lexsort((owner, name))
                 name, owner = name[by], owner[by]
                 head = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else at
@@ -277,20 +288,22 @@ def dedup(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             for r in pdf.itertuples():
                 ids, lengths, raw = _body(r)
                 start, name, text = window_names(np.frombuffer(raw, np.uint8), lengths)
-                bucket, low = bucket_of(name), name.astype(np.uint32)
                 at = _runs(name, text)
+                stop = np.r_[at[1:], len(name)]
+                name = mixed(name[at])
+                bucket, low = bucket_of(name), name.astype(np.uint32)
                 key = np.sort(np.concatenate([(np.uint64(w["bucket"]) << np.uint64(32)) | np.frombuffer(w["low"], np.uint32).astype(np.uint64) for w in r.wanted]))
-                own = (bucket[at].astype(np.uint64) << np.uint64(32)) | low[at].astype(np.uint64)
+                own = (bucket.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)
                 hit = key[np.minimum(np.searchsorted(key, own), len(key) - 1)] == own
                 if r.skipped is not None:
                     hit &= ~np.isin(text[at], np.asarray(r.skipped, np.int64))
-                stop = np.r_[at[1:], len(name)]
-                at, stop = at[hit], stop[hit]
+                at, stop, bucket, low = at[hit], stop[hit], bucket[hit], low[hit]
                 if not len(at):
                     continue
                 # long runs (of text that repeats itself) in parts
                 parts = -(-(stop - at) // SEGMENT_WINDOWS)
                 part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                bucket, low = np.repeat(bucket, parts), np.repeat(low, parts)
                 at = np.repeat(at, parts) + part * SEGMENT_WINDOWS
                 begin = start[at]
                 end = begin + np.minimum(SEGMENT_WINDOWS, np.repeat(stop, parts) - at) + LENGTH - 1
@@ -300,7 +313,7 @@ def dedup(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                 least = np.full(n, 2**63 - 1, np.int64)
                 np.minimum.at(least, which, ids[text[at]])
                 home, key = np.empty(n, np.int64), np.empty(n, np.uint32)
-                home[which], key[which] = bucket[at], low[at]
+                home[which], key[which] = bucket, low
                 order = np.argsort(home, kind="stable")
                 place = np.empty(n, np.int64)
                 place[order] = np.arange(n)
