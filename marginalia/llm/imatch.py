@@ -157,17 +157,18 @@ def edited_fingerprints(documents: DataFrame, band=BAND) -> DataFrame:
     )
     # bit 0: in the text, bit 1: in the edited one; one more row, without a term, carries what is known of the document
     sets = sets.select("part", "row", *_KNOWN[:4], *[F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("long").alias(f"e{i}") for i in range(4)], F.explode(F.array(*[F.struct(F.lit(i).alias("bits"), F.col(f"t{i}").alias("ts")) for i in range(4)])).alias("g"))
-    spread = sets.select("part", "row", *[F.when(F.col("g.bits") == 0, F.col(c)).alias(c) for c in _KNOWN], F.col("g.bits").alias("bits"), F.explode("g.ts").alias("term"))
+    # one column and one key: what is sorted below has a row per term and subset
+    spread = sets.select("part", "row", F.when(F.col("g.bits") == 0, F.struct(*_KNOWN)).alias("known"), F.col("g.bits").alias("bits"), F.explode("g.ts").alias("term"))
     hits = spread.join(F.broadcast(words) if small else words, "term", "left").where("cells is not null or bits = 0")
-    hits = hits.select("part", "row", *_KNOWN, "bits", "h", F.explode_outer("cells").alias("cell"))
+    hits = hits.select("part", "row", "known", "bits", "h", F.explode_outer("cells").alias("cell"))
     inside = [F.col("bits").bitwiseAND(F.lit(bit)) != 0 for bit in (1, 2)]
     cells = hits.groupBy("part", "row", "cell").agg(
-        *[F.max(c).alias(c) for c in _KNOWN],
+        F.first("known", True).alias("known"),
         *[F.xxhash64(F.array_sort(F.collect_list(F.when(x, F.col("h"))))).alias(f"x{i}") for i, x in enumerate(inside)],
         *[F.count(F.when(x, 1)).alias(f"n{i}") for i, x in enumerate(inside)],
     )
-    printed_slots = cells.select("part", "row", *_KNOWN, *[slot(F.col("cell"), F.col(f"n{i}"), F.col(f"x{i}")).alias(f"s{i}") for i in range(2)])
-    per = printed_slots.groupBy("part", "row").agg(*[F.max(c).alias(c) for c in _KNOWN], *[F.array_join(F.array_sort(F.collect_list(f"s{i}")), " ").alias(f"s{i}") for i in range(2)])
+    printed_slots = cells.select("part", "row", "known", *[slot(F.col("cell"), F.col(f"n{i}"), F.col(f"x{i}")).alias(f"s{i}") for i in range(2)])
+    per = printed_slots.groupBy("part", "row").agg(F.first("known", True).alias("known"), *[F.array_join(F.array_sort(F.collect_list(f"s{i}")), " ").alias(f"s{i}") for i in range(2)]).select("part", "row", "known.*", "s0", "s1")
     sha = F.lower(F.concat(*[F.lpad(F.hex(f"e{i}"), 16, "0") for i in range(4)]))
     whole_text = lambda s, h: F.when(F.col(s) == "", F.concat(F.lit("="), F.hex(h))).otherwise(F.col(s))
     printed = scratch.save(
