@@ -78,25 +78,56 @@ def op10_url_rules(spark, sf_dir):
     return urlrules.judge_urls(pages, urlrules.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
-OP10_SQL = r"""
+def _attribute_sql(name):
+    found = rf"""'(?is)[\s"''/]{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))'"""
+    value = " || ".join(f"regexp_extract(tag, {found}, {i})" for i in (1, 2, 3))
+    return rf"""trim(array_to_string(list_transform(regexp_extract_all({value}, '&(?:#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[a-zA-Z]+);|&|[^&]+'), lambda p:
+      case p when '&amp;' then '&' when '&lt;' then '<' when '&gt;' then '>' when '&quot;' then '"' when '&apos;' then '''' else
+        case when coalesce(code_of(p), 0) between 1 and 55295 or coalesce(code_of(p), 0) between 57344 and 1114111 then chr(code_of(p)) else p end end), ''))""".replace(
+        "code_of(p)", "case when regexp_matches(p, '^&#[0-9]') then try_cast(regexp_extract(p, '([0-9]+)', 1) as int) when regexp_matches(p, '^&#[xX]') then try_cast('0x' || regexp_extract(p, '^&#.([0-9a-fA-F]+)', 1) as int) end"
+    )
+
+
+def _walked_sql(path):
+    steps = f"string_split({path}, '/')[2:]"
+    walked = f"list_reduce(list_prepend('', {steps}), lambda q, s: case s when '.' then q when '..' then regexp_replace(q, '/[^/]*$', '') else q || '/' || s end)"
+    return f"(case when {path} = '' then '' else {walked} || case when regexp_matches({path}, '/\\.\\.?$') then '/' else '' end end)"
+
+
+def _absolute_sql(url, target):
+    base, path = f"regexp_extract({url}, '^([^/?#]*://[^/?#]*)', 1)", f"regexp_extract({url}, '://[^/?#]*([^?#]*)', 1)"
+    own, rest = f"regexp_extract({target}, '^([^?#]*)', 1)", f"regexp_extract({target}, '^[^?#]*(.*)$', 1)"
+    folder = f"coalesce(nullif(regexp_replace({path}, '[^/]*$', ''), ''), '/')"
+    return rf"""case when regexp_matches({target}, '^[a-zA-Z][a-zA-Z0-9+.\-]*://')
+      then regexp_extract({target}, '^([^/?#]*://[^/?#]*)', 1) || {_walked_sql(f"regexp_extract({target}, '://[^/?#]*([^?#]*)', 1)")} || regexp_extract({target}, '://[^?#]*(.*)$', 1)
+      when regexp_matches({target}, '^[a-zA-Z][a-zA-Z0-9+.\-]*:') then null
+      when starts_with({target}, '//') then regexp_extract({url}, '^([^/?#]*):', 1) || ':' || regexp_extract({target}, '^(//[^/?#]*)', 1) || {_walked_sql(f"regexp_extract({target}, '^//[^/?#]*([^?#]*)', 1)")} || {rest}
+      when starts_with({target}, '/') then {base} || {_walked_sql(own)} || {rest}
+      when starts_with({target}, '?') then {base} || {path} || {rest}
+      when starts_with({target}, '#') or {target} = '' then {base} || {path} || regexp_extract({url}, '^[^?#]*(\?[^#]*)', 1) || {rest}
+      else {base} || {_walked_sql(f"({folder} || {own})")} || {rest} end"""
+
+
+OP10_SQL = rf"""
 with recursive rules(rule_host, rule_path, v) as (values
   ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
-links as (
-  select url as from_url, case when contains(t, '://') then t
-      when starts_with(t, '//') then regexp_extract(url, '^([^/?#]*):', 1) || ':' || t
-      when starts_with(t, '/') then regexp_extract(url, '^([^/?#]*://[^/?#]*)', 1) || t
-      when starts_with(t, '#') or starts_with(t, '?') then regexp_extract(url, '^([^/?#]*://[^/?#]*)', 1) || regexp_extract(url, '://[^/?#]*([^?#]*)', 1) || t
-      else regexp_extract(url, '^([^/?#]*://[^/?#]*)', 1) || coalesce(nullif(regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '[^/]*$', ''), ''), '/') || t end as to_url
-  from (
-    select url, regexp_extract(unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) as t from pages where url is not null
-    union all
-    select url, regexp_extract(unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')), '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) from pages where url is not null)
-  where t <> ''),
+found as (
+  select url, regexp_extract_all(regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)', ' ', 'g'), '(?is)<(?:link|meta|base)\s(?:[^>"'']+|"[^"]*"|''[^'']*'')*>') as tags
+  from pages where url is not null and regexp_matches(html, '(?i)canonical|refresh')),
+bases as (
+  select url, tags, list_filter(list_transform(list_filter(tags, lambda tag: regexp_matches(tag, '(?i)^<base')), lambda tag: {_attribute_sql("href")}), lambda v: v <> '')[1] as given
+  from found),
+each as (select url, coalesce({_absolute_sql("url", "given")}, url) as base, unnest(tags) as tag from bases),
+targets as (
+  select url, base, case
+      when regexp_matches(tag, '(?i)^<link') and list_contains(regexp_split_to_array(lower({_attribute_sql("rel")}), '\s+'), 'canonical') then {_attribute_sql("href")}
+      when regexp_matches(tag, '(?i)^<meta') and lower({_attribute_sql("http-equiv")}) = 'refresh' then regexp_extract({_attribute_sql("content")}, '(?is)\burl\s*=\s*["'']?([^"''\s]+)', 1) end as target
+  from each),
+links as (select url as from_url, to_url from (select url, {_absolute_sql("base", "target")} as to_url from targets where target <> '') where to_url is not null),
 urls as (
-  select url, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path,
-    array_to_string(list_filter(string_split(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), '&'), lambda q: q <> '' and not starts_with(q, 'utm_')), '&') as query
+  select url, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path
   from (select distinct url from pages union select from_url from links union select to_url from links)),
-keyed as (select url, host, path, case when contains(url, '://') then host || path || case when query <> '' then '?' || query else '' end end as key from urls),
+keyed as (select url, host, path, case when contains(url, '://') then regexp_extract(url, '^(.*?)://', 1) || '://' || host || regexp_extract(url, '://[^/?#]*(.*)', 1) end as key from urls),
 fits as (
   select url, rule_host || rule_path as rule, v, row_number() over (partition by url order by length(rule_host || rule_path) desc, v) as n
   from keyed join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)),
