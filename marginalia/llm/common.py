@@ -7,7 +7,6 @@ that they cut lineage and survive the loss of any executor.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,20 +17,17 @@ LOWER = UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share.  Only where the session names none
-    (local tests) a local temporary folder takes its place."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="marginalia-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    """Folder that all executors share: ``spark.checkpoint.dir``, or a folder
+    of the warehouse where the session names none."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 class Scratch:
     """Written tables of one operator call.
 
     ``save`` writes and rereads a table; ``drop`` removes those that nothing
-    returned depends on any more.
+    returned depends on any more.  What a returned table still reads goes when
+    the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -43,14 +39,24 @@ class Scratch:
         self._n += 1
         path = f"{self.root}/t{self._n}"
         df.write.option("compression", "zstd").parquet(path)
+        if self._n == 1:
+            self._file_system(self.root).deleteOnExit(self._path(self.root))
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _file_system(self, path: str):
+        return self._path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def delete(self, path: str) -> None:
+        self._file_system(path).delete(self._path(path), True)
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.delete(t._scratch_path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -20,6 +20,8 @@ from .common import Scratch, ascii_lower
 
 #: Keys for which one filter is built.
 BUCKET_KEYS = 4096
+#: Rows from which a group can be hot.
+HOT_ROWS = 64
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)  # fixed values: a 64-bit finaliser's multipliers
 
@@ -117,49 +119,97 @@ def screen(digests: DataFrame, filters: DataFrame) -> DataFrame:
     return digests.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(passing, "digest string")
 
 
-def dedup(snapshot: DataFrame, batch: DataFrame, digest: Callable[[Column], Column] | None = None) -> DataFrame:
+def groups_of(keys: DataFrame) -> DataFrame:
+    """(digest, n, top, key): rows and largest doc_id of each digest."""
+    return keys.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")).withColumn("key", F.xxhash64("digest"))
+
+
+def _keyed(docs: DataFrame, digest) -> DataFrame:
+    norm = ascii_lower(F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", norm.alias("norm")).withColumn("text_sha256", F.sha2("norm", 256)).withColumn("digest", digest(F.col("text_sha256")))
+
+
+def _dealt(groups: DataFrame, buckets: int) -> DataFrame:
+    return groups.select(F.expr(f"pmod(key, {buckets}L)").alias("bucket"), "key", "digest")
+
+
+def _build(groups: DataFrame, path: str) -> None:
+    groups.write.option("compression", "zstd").parquet(f"{path}/groups")
+    stored = groups.sparkSession.read.schema(groups.schema).parquet(f"{path}/groups")
+    buckets = max(1, -(-stored.count() // BUCKET_KEYS))
+    filters = build_filters(_dealt(stored, buckets).select("bucket", "key")).withColumn("buckets", F.lit(buckets).cast("long"))
+    filters.write.option("compression", "zstd").parquet(f"{path}/filters")
+
+
+def build(snapshot: DataFrame, path: str, digest: Callable[[Column], Column] | None = None) -> None:
+    """Write a snapshot's groups and filters below ``path``, once; every later
+    batch is screened against them (``load``)."""
+    _build(groups_of(_keyed(snapshot, digest or (lambda sha: sha))), path)
+
+
+def load(spark, path: str) -> tuple[DataFrame, DataFrame, int]:
+    """Groups, filters and the number of buckets that ``build`` wrote."""
+    filters = spark.read.schema(_FILTERS + ", buckets long").parquet(f"{path}/filters")
+    first = filters.select("buckets").first()
+    return spark.read.schema("digest string, n long, top long, key long").parquet(f"{path}/groups"), filters.drop("buckets"), first[0] if first else 1
+
+
+def dedup(snapshot: DataFrame, batch: DataFrame, digest: Callable[[Column], Column] | None = None, built: str | None = None) -> DataFrame:
     """Groups of equal texts over an immutable snapshot and a new batch.
 
     Both have doc_id and text; other columns are ignored.  Texts are equal if
     identical after lower-casing A-Z; null counts as empty.  Returns a row for
     each row of either: doc_id, keep_id (largest doc_id of the group),
-    group_size, kept, text_sha256, in_snapshot.
+    group_size, kept, text_sha256, in_snapshot.  ``built`` is where ``build``
+    wrote this snapshot's filters; without it they are built for this call.
 
     Rows are named by doc_id: repeated rows of the doc_id that stays are all
     kept.  A null doc_id stays only in a group without any other.  Empty
     tables give no rows.  ``digest`` maps the SHA-256 to a weaker digest, to
     test that bytes decide and not digests.
+
+    Groups of more than a ten-thousandth of the rows (of ``HOT_ROWS`` at
+    least), of which there can be ten thousand at most, are broadcast; their
+    texts are compared in salted parts of that size.  The other joins grow
+    with the rows and are merge joins at every size.
     """
-    scratch = Scratch(snapshot.sparkSession)
-    side = lambda df, s: df.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"), F.lit(s).alias("old"))
+    spark = snapshot.sparkSession
+    scratch = Scratch(spark)
     digest = digest or (lambda sha: sha)
-    docs = side(snapshot, True).unionByName(side(batch, False)).withColumn("text_sha256", F.sha2("norm", 256)).withColumn("digest", digest(F.col("text_sha256")))
-    keys = scratch.save(docs.select("doc_id", "old", "text_sha256", "digest"))
-    groups = scratch.save(
-        keys.groupBy("old", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")).withColumn("key", F.xxhash64("digest"))
-    )
-    old, new = groups.where("old"), groups.where("not old")
-    buckets = max(1, -(-old.count() // BUCKET_KEYS))
-    dealt = lambda df: df.select(F.expr(f"pmod(key, {buckets}L)").alias("bucket"), "key", "digest")
-    filters = scratch.save(build_filters(dealt(old).select("bucket", "key")))
-    known = screen(dealt(new), filters)
-    met = scratch.save(known.join(new, "digest").join(old.select("digest", F.col("n").alias("n_old"), F.col("top").alias("top_old")), "digest").select("digest", (F.col("n") + F.col("n_old")).alias("n"), F.greatest("top", "top_old").alias("top")))
-    apart = groups.join(met.select("digest"), "digest", "left_anti").select("digest", "n", "top")
+    docs = _keyed(snapshot.select("doc_id", "text"), digest).withColumn("old", F.lit(True)).unionByName(_keyed(batch.select("doc_id", "text"), digest).withColumn("old", F.lit(False)))
+    keys = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "old", "text_sha256", "digest"))
+    fresh = built is None
+    if fresh:
+        built = f"{scratch.root}/snapshot"
+        _build(groups_of(keys.where("old")), built)
+    old, filters, buckets = load(spark, built)
+    new = scratch.save(groups_of(keys.where("not old")))
+    known = screen(_dealt(new, buckets), filters)
+    met = known.join(new.hint("merge"), "digest").join(old.select("digest", F.col("n").alias("n_old"), F.col("top").alias("top_old")).hint("merge"), "digest")
+    met = scratch.save(met.select("digest", (F.col("n") + F.col("n_old")).alias("n"), F.greatest("top", "top_old").alias("top")))
+    apart = old.unionByName(new).join(met.select("digest").hint("merge"), "digest", "left_anti").select("digest", "n", "top")
     classes = scratch.save(met.unionByName(apart))
+    if fresh:
+        scratch.delete(built)
+    hot_rows = max(HOT_ROWS, keys.count() // 10_000)
+    hot = F.broadcast(classes.where(F.col("n") > hot_rows))
     # byte checks: every member of a group against one of its members
-    several = classes.where("n > 1").select("digest", F.col("top").alias("ref_id"))
-    members = scratch.save(docs.join(several, "digest").select("doc_id", "digest", "norm", "ref_id"))
-    refs = members.where("doc_id <=> ref_id").groupBy("digest").agg(F.min("norm").alias("ref"))
+    parts = F.ceil(F.col("n") / hot_rows).cast("int").alias("parts")
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    several = classes.where("n > 1").select("digest", F.col("top").alias("ref_id"), parts)
+    dealt = docs.join(hot.select("digest", parts), "digest", "left").withColumn("salt", F.coalesce(F.expr("pmod(xxhash64(doc_id), parts)"), F.lit(0)).cast("int")).drop("parts")
+    members = scratch.save(dealt.join(salted(several).hint("merge"), ["digest", "salt"]).select("doc_id", "digest", "salt", "norm", "ref_id", "parts"))
+    refs = members.where("doc_id <=> ref_id").groupBy("digest").agg(F.min("norm").alias("ref"), F.first("parts").alias("parts"))
     refs = scratch.save(refs)
-    odd = scratch.save(members.join(refs, "digest").where("norm <> ref").select("digest").distinct())
-    scratch.drop(groups, filters, met, members, refs)
-    if odd.limit(1).count() == 0:
-        out = keys.join(classes, "digest")
-    else:  # digests that several texts share: their texts are the keys
+    odd = scratch.save(members.join(salted(refs).hint("merge"), ["digest", "salt"]).where("norm <> ref").select("digest").distinct())
+    scratch.drop(new, met, members, refs)
+    cold = keys.join(hot.select("digest"), "digest", "left_anti").join(classes.where(F.col("n") <= hot_rows).hint("merge"), "digest")
+    out = keys.join(hot, "digest").unionByName(cold)
+    if odd.limit(1).count():  # digests that several texts share: their texts are the keys
         texts = docs.join(odd, "digest")
         exact = scratch.save(texts.groupBy("text_sha256", "norm").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")))
         split = texts.join(exact, ["text_sha256", "norm"]).select("digest", "doc_id", "old", "text_sha256", "n", "top")
-        out = keys.join(odd, "digest", "left_anti").join(classes, "digest").select(split.columns).unionByName(split)
+        out = out.join(odd, "digest", "left_anti").select(split.columns).unionByName(split)
     return out.select(
         "doc_id", F.col("top").alias("keep_id"), F.col("n").cast("long").alias("group_size"), F.expr("doc_id <=> top").alias("kept"), "text_sha256", F.col("old").alias("in_snapshot")
     )
