@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from marginalia.llm import bwtdedup, common, exactdedup, htmltext, imatch, langid, orderhash, packing, pieces, sharding, urlrules
@@ -156,6 +157,23 @@ def test_exact_groups(spark, docs, digest):
     assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in rows)
 
 
+def test_a_snapshot_is_built_once(spark, docs, tmp_path):
+    half = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+    exactdedup.build(docs.where(half), str(tmp_path / "built"))
+    want = sorted(map(tuple, exactdedup.dedup(docs.where(half), docs.where(~half)).collect()), key=str)
+    for _ in range(2):
+        got = exactdedup.dedup(docs.where(half), docs.where(~half), built=str(tmp_path / "built"))
+        assert sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_a_hot_text_is_salted(spark):
+    rows = [(i, "The Same" if i % 3 else f"text {i}", "x", 0) for i in range(1000)] + [(5, "the same", "x", 0), (None, "the SAME", None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string, kept int")
+    got = exactdedup.dedup_table(df).collect()
+    assert len(got) == 1002 and sum(r["kept"] for r in got) == 335
+    assert {(r["keep_id"], r["group_size"]) for r in got if r["group_size"] > 1} == {(998, 668)}
+
+
 def test_exact_of_nothing(empty, docs):
     assert exactdedup.dedup_table(empty).count() == 0
     assert exactdedup.dedup(empty, docs).count() == docs.count()
@@ -175,11 +193,17 @@ PAGE = "<html><head><title>T</title><style>p{{}}</style></head><body><nav><a>Hom
         ("<main>In <!-- no --> main</main><aside>Out</aside>", "In main"),
         ("<div>Plain</div>", "Plain"),
         ("<article><div class='cookie-notice'>We<div>use</div>them</div><p>Kept", "Kept"),
+        ("<article><section class='social policy'><p>Real text</p></section><p class='notice header related'>More</p></article>", "Real text More"),
+        ("<article><header>By <h1>Title</h1>May 1</header><p>Text</article>", "Title Text"),
+        ("<main><article><p>Own</p><article class='reader-feedback'><p>A comment</p></article><p>End</p></article></main>", "Own End"),
+        ("<article><p>Own</p><ol><li itemprop=comment>Nice</ol><p hidden>No</p></article>", "Own"),
+        ("<div data-class='ad'>Kept</div><div class='ad'>Buy</div>", "Kept"),
         ("", ""),
     ],
 )
-def test_blocks(body, text):
-    assert " ".join(htmltext.blocks_of(PAGE.format(body))[0]) == text
+def test_blocks(spark, body, text):
+    pages = spark.createDataFrame([(1, "http://h.org/", PAGE.format(body))], "page_id long, url string, html string")
+    assert htmltext.main_text(pages).first()["text"] == text
 
 
 def test_repeated_runs_go_where_no_article_is_marked(spark):
@@ -192,20 +216,39 @@ def test_repeated_runs_go_where_no_article_is_marked(spark):
     assert htmltext.main_text(pages.limit(0)).count() == 0
 
 
-def test_a_large_hosts_runs_are_counted_over_all_its_pages(spark):
-    menu = "a few pages of this very large site share these words in a row"
+@pytest.mark.parametrize("group_bytes", [1 << 23, 1 << 14])
+def test_a_large_hosts_runs_are_counted_over_all_its_pages(spark, monkeypatch, group_bytes):
+    monkeypatch.setattr(htmltext, "GROUP_BYTES", group_bytes)
+    menu, notice = "a few pages of this very large site share these words in a row", "most articles of the site have this short notice in them"
     own = lambda i: " ".join(f"p{i}w{k}" for k in range(20))
-    rows = [(i, f"http://h.org/{i}", f"<body><div>{menu if i < 5 else ''}</div><div>{own(i)}</div>") for i in range(400)]
-    rows += [(500 + i, f"http://h.org/x{i}", f"<body><div>twice is not enough for these ten words here {i}</div>") for i in range(2)]
+    rows = [(i, f"http://h.org/{i}", f"<body><div>{menu if i % 25 == 0 else ''}</div><div>{own(i)}</div>") for i in range(400)]
+    rows += [(1000 + i, f"http://h.org/{i}", f"<article><p>{notice}</p>{own(1000 + i)}{menu if i % 25 == 0 else ''}</article>") for i in range(600)]
+    rows += [(5000 + i, f"http://h.org/x{i}", f"<body><div>twice is not enough for these ten words here {i}</div>") for i in range(2)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r["page_id"]: r["text"] for r in htmltext.main_text(pages).collect()}
-    assert got == {i: own(i) for i in range(400)} | {500 + i: f"twice is not enough for these ten words here {i}" for i in range(2)}
+    got = {r["page_id"]: (r["text"], r["removed_tokens"]) for r in htmltext.main_text(pages).collect()}
+    want = {i: (own(i), 14 if i % 25 == 0 else 0) for i in range(400)}
+    # a menu that few articles quote stays in them, a notice that most have goes
+    want |= {1000 + i: (f"{own(1000 + i)}{menu if i % 25 == 0 else ''}", 11) for i in range(600)}
+    assert got == want | {5000 + i: (f"twice is not enough for these ten words here {i}", 0) for i in range(2)}
+
+
+def test_menus_are_found_by_the_suffix_array(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    assert htmltext.main_text(rows).agg({"removed_tokens": "sum"}).first()[0] > 0
 
 
 def test_copies_of_a_page_keep_their_text(spark):
     text = "one page without any article that was copied five times as it is"
     pages = spark.createDataFrame([(i, f"http://h.org/{i}", f"<body><div>{text}</div>") for i in range(5)], "page_id long, url string, html string")
     assert [r["text"] for r in htmltext.main_text(pages).collect()] == [text] * 5
+    near = spark.createDataFrame([(i, f"http://h.org/{i}", f"<body><div>{text} {text[::-1]} copy {i}</div>") for i in range(5)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in htmltext.main_text(near).collect()} == {i: f"{text} {text[::-1]} copy {i}" for i in range(5)}
+
+
+def test_a_very_long_page(spark):
+    text = " ".join(f"word{i % 7919}" for i in range(200_000))
+    pages = spark.createDataFrame([(1, "http://h.org/", f"<article><p>{text}</article>"), (2, "http://h.org/", "<b>" * 50_000 + "end")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in htmltext.main_text(pages).collect()} == {1: text, 2: "end"}
 
 
 def test_repeats_against_brute_force():
@@ -374,6 +417,68 @@ def test_fingerprints(spark, docs, empty, monkeypatch):
     assert imatch.edited_fingerprints(empty).count() == 0
 
 
+def brute_force_prints(rows, band):
+    """doc_id -> (edited text, fingerprint, edited fingerprint, near_edited, near_next)."""
+    import struct
+
+    import xxhash
+
+    hashed = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    terms = lambda t: set(regex.split(r"[^\p{L}\p{N}]+", t.lower())) - {""}
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    docs = sorted(((-(2**63) if i is None else i, t or "") for i, t in rows), key=lambda r: (r[0], sha(r[1])))
+    n, df = len(docs), {}
+    for _, t in docs:
+        for w in terms(t):
+            df[w] = df.get(w, 0) + 1
+    lexicon = {w for w, c in df.items() if max(2, band[0] * n) <= c <= band[1] * n}
+    levels = list(imatch.LEVELS)
+
+    def prints(text):
+        cells = {}
+        for w in terms(text) & lexicon:
+            h = hashed(w.encode())
+            for f in range(imatch.FAMILIES):
+                mine = hashed(struct.pack("<i", f), h)
+                for i, r in enumerate(levels):
+                    if mine & (2**r - 1) == 0:
+                        cells.setdefault(f * len(levels) + i, []).append(signed(h))
+        out = []
+        for c, hs in cells.items():
+            h = 42
+            for x in sorted(hs):
+                h = hashed(struct.pack("<q", x), h)
+            out.append(f"{c:02d}:{len(hs)}:{h % 2**32:08X}")
+        return " ".join(sorted(out)) or f"={hashed(text.encode()):X}"
+
+    def like(a, b):
+        if a == b or "=" in (a[0], b[0]):
+            return float(a == b)
+        p, q = ({tuple(s.split(":")) for s in x.split(" ")} for x in (a, b))
+        few = lambda s: {x for x in s if x[1] in ("1", "2")}
+        if few(p) or few(q):
+            return len(few(p) & few(q)) / len({x[0] for x in few(p) | few(q)})
+        return len(p & q) / len({x[0] for x in p | q})
+
+    out = []
+    for k, (i, t) in enumerate(docs):
+        after = docs[(k + 1) % n][1]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        out.append((None if i == -(2**63) else i, len(t), sha(edited), prints(t), prints(edited), like(prints(t), prints(edited)), like(prints(t), prints(after))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("quantiles", "range_rows"), [(4096, 1024), (4096, 7), (3, 5)])
+def test_fingerprints_against_brute_force(spark, monkeypatch, quantiles, range_rows):
+    monkeypatch.setattr(imatch, "QUANTILES", quantiles)
+    monkeypatch.setattr(imatch, "RANGE_ROWS", range_rows)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(None, "one more"), (10**15, None), (10**15, "twice the same id"), (-5, "W" * 3 + " ähnlich x2")]
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, part string, id int")
+    assert sorted((tuple(r) for r in imatch.edited_fingerprints(df).collect()), key=str) == brute_force_prints(rows, imatch.BAND)
+
+
 # 8. Languages
 
 
@@ -428,6 +533,22 @@ def test_pieces_are_the_librarys():
         assert own.decode(ids) == lib.decode(ids)
 
 
+def test_rounds_over_long_words_are_the_librarys(monkeypatch):
+    import sentencepiece
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    own, lib = pieces.PieceBpe(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(5)
+    names = [lib.id_to_piece(i) for i in range(300, lib.get_piece_size())]
+    words = ["".join(rng.choice(names).replace(pieces.BLANK, "") for _ in range(rng.randint(1, 400))) for _ in range(150)]
+    words += ["".join(rng.choice("aeinrst") for _ in range(rng.randint(1, 3000))) for _ in range(30)] + ["a" * k for k in (1, 2, 3, 255, 256, 257, 5001)] + ["z9é🎉\u3042" * 999]
+    words += ["".join(rng.choice(names).replace(pieces.BLANK, "") for _ in range(60_000))]
+    for limit in (256, 0):
+        monkeypatch.setattr(pieces, "LONG_WORD", limit)
+        got = own.encode_words([pieces.BLANK + w for w in words])
+        assert got == [lib.encode(w) for w in words]
+
+
 def test_pieces_query_form(spark, docs, empty):
     import sentencepiece
 
@@ -445,24 +566,41 @@ def test_pieces_query_form(spark, docs, empty):
 # 10. URLs
 
 
+LINKS = [
+    (1, "https://a.example.org/es/x", None),
+    (2, "HTTP://EXAMPLE.COM/de/1?q#f", ""),
+    (3, "http://x.net/old", '<meta http-equiv="refresh" content="0; url=http://example.com/de/2">'),
+    (4, "http://x.net/older", '<link rel="canonical" href="/old">'),
+    (5, "http://x.net/free", '<link rel="canonical" href="https://b.org/fine">'),
+    (6, "https://badexample.org/es/", ""),
+    (7, None, '<link rel="canonical" href="/x">'),
+    (8, "no scheme", None),
+    (9, "http://y.net/both", '<link rel="canonical" href="http://example.com/de/3">'),
+    (10, "http://z.net/q", "<link rel='canonical' href='http://y.net/both'>"),
+    (11, "http://w.org/ok", '<link rel="canonical" href="http://y.net/both">'),
+    (1, "https://a.example.org/es/x", None),
+    # dot segments, a list in rel, character references, a base
+    (20, "http://x.net/a/b/c", '<link href="../.././old" rel="shortlink canonical">'),
+    (21, "http://x.net/a/d", '<LINK REL=Canonical HREF="http&#58;//example.com/de/4?a=1&amp;b=2">'),
+    (22, "http://t.net/p", '<base href="http://x.net/"><link rel="canonical" href="old">'),
+    (23, "http://v.net/p", '<base href="http://x.net/k/"><link rel="canonical" href="../old">'),
+    (24, "http://v.net/r/", '<meta content="5;URL=\'//example.com/de/../de/5\'" http-equiv=Refresh>'),
+    (25, "http://v.net/?x=1", '<link rel="canonical" href="?x=2">'),
+    (26, "http://v.net/?x=2", '<link rel="canonical" href="http://example.com/de/&#x36;">'),
+    # no links
+    (30, "http://u.net/1", '<!-- <link rel="canonical" href="http://example.com/de/2"> -->'),
+    (31, "http://u.net/2", '<script>"<link rel=canonical href=http://example.com/de/2>"</script>'),
+    (32, "http://u.net/3", '<link rel="canonically" href="http://example.com/de/2"><link data-rel="canonical" href="http://example.com/de/2">'),
+    (33, "http://u.net/4", '<link rel="canonical" href="mailto:a@b.c"><link rel=canonical href=""><link rel="canonical'),
+    (34, "https://x.net/old", '<link rel="stylesheet" href="http://example.com/de/2">'),
+    (35, "http://x.net/old#top", "canonical"),
+]
+
+
 def test_rules_and_aliases(spark):
-    canonical = '<link rel="canonical" href="{}">'
-    rows = [
-        (1, "https://a.example.org/es/x", None),
-        (2, "HTTP://EXAMPLE.COM/de/1?q#f", ""),
-        (3, "http://x.net/old", '<meta http-equiv="refresh" content="0; url=http://example.com/de/2">'),
-        (4, "http://x.net/older#top", canonical.format("/old")),
-        (5, "http://x.net/free", canonical.format("https://b.org/fine")),
-        (6, "https://badexample.org/es/", ""),
-        (7, None, canonical.format("/x")),
-        (8, "no scheme", None),
-        (9, "http://y.net/both", canonical.format("http://example.com/de/3")),
-        (10, "http://z.net/q", canonical.format("http://y.net/both")),
-        (11, "http://w.org/ok", canonical.format("http://y.net/both")),
-        (1, "https://a.example.org/es/x", None),
-    ]
-    pages = spark.createDataFrame([(*r, "v") for r in rows], "page_id long, url string, html string, verdict string")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlrules.judge_urls(pages, urlrules.rules_frame(spark)).collect()}
+    pages = spark.createDataFrame([(*r, "v") for r in LINKS], "page_id long, url string, html string, verdict string")
+    rules = urlrules.rules_frame(spark)
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlrules.judge_urls(pages, rules).collect()}
     assert got[1] == ("a.example.org", "/es/x", "example.org/es/", "block")
     assert got[2] == ("example.com", "/de/1", "com/de/", "block")
     assert got[3][2:] == (None, "block") and got[4][2:] == (None, "block")
@@ -470,7 +608,26 @@ def test_rules_and_aliases(spark):
     assert got[7] == got[8] == ("", "", None, "allow")
     # an explicit allow in the component keeps aliases without a rule
     assert got[9][3] == got[10][3] == "allow" and got[11][2:] == ("org/", "allow")
-    assert urlrules.judge_urls(pages.limit(0), urlrules.rules_frame(spark)).count() == 0
+    assert {got[i][3] for i in range(20, 27)} == {"block"}
+    assert {got[i][2:] for i in range(30, 36)} == {(None, "allow")}
+    assert urlrules.judge_urls(pages.limit(0), rules).count() == 0
+    loose = {r["page_id"]: r["verdict"] for r in urlrules.judge_urls(pages, rules, loose=True).collect()}
+    assert loose[34] == loose[35] == "block"
+
+
+def test_links_against_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from marginalia.llm.queries import OP10_SQL
+
+    pages = pd.DataFrame(LINKS, columns=["page_id", "url", "html"])
+    con = duckdb.connect()
+    con.register("pages", pages)
+    want = sorted(con.sql(OP10_SQL).fetchall(), key=str)
+    df = spark.createDataFrame(LINKS, "page_id long, url string, html string")
+    got = urlrules.judge_urls(df, urlrules.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(tuple, got), key=str) == want
 
 
 # The subpackage
