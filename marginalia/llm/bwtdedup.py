@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, worker_cache
 
 #: Bytes of a string that is removed; of a gram; grams in a window.
 LENGTH, GRAM = 50, 24
@@ -165,6 +165,7 @@ def lay_out(documents: DataFrame) -> DataFrame:
     SHA-256 and the bytes, compressed."""
 
     def run(batches):
+        worker_cache("merged_transforms")  # lets go of what other operators hold
         n = TaskContext.get().partitionId() << 40
         pack = zstandard.ZstdCompressor(level=3)
         ids, texts, carried, size = [], [], [], 0

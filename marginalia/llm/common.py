@@ -103,9 +103,13 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 2
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, whichever task asks."""
+    """A dict that lives as long as the Python worker, or until another name
+    is asked for: a worker holds one operator's data at a time."""
     import sys
     import types
 
     home = sys.modules.setdefault("_marginalia_worker", types.ModuleType("_marginalia_worker"))
-    return home.__dict__.setdefault(name, {})
+    held = home.__dict__.setdefault("held", {})
+    for other in [n for n in held if n != name]:
+        del held[other]
+    return held.setdefault(name, {})

@@ -3,13 +3,16 @@
 For each language a suffix automaton of a bounded sample of labelled text is
 built.  A text is parsed into the longest phrases that each automaton knows;
 the language whose phrases, weighted by what it costs to name one, are fewest
-wins.  Texts are cut into pieces that a batch parses in step with numpy.
+wins.  Texts are cut into pieces that a batch parses in step with numpy, each
+as if a phrase began with it; where one doesn't, the parse of the piece before
+goes on until both agree, so the count is that of the whole text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,12 +23,13 @@ from .common import worker_cache
 
 #: Bounds of the labelled sample, for each language: rows asked for, characters kept in all and of one row.
 SAMPLE_ROWS, SAMPLE_CHARS, ROW_CHARS = 160, 40_000, 800
-#: Symbols that the automata tell apart, beside white space, the unknown and padding.
-LETTERS = 61
+#: Most frequent letters of a language that its automaton tells apart; any others
+#: are coded by their code point modulo ``CLASSES``.
+LETTERS, CLASSES = 44, 16
 #: Symbols of one piece.
 WINDOW = 256
 
-SPACE, UNKNOWN = 0, 1
+SPACE = 0
 
 
 def held_out(doc_id):
@@ -40,50 +44,51 @@ def labelled_sample(documents: DataFrame) -> dict[str, list[str]]:
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return {}
-    share = F.lit(0)
+    share = F.lit(0).cast("long")
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, math.ceil(1_000_000 * min(1.0, SAMPLE_ROWS / n))).otherwise(share)
+        share = F.when(F.col("lang") == lang, F.lit(min(2**63 - 1, 2**63 * SAMPLE_ROWS // n))).otherwise(share)
     h = F.xxhash64("text", F.lit(7))
-    picked = rows.where(F.pmod(h, F.lit(1_000_000)) < share).select("lang", h.alias("h"), F.substring("text", 1, ROW_CHARS).alias("text")).distinct()
+    picked = rows.where(h.bitwiseAND(F.lit(2**63 - 1)) <= share).select("lang", h.alias("h"), F.substring("text", 1, ROW_CHARS).alias("text")).distinct()
     found: dict[str, list] = {}
     for r in picked.collect():
         found.setdefault(r["lang"], []).append((r["h"], r["text"]))
     return {lang: [t for _, t in sorted(rs)] for lang, rs in sorted(found.items())}
 
 
-class Alphabet:
-    """Symbols: letters by their lower case; runs of anything else are one
-    space; rare letters are unknown."""
-
-    def __init__(self, texts: list[str]):
-        counts: dict[str, int] = {}
-        for t in texts:
-            for c in t.lower():
-                if c.isalpha():
-                    counts[c] = counts.get(c, 0) + 1
-        known = sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS]
-        self.of = np.full(0x110000, SPACE, np.uint8)
-        self.letter = np.zeros(0x110000, bool)
-        own = {c: 2 + i for i, c in enumerate(known)}
-        for code in range(0x110000):
-            c = chr(code)
-            if c.isalpha():
-                self.letter[code] = True
-                self.of[code] = own.get(c.lower(), UNKNOWN)
-        self.pad = 2 + len(known)
-        self.size = self.pad + 1
+class Letters:
+    """Texts as lower-case letters; runs of anything else are one space."""
+
+    def __init__(self):
+        signs = [chr(code) for code in range(0x110000)]
+        self.letter = np.array([c.isalpha() for c in signs])
+        self.low = np.array([ord(c.lower()[0]) for c in signs], np.uint32)
 
-    def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols of all texts, whose they are, and whether a text has a letter."""
+    def split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code points (0: space) of all texts, whose they are, and whether a
+        text has a letter."""
         lengths = np.array([len(t) for t in texts], np.int64)
         code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         owner = np.repeat(np.arange(len(texts)), lengths)
+        is_letter = self.letter[code]
         has = np.zeros(len(texts), bool)
-        has[owner[self.letter[code]]] = True
-        sym = self.of[code]
-        keep = np.ones(len(sym), bool)
-        keep[1:] = (sym[1:] != SPACE) | (sym[:-1] != SPACE) | (owner[1:] != owner[:-1])
-        return sym[keep], owner[keep], has
+        has[owner[is_letter]] = True
+        code = np.where(is_letter, self.low[code], np.uint32(0))
+        keep = np.ones(len(code), bool)
+        keep[1:] = (code[1:] != 0) | (code[:-1] != 0) | (owner[1:] != owner[:-1])
+        return code[keep], owner[keep], has
+
+
+class Alphabet:
+    """A language's symbols: its frequent letters, and classes of others."""
+
+    def __init__(self, code: np.ndarray):
+        seen, counts = np.unique(code[code > 0], return_counts=True)
+        known = seen[np.lexsort((seen, -counts))][:LETTERS]
+        self.of = (1 + len(known) + np.arange(0x110000) % CLASSES).astype(np.uint8)
+        self.of[known] = 1 + np.arange(len(known))
+        self.of[0] = SPACE
+        self.pad = 1 + len(known) + CLASSES
+        self.size = self.pad + 1
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -120,50 +125,81 @@ class CrossParser:
     """Automata of all languages as one dense table."""
 
     def __init__(self, sample: dict[str, list[str]]):
-        self.languages = sorted(sample)
-        self.alphabet = Alphabet([t for ts in sample.values() for t in ts])
-        a = self.alphabet.size
-        tables, self.start, self.cost, base = [], [], [], 0
+        self.languages, self.letters = sorted(sample), Letters()
+        self.alphabets, self.tables, self.cost = [], [], []
         for lang in self.languages:
-            sym, _, _ = self.alphabet.symbols([" ".join(sample[lang])[:SAMPLE_CHARS]])
-            text = [s for s in sym.tolist()]
-            nxt = suffix_automaton([s for s in text if s != UNKNOWN])
-            # a phrase that ends starts the next one with the symbol that ended it: the complement of where that leads
-            table = np.empty((len(nxt), a), np.int32)
-            table[:] = [~((base + nxt[0].get(c, 0)) * a) for c in range(a)]
+            code, _, _ = self.letters.split([" ".join(sample[lang])[:SAMPLE_CHARS]])
+            alphabet = Alphabet(code)
+            text, a = alphabet.of[code].tolist(), alphabet.size
+            nxt = suffix_automaton(text)
+            # a phrase that ends starts the next one with the symbol that ended it: the complement of where that
+            # leads; a symbol that the sample lacks is a phrase, and leads to a state of its own
+            lone = len(nxt)
+            table = np.empty((lone + 1, a), np.int32)
+            table[:] = [~(nxt[0].get(c, lone) * a) for c in range(a)]
+            table[0] = ~table[0]
             for s, out in enumerate(nxt):
                 for c, t in out.items():
-                    table[s, c] = (base + t) * a
-            table[:, self.alphabet.pad] = (base + np.arange(len(nxt))) * a
-            tables.append(table)
-            self.start.append(base * a)
+                    table[s, c] = t * a
+            table[:, alphabet.pad] = np.arange(lone + 1) * a
+            self.alphabets.append(alphabet)
+            self.tables.append(table.ravel())
             self.cost.append(math.log2(max(2, len(text))))
-            base += len(nxt)
-        self.table = np.concatenate(tables).ravel()
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text in each language, and whether it has a letter."""
-        sym, owner, has = self.alphabet.symbols(texts)
+        code, owner, has = self.letters.split(texts)
         total = np.zeros((len(self.languages), len(texts)), np.int64)
-        if not len(sym):
+        if not len(code):
             return total, has
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        at = np.arange(len(sym)) - np.repeat(first, np.diff(np.r_[first, len(sym)]))
+        at = np.arange(len(code)) - np.repeat(first, np.diff(np.r_[first, len(code)]))
         fresh = at % WINDOW == 0
         piece = np.cumsum(fresh) - 1
-        grid = np.full((WINDOW, piece[-1] + 1), self.alphabet.pad, np.uint8)
-        grid[at % WINDOW, piece] = sym
-        whose = owner[fresh]
-        for k, start in enumerate(self.start):
-            state = np.full(grid.shape[1], start, np.int32)
-            count = np.ones(grid.shape[1], np.int32)
-            for row in grid:
-                v = self.table[state + row]
+        whose, goes_on = owner[fresh], at[fresh] > 0
+        for k, (alphabet, table) in enumerate(zip(self.alphabets, self.tables, strict=True)):
+            grid = np.full((WINDOW, piece[-1] + 1), alphabet.pad, np.uint8)
+            grid[at % WINDOW, piece] = alphabet.of[code]
+            total[k] = np.bincount(whose, self._ends(table, grid, goes_on), len(texts)).astype(np.int64)
+            total[k, owner[first]] += 1
+        return total, has
+
+    @staticmethod
+    def _ends(table: np.ndarray, grid: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
+        """Phrases that end within each piece (a column of ``grid``)."""
+        states, ends = np.empty(grid.shape, np.int32), np.empty(grid.shape, np.int16)
+        state, count = np.zeros(grid.shape[1], np.int32), np.zeros(grid.shape[1], np.int16)
+        for r, row in enumerate(grid):
+            v = table[state + row]
+            sign = v >> 31
+            count -= sign.astype(np.int16)
+            state = v ^ sign
+            states[r], ends[r] = state, count
+        last, out = states[-1].copy(), ends[-1].astype(np.int64)
+        todo = np.flatnonzero(goes_on)
+        while len(todo):
+            lanes, state, count = todo, last[todo - 1], np.zeros(len(todo), np.int64)
+            was = last[todo].copy()
+            last[todo], out[todo] = states[-1, todo], ends[-1, todo]
+            for r in range(len(grid)):
+                if not len(lanes):
+                    break
+                v = table[state + grid[r, lanes]]
                 sign = v >> 31
                 count -= sign
                 state = v ^ sign
-            total[k] += np.bincount(whose, count, len(texts)).astype(np.int64)
-        return total, has
+                met = state == states[r, lanes]
+                if met.any():
+                    out[lanes[met]] = count[met] + ends[-1, lanes[met]] - ends[r, lanes[met]]
+                    lanes, state, count = lanes[~met], state[~met], count[~met]
+            last[lanes], out[lanes] = state, count
+            moved = todo[last[todo] != was] + 1
+            moved = moved[moved < len(goes_on)]
+            todo = moved[goes_on[moved]]
+        return out
+
+
+_FOUND = "lang_pred string, score double"
 
 
 def identify(documents: DataFrame, carry: tuple[str, ...] = (), batch: int = 256) -> DataFrame:
@@ -179,36 +215,33 @@ def identify(documents: DataFrame, carry: tuple[str, ...] = (), batch: int = 256
     with score 0.  Ties go to the first language in order.  A null doc_id
     isn't held out.  Repeated rows are each returned, an empty table gives an
     empty one.  Of the other columns those named in ``carry`` are returned
-    too; names that clash with the results are theirs to avoid.
+    too, with ``_given`` after a name that one of the results has.
     """
-    docs = documents.select("doc_id", "text", "lang")
-    sample = labelled_sample(docs)
+    sample = labelled_sample(documents.select("doc_id", "text", "lang"))
     name = hashlib.sha256(repr(sample).encode()).hexdigest()
 
-    def run(batches):
+    def predict(parts):
         kept = worker_cache("cross_parser")
         if name not in kept and sample:
             kept.clear()
             kept[name] = CrossParser(sample)
-        for pdf in batches:
-            for at in range(0, len(pdf), batch):
-                part = pdf.iloc[at : at + batch]
-                lang, score = np.full(len(part), "und", object), np.zeros(len(part))
-                if sample:
-                    parser = kept[name]
-                    count, has = parser.phrases(part["text"].tolist())
-                    bits = count * np.array(parser.cost)[:, None]
-                    best = bits.argmin(axis=0)
-                    weight = 2.0 ** -np.minimum(bits - bits.min(axis=0), 1000)
-                    lang = np.where(has, np.array(parser.languages, object)[best], "und")
-                    score = np.where(has, 1 / weight.sum(axis=0), 0.0)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "held_out": part["held_out"], "lang_pred": lang, "score": score, "carried": part["carried"]})
-
-    packed = F.struct(F.lit(0).alias("_"), *carry)
-    kind = documents.select(packed.alias("c")).schema["c"].dataType.simpleString()
+        for part in parts:
+            texts = part.tolist()
+            lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+            for at in range(0, len(texts) if sample else 0, batch):
+                parser = kept[name]
+                count, has = parser.phrases(texts[at : at + batch])
+                bits = count * np.array(parser.cost)[:, None]
+                weight = 2.0 ** -np.minimum(bits - bits.min(axis=0), 1000)
+                lang[at : at + batch] = np.where(has, np.array(parser.languages, object)[bits.argmin(axis=0)], "und")
+                score[at : at + batch] = np.where(has, 1 / weight.sum(axis=0), 0.0)
+            yield pd.DataFrame({"lang_pred": lang, "score": score})
+
+    # not deterministic: so no filter on its result makes it run twice
+    predict.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    found = F.pandas_udf(predict, _FOUND).asNondeterministic()
     rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"), F.to_json(packed).alias("carried")
+        F.col("doc_id").cast("long").alias("_id"), held_out(F.col("doc_id")).alias("_out"), found(F.coalesce("text", F.lit(""))).alias("_found"), F.struct(F.lit(0).alias("_"), *carry).alias("_carried")
     )
-    out = rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, carried string")
-    named = F.from_json("carried", kind)
-    return out.select("doc_id", "held_out", "lang_pred", "score", *[named[c].alias(c) for c in carry])
+    given = [F.col("_carried")[c].alias(f"{c}_given" if c in ("doc_id", "held_out", "lang_pred", "score") else c) for c in carry]
+    return rows.select(F.col("_id").alias("doc_id"), F.col("_out").alias("held_out"), "_found.lang_pred", "_found.score", *given)
