@@ -506,6 +506,35 @@ def test_held_out_accuracy(spark, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_phrases_are_those_of_whole_texts():
+    rng = random.Random(8)
+    sample = {"xx": [prose(rng, 300)], "yy": ["".join(rng.choice("аеиноств \u3042\u3044\u3046") for _ in range(2000))], "zz": ["ab " * 40]}
+    parser = langid.CrossParser(sample)
+    texts = [prose(rng, rng.randint(1, 900)) for _ in range(12)] + ["ab " * 900, "ab" * 1500 + "c", "", "!", "а" * 700, "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(600))]
+    got, _ = parser.phrases(texts)
+    for k, lang in enumerate(parser.languages):
+        of = parser.alphabets[k].of
+        own = "".join(chr(c) for c in of[parser.letters.split([" ".join(sample[lang])])[0]])
+        for i, t in enumerate(texts):
+            symbols = "".join(chr(c) for c in of[parser.letters.split([t])[0]])
+            n, at = 0, 0
+            while at < len(symbols):
+                end = at + 1
+                while end < len(symbols) and symbols[at : end + 1] in own:
+                    end += 1
+                n, at = n + 1, end
+            assert got[k, i] == n
+
+
+def test_language_of_scripts_and_carried_columns(spark):
+    rng = random.Random(9)
+    scripts = {"la": "etaoinshrdlu", "cy": "оеаинтсрвлкм", "gr": "αοιετσνηρκπυ", "cj": "".join(chr(0x4E00 + 7 * i) for i in range(800))}
+    rows = [(i, "".join(rng.choice(scripts[g] + "  ") for _ in range(300)), g) for i in range(200) for g in [list(scripts)[i % 4]]]
+    df = spark.createDataFrame([(*r, 0.5, None) for r in rows], "doc_id long, text string, lang string, score double, held_out string")
+    got = langid.identify(df, ("text", "lang", "score", "held_out")).collect()
+    assert all(r["lang"] == r["lang_pred"] and r["score_given"] == 0.5 and r["held_out_given"] is None for r in got) and len(got) == 200
+
+
 def test_undetermined(spark):
     rows = [(i, "the cat sat on the mat and it sat", "en") for i in range(9)] + [(20, "123 !!", "en"), (21, None, None), (22, "le chat", None)]
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, lang string, carried string")
