@@ -59,9 +59,8 @@ class Letters:
     """Texts as lower-case letters; runs of anything else are one space."""
 
     def __init__(self):
-        signs = [chr(code) for code in range(0x110000)]
-        self.letter = np.array([c.isalpha() for c in signs])
-        self.low = np.array([ord(c.lower()[0]) for c in signs], np.uint32)
+        self.letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+        self.low = np.fromiter((ord(chr(c).lower()[0]) for c in range(0x110000)), np.uint32, 0x110000)
 
     def split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Code points (0: space) of all texts, whose they are, and whether a

@@ -28,7 +28,7 @@ SKETCHES, TAKEN = 16, 4
 #: of shingles that bound what two of them share.
 BLOCK_TEXTS, BINS = 256, 128
 #: Words whose hash a worker keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 
 _U = np.uint64
 
