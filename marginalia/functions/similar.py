@@ -8,12 +8,18 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as D
 
 
+#: Fixed value: below this ratio a changed text has diverged.
+LEAST_LIKENESS = 0.80
+
+
 def _struct(**fields):
     return D.StructType([D.StructField(k, v) for k, v in fields.items()])
 
@@ -38,36 +44,45 @@ def added_text(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["added", "first"])
 
 
-def _spread(text: str) -> tuple[str, list[int]]:
-    """Text with white space collapsed, and where each of its characters was."""
-    out, places = [], []
-    for m in re.finditer(r"\s+|\S", text):
-        out.append(" " if m[0].isspace() else m[0])
-        places.append(m.start())
-    joined = "".join(out)
-    lead = len(joined) - len(joined.lstrip())
-    stripped = joined.strip()
-    return stripped, [*places[lead : lead + len(stripped)], places[lead + len(stripped)] if lead + len(stripped) < len(places) else len(text)]
+#: A quote is found from this ratio on; fixed values: that, and how much longer or shorter than the quote its place may be.
+LEAST_RATIO, SLACK = 0.85, 20
+#: Letters of a gram, for quotes from a length on and for shorter ones; places of most shared grams that are compared.
+GRAM, SHORT_GRAM, GRAM_FROM, PLACES = 4, 2, 24, 12
+
+
+def _flattened(quote: str) -> re.Pattern:
+    """The quote's words with any white space between them."""
+    return re.compile(r"\s+".join(map(re.escape, quote.split())))
 
 
-def find_quote(body: str, quote: str, least: float = 0.85) -> tuple[int, int] | None:
-    """Where a quote stands: as it is, with white space collapsed, or the
-    most similar window of nearly its length."""
+def _likeliest(body: str, quote: str) -> list[int]:
+    """Offsets at which most grams of the quote lie where they should."""
+    n = GRAM if len(quote) >= GRAM_FROM else min(SHORT_GRAM, len(quote))
+    places: dict[str, list[int]] = {}
+    for i in range(len(quote) - n + 1):
+        places.setdefault(quote[i : i + n], []).append(i)
+    votes = Counter(at - i for at in range(len(body) - n + 1) for i in places.get(body[at : at + n], ()))
+    # an insertion or a deletion moves what follows, so near offsets vote for each other
+    near = Counter({o: sum(votes.get(o + d, 0) for d in range(-3, 4)) for o in votes})
+    return [o for o, _ in sorted(near.items(), key=lambda v: (-v[1], v[0]))[:PLACES]]
+
+
+def find_quote(body: str, quote: str, least: float = LEAST_RATIO) -> tuple[int, int] | None:
+    """Where a quote stands: as it is, with other white space, or where a
+    passage of nearly its length is most like it."""
     at = body.find(quote)
     if at >= 0:
         return at, at + len(quote)
-    flat, places = _spread(body)
-    wanted = re.sub(r"\s+", " ", quote).strip()
-    at = flat.find(wanted)
-    if at >= 0:
-        return places[at], places[at + len(wanted)]
-    best, span = 0.0, None
-    for size in range(max(1, len(quote) - 20), len(quote) + 21) if quote else ():
-        for start in range(0, len(body) - size + 1, max(1, size // 4)):
-            matcher = difflib.SequenceMatcher(None, quote, body[start : start + size])
-            if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best and (r := matcher.ratio()) > best:
-                best, span = r, (start, start + size)
-    return span if best >= least else None
+    if quote.split() and (m := _flattened(quote).search(body)):
+        return m.span()
+    found, matcher = (least, None), difflib.SequenceMatcher(None, "", quote)
+    for start in sorted({min(max(0, o), len(body)) for o in _likeliest(body, quote)}):
+        for end in range(start + max(1, len(quote) - SLACK), min(len(body), start + len(quote) + SLACK) + 1, 2):
+            matcher.set_seq1(body[start:end])
+            if matcher.real_quick_ratio() >= found[0] and matcher.quick_ratio() >= found[0]:
+                r = matcher.ratio()
+                found = (r, (start, end)) if r > found[0] or found[1] is None and r >= least else found
+    return found[1]
 
 
 @F.pandas_udf(_struct(start=D.IntegerType(), end=D.IntegerType()))
@@ -76,50 +91,42 @@ def locate_quote(body: pd.Series, quote: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["start", "end"]).astype("Int32")
 
 
-def rebuild_paragraphs(raw: str) -> str:
-    """Wrapped lines to paragraphs.  A page of long lines, or of fewer than
-    three lines over 20 characters, is one paragraph; else a line that is
-    short (under 0.65 of the upper quartile) and ends a sentence ends one."""
-    pages = []
-    for page in re.sub(r"(?:\s*\n){3,}", "\n\n", raw.replace("\f", "\n\n")).split("\n\n"):
-        lines = re.sub(r"\n([ \t]*\n)+", "\n", page.strip()).split("\n")
-        filled = [x for x in lines if x.strip()]
-        if not filled:
-            continue
-        lengths = sorted(len(x.rstrip()) for x in filled if len(x.strip()) > 20)
-        if sum(map(len, filled)) / len(filled) > 200 or len(lengths) < 3:
-            pages.append(" ".join(page.split()))
-            continue
-        short = lengths[int(len(lengths) * 0.75)] * 0.65
-        parts = []
-        for line, following in zip(lines, [*lines[1:], None], strict=True):
-            line = line.rstrip()
-            ends = 0 < len(line) < short and line.strip() and re.search(r"[.!?\"'”)]\s*$", line)
-            gap = following is not None and (not line or (ends and following.strip()))
-            parts.append(line + ("\n" if gap else ""))
-        text = re.sub(r"(?<!\n)\n(?!\n)", " ", "\n".join(parts))
-        pages.append(re.sub(r" {2,}", " ", text).strip())
-    return "\n\n".join(pages)
+#: From what mean a page's lines are long, how long a line counts, how many
+#: such lines tell a page's width, at what quantile, and what share of it is short.
+LONG_MEAN, COUNTED_FROM, LEAST_LINES, QUANTILE, SHORT_SHARE = 200, 21, 3, 0.75, 0.65
+#: Fixed value: the end of a sentence.
+SENTENCE_END = r"[.!?\"'”)]\s*$"
+
+
+def paragraphs(raw) -> Column:
+    """Wrapped lines to paragraphs, which a blank line separates.
+
+    Pages end at a form feed or a blank line.  The lines of a page are one
+    paragraph, but where the page's width can be told, a line that is short
+    for it and ends a sentence ends a paragraph."""
+    empty = F.array().cast("array<string>")
+    pages = F.split(F.regexp_replace(F.replace(raw, F.lit("\f"), F.lit("\n\n")), r"(\s*\n){3,}", "\n\n"), "\n\n")
+
+    def rebuilt(page):
+        lines = F.transform(F.filter(F.split(page, "\n"), lambda x: F.trim(x) != ""), lambda x: F.rtrim(x))
+        widths = F.array_sort(F.transform(F.filter(lines, lambda x: F.length(F.trim(x)) >= COUNTED_FROM), lambda x: F.length(x)))
+        mean = F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x)) / F.size(lines)
+        width = F.when((mean <= LONG_MEAN) & (F.size(widths) >= LEAST_LINES), F.get(widths, F.floor(F.size(widths) * QUANTILE).cast("int")))
+        ends = lambda x: F.coalesce((F.length(x) < width * SHORT_SHARE) & x.rlike(SENTENCE_END), F.lit(False))
+        joined = F.array_join(F.transform(lines, lambda x, i: F.concat(x, F.when(ends(x) & (i < F.size(lines) - 1), "\n\n").otherwise(" "))), "")
+        return F.trim(F.regexp_replace(F.regexp_replace(joined, r"[^\S\n]+", " "), r" ?(\n\n) ?", "$1"))
+
+    return F.when(raw.isNotNull(), F.array_join(F.filter(F.transform(F.coalesce(pages, empty), rebuilt), lambda p: p != ""), "\n\n"))
+
+
+def tex_errors(log) -> Column:
+    """Errors of a TeX log: a line that starts with ``!`` and up to five more,
+    fewer if the next error comes first.  Null: none."""
+    whole = F.regexp_replace(F.coalesce(log, F.lit("")), r"\R\z", "")
+    return F.regexp_extract_all(whole, F.lit(r"(?m)^!.*(?:\R(?!!).*){0,5}"), F.lit(0))
 
 
 @F.pandas_udf(D.StringType())
-def paragraphs(raw: pd.Series) -> pd.Series:
-    return raw.map(rebuild_paragraphs, na_action="ignore")
-
-
-def log_errors(log: str) -> list[str]:
-    """Errors of a TeX log: a line that starts with ``!`` and up to five more."""
-    found, open_ = [], False
-    for line in log.splitlines():
-        if line.startswith("!"):
-            found.append([line])
-            open_ = True
-        elif open_:
-            found[-1].append(line)
-            open_ = len(found[-1]) <= 5
-    return ["\n".join(e) for e in found]
-
-
-@F.pandas_udf(D.ArrayType(D.StringType()))
-def tex_errors(log: pd.Series) -> pd.Series:
-    return log.map(lambda x: log_errors(x or ""))
+def unless_diverged(original: pd.Series, changed: pd.Series) -> pd.Series:
+    """The changed text, or the original where their ratio is below 0.80."""
+    return pd.Series([y if isinstance(y, str) and difflib.SequenceMatcher(None, x or "", y).ratio() >= LEAST_LIKENESS else x for x, y in zip(original, changed, strict=True)])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 UNKNOWN = "Unknown Student"
 
 
@@ -38,66 +38,71 @@ def sessionise(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
     )
 
 
-_ROUTED = "file string, document long, student_name string, text string, start_page int, end_page int, page_count int"
-
-
-def _key(name) -> str:
-    return re.sub(r"\s+", " ", name).strip().casefold() if isinstance(name, str) else ""
-
-
-def route_pages(rows: list[tuple]) -> list[tuple[str, list[tuple[int, str]]]]:
-    """Documents of one file from (page_no, text, name, continuation) in order."""
-    done: list[tuple[str, list]] = []
-    by_name: dict[str, list] = {}
-    parked: dict[str, list] = {}
-    label: dict[str, str] = {}
-    current, unknown = None, 0
-    for number, text, name, go_on in rows:
-        if go_on:
-            key = _key(go_on)
-            if key in by_name and key:
-                by_name[key].append((number, text))
-            elif key:
-                parked.setdefault(key, []).append((number, text))
-                label.setdefault(key, go_on)
-            else:
-                unknown += 1
-                done.append((f"{UNKNOWN} {unknown:02d}", [(number, text)]))
-        elif name:
-            current = (name, [(number, text)])
-            done.append(current)
-            if key := _key(name):
-                by_name[key] = current[1]
-                current[1].extend(sorted(parked.pop(key, [])))
-        elif current is None:
-            unknown += 1
-            current = (f"{UNKNOWN} {unknown:02d}", [(number, text)])
-            done.append(current)
-        else:
-            current[1].append((number, text))
-    done.extend((label[key], sorted(pages)) for key, pages in parked.items())
-    return done
-
-
 def sessionise_routed(pages: DataFrame, separator: str = "\f") -> DataFrame:
     """As ``sessionise``, but a page that continues a named document goes to
-    it (the last of that name, or the next to come, or one of its own at the
-    end) and leaves the current one as it is.
-
-    A file's pages meet in one task: what a page does depends on all before
-    it.  Files are scans of bounded size."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("page_no")
-        text = lambda s: s.where(s.notna(), None)
-        docs = route_pages(list(zip(pdf["page_no"].tolist(), pdf["text"].fillna(""), text(pdf["detected_name"]), text(pdf["continuation_name"]), strict=True)))
-        rows = []
-        for i, (name, parts) in enumerate(docs):
-            numbers = [n for n, _ in parts]
-            rows.append((pdf["file"].iloc[0], i + 1, name, separator.join(t.strip() for _, t in parts), min(numbers), max(numbers), max(numbers) - min(numbers) + 1))
-        return pd.DataFrame(rows, columns=["file", "document", "student_name", "text", "start_page", "end_page", "page_count"])
-
-    return pages.select(F.col("file").cast("string").alias("file"), F.col("page_no").cast("int").alias("page_no"), "text", "detected_name", "continuation_name").groupBy("file").applyInPandas(run, _ROUTED)
+    it and leaves the open one as it is.
+
+    It goes to the last document of that name, else to the next to come, after
+    whose first page it stands; without either, the pages that continue one
+    name are a document at the file's end.  A page that continues without a
+    name is an unknown document of its own, before the one that is open.
+    Documents are in the order in which they end; names are compared by lower
+    case with white space collapsed."""
+    filled = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    in_file = Window.partitionBy("file").orderBy("page_no")
+    base = pages.select(
+        F.col("file").cast("string").alias("file"),
+        F.col("page_no").cast("int").alias("page_no"),
+        F.trim(F.coalesce("text", F.lit(""))).alias("text"),
+        "detected_name",
+        "continuation_name",
+        (F.coalesce("continuation_name", F.lit("")) != "").alias("goes_on"),
+        (F.coalesce("detected_name", F.lit("")) != "").alias("named"),
+        T.normal_name(filled("continuation_name")).alias("wanted"),
+    )
+    # a document starts at a name, or at the first page that neither continues nor is named
+    before = F.count_if(~F.col("goes_on")).over(in_file.rowsBetween(Window.unboundedPreceding, -1))
+    opened = base.withColumn("starts", ~F.col("goes_on") & (F.col("named") | (F.coalesce(before, F.lit(0)) == 0)))
+    opened = opened.withColumn("key", F.when(F.col("goes_on"), F.col("wanted")).when(F.col("starts") & F.col("named"), T.normal_name(filled("detected_name"))).otherwise(""))
+    start = F.when(F.col("starts"), F.col("page_no"))
+    of_name = Window.partitionBy("file", "key").orderBy("page_no")
+    last = F.last(start, True).over(of_name.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    following = F.first(start, True).over(of_name.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    routed = opened.withColumn("home", F.when(F.col("goes_on") & (F.col("key") != ""), F.coalesce(last, following)))
+    routed = routed.withColumn("open_from", F.last(start, True).over(in_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    routed = routed.withColumn("next_start", F.min(start).over(in_file.rowsBetween(1, Window.unboundedFollowing)))
+    lone = F.col("goes_on") & (F.col("key") == "")
+    orphan = F.col("goes_on") & (F.col("key") != "") & F.col("home").isNull()
+    placed = routed.select(
+        "file",
+        "page_no",
+        "text",
+        "starts",
+        F.when(orphan, "end").when(lone, "lone").otherwise("page").alias("kind"),
+        F.when(orphan, F.col("key")).otherwise("").alias("orphan"),
+        F.when(lone, F.col("page_no")).when(F.col("goes_on"), F.col("home")).otherwise(F.col("open_from")).alias("first"),
+        F.when(orphan, F.col("continuation_name")).when(F.col("starts") & F.col("named"), F.col("detected_name")).alias("name"),
+        F.when(lone, F.col("page_no")).when(F.col("starts"), F.coalesce("next_start", F.lit(2**31 - 1))).alias("ends"),
+    )
+    in_order = F.array_sort(F.collect_list(F.struct((~F.col("starts")).alias("later"), "page_no", "text")))
+    documents = placed.groupBy("file", "kind", "orphan", "first").agg(
+        F.array_join(F.transform(in_order, lambda p: p["text"]), separator).alias("text"),
+        F.min_by("name", F.when(F.col("name").isNotNull(), F.col("page_no"))).alias("name"),
+        F.min("page_no").alias("start_page"),
+        F.max("page_no").alias("end_page"),
+        F.max("ends").alias("ends"),
+    )
+    unnamed = F.row_number().over(Window.partitionBy("file", F.col("name").isNull()).orderBy("start_page"))
+    order = Window.partitionBy("file").orderBy(F.col("kind") == "end", F.coalesce("ends", F.col("start_page")), "start_page")
+    return documents.select(
+        "file",
+        F.row_number().over(order).cast("long").alias("document"),
+        F.coalesce("name", F.concat(F.lit(f"{UNKNOWN} "), F.lpad(unnamed.cast("string"), 2, "0"))).alias("student_name"),
+        "text",
+        "start_page",
+        "end_page",
+        (F.col("end_page") - F.col("start_page") + 1).alias("page_count"),
+    )
 
 
 def page_text(words: DataFrame) -> DataFrame:

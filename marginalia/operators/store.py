@@ -37,7 +37,8 @@ def until(column: str, end: str, whole_day: bool = False) -> Column:
 
 
 def page(df: DataFrame, order: str, sortable: dict[str, str], key: str, descending: bool = True, limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page with the count of all rows as ``total``.
+    """One page with the count of all rows as ``total``; past the last page
+    one row with the total and nulls.
 
     ``sortable`` names the columns that a caller may sort by; another order
     takes the first.  Ties by ``key``, so that pages don't overlap.  The count
@@ -46,7 +47,7 @@ def page(df: DataFrame, order: str, sortable: dict[str, str], key: str, descendi
     by = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_first()
     total = df.agg(F.count(F.lit(1)).alias("total"))
     rows = df.orderBy(by, F.col(key).asc()).offset(offset).limit(limit)
-    return rows.crossJoin(F.broadcast(total))  # one row
+    return total.join(rows, F.lit(True), "left")  # one row: past the last page the total comes alone
 
 
 def latest(df: DataFrame, keys: list[str], by: str, tie: str) -> DataFrame:
@@ -91,22 +92,37 @@ def replace_by_key(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
     return base.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def cascade(tables: dict[str, DataFrame], children: dict[str, list[tuple[str, str]]], table: str, key: str, gone: DataFrame) -> dict[str, DataFrame]:
+def cascade(tables: dict[str, DataFrame], children: dict[str, list[tuple[str, str]]], table: str, key: str, gone: DataFrame, keys: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """``tables`` without the rows of ``table`` whose key is in ``gone`` (one
-    column) and without what hangs from them, however deep."""
-    left = dict(tables)
-    ids = gone.select(F.col(gone.columns[0]).alias("_gone")).distinct()
-    for child, foreign in children.get(table, ()):
-        if child in left and "id" in left[child].columns:
-            below = left[child].join(ids, F.col(foreign) == F.col("_gone"), "left_semi").select("id")
-            left = cascade(left, children, child, "id", below)
-    left[table] = left[table].join(ids, F.col(key) == F.col("_gone"), "left_anti")
+    column) and without what hangs from them, however deep.
+
+    ``children``: for each table its children and their foreign keys.
+    ``keys``: the key of each child that has children itself, ``id`` if not
+    named.  A null foreign key hangs from nothing."""
+    left, keys = dict(tables), {**(keys or {}), table: key}
+
+    def fall(name: str, column: str, ids: DataFrame) -> None:
+        rows = left[name]
+        for child, foreign in children.get(name, ()):
+            if child in left:
+                own = keys.get(name, "id")
+                below = ids if column == own else rows.join(ids, F.col(column) == F.col("_gone"), "left_semi").select(F.col(own).alias("_gone")).distinct()
+                fall(child, foreign, below)
+        left[name] = left[name].join(ids, F.col(column) == F.col("_gone"), "left_anti")
+
+    fall(table, key, gone.select(F.col(gone.columns[0]).alias("_gone")).distinct())
     return left
 
 
-def archive(df: DataFrame, ids: list, to: bool = True) -> DataFrame:
-    """Soft delete or restore; ``changed`` tells which rows it changed."""
-    hit = F.col("id").isin(*ids) & (F.coalesce("archived", F.lit(False)) != to)
+def archive(df: DataFrame, ids: list | DataFrame, to: bool = True, key: str = "id") -> DataFrame:
+    """Soft delete or restore; ``changed`` tells which rows it changed.
+    ``ids``: a list, or a table of one column."""
+    if isinstance(ids, DataFrame):
+        marked = df.join(ids.select(F.col(ids.columns[0]).alias("_id"), F.lit(True).alias("_named")).distinct(), F.col(key) == F.col("_id"), "left")
+        hit = F.coalesce("_named", F.lit(False)) & (F.coalesce("archived", F.lit(False)) != to)
+        out = marked.withColumn("changed", hit)
+        return out.withColumn("archived", F.when(F.col("changed"), to).otherwise(F.coalesce("archived", F.lit(False)))).select(*df.columns, "changed")
+    hit = F.coalesce(F.col(key).isin(*ids), F.lit(False)) & (F.coalesce("archived", F.lit(False)) != to)
     return df.withColumn("changed", hit).withColumn("archived", F.when(F.col("changed"), to).otherwise(F.coalesce("archived", F.lit(False))))
 
 
@@ -146,3 +162,87 @@ def record_id(prefix: str, at, *seed) -> Column:
     """``prefix_YYYYmmdd_HHMMSS_`` and eight hex digits of what is inserted,
     so that a retried insert gives the same id."""
     return F.concat_ws("_", F.lit(prefix), F.date_format(at, "yyyyMMdd_HHmmss"), F.substring(F.sha2(F.concat_ws("\x1f", *seed), 256), 1, 8))
+
+
+def counted(df: DataFrame, by: list[str], name: str = "n") -> DataFrame:
+    """Rows of each group."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+
+
+def partitioned_counts(df: DataFrame, by: list[str], **conditions: Column) -> DataFrame:
+    """Rows of each group in all, under each condition, and under none
+    (``other``).  Null meets no condition."""
+    none = reduce(lambda a, b: a & b, [~F.coalesce(c, F.lit(False)) for c in conditions.values()], F.lit(True))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(n) for n, c in conditions.items()], F.count_if(none).alias("other"))
+
+
+def listed(df: DataFrame, names: DataFrame, column: str, inside: bool = True) -> DataFrame:
+    """Rows whose ``column`` is (or is not) in the one column of ``names``."""
+    keys = names.select(F.col(names.columns[0]).alias("_listed")).distinct()
+    return df.join(keys, F.col(column) == F.col("_listed"), "left_semi" if inside else "left_anti")
+
+
+def first_seen(df: DataFrame, by: list[str], position: str) -> DataFrame:
+    """Ordered distinct: each group's first position and its rows."""
+    return df.groupBy(*by).agg(F.min(position).alias(position), F.count(F.lit(1)).alias("copies"))
+
+
+def numbered_children(parents: DataFrame, children: DataFrame, on: Column, within: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """Parents with their children, if any, numbered in order within a group;
+    nulls come first."""
+    w = Window.partitionBy(*within).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    return parents.join(children, on, "left").withColumn(name, F.row_number().over(w).cast("long"))
+
+
+def lookup(df: DataFrame, key: str, value) -> DataFrame:
+    """The row of a primary key."""
+    return df.where(F.col(key) == F.lit(value))
+
+
+def children_of(df: DataFrame, foreign: str, parent, order: list[str], status: list[str] = ()) -> DataFrame:
+    """A parent's rows in order, of the given states if any are given."""
+    rows = df.where(F.col(foreign) == F.lit(parent))
+    return (rows.where(F.col("status").isin(*status)) if status else rows).orderBy(*order)
+
+
+def without(df: DataFrame, heavy: list[str]) -> DataFrame:
+    """Metadata alone: all columns but the heavy ones."""
+    return df.drop(*heavy)
+
+
+def owned(rows: DataFrame, key: str, foreign: str, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (key, foreign) with ``verdict``: ``ok``, ``not found``, or
+    ``not owned`` where the row belongs to another parent."""
+    found = rows.select(F.col(key), F.col(foreign).alias("_parent"), F.lit(True).alias("_found"))
+    verdict = F.when(F.col("_found").isNull(), "not found").when(F.col("_parent").eqNullSafe(F.col(foreign)), "ok").otherwise("not owned")
+    return wanted.join(found, key, "left").select(*wanted.columns, verdict.alias("verdict"))
+
+
+def refreshed(parents: DataFrame, children: DataFrame, key: str, foreign: str, counters: dict[str, Column]) -> DataFrame:
+    """Parents with their counters recounted from their children, each over
+    the children that meet its condition; without any, 0."""
+    n = children.groupBy(F.col(foreign).alias("_key")).agg(*[F.count_if(c).alias(f"_n_{name}") for name, c in counters.items()])
+    joined = parents.drop(*counters).join(n, F.col(key) == F.col("_key"), "left")
+    return joined.select(*[c for c in parents.columns if c not in counters], *[F.coalesce(f"_n_{name}", F.lit(0)).cast("long").alias(name) for name in counters])
+
+
+def incremented(df: DataFrame, events: DataFrame, key: str, counter: str) -> DataFrame:
+    """A counter raised by the events of its row; null counts as 0."""
+    n = events.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    joined = df.join(n, F.col(key) == F.col("_key"), "left")
+    return joined.withColumn(counter, (F.coalesce(counter, F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("long")).select(*df.columns)
+
+
+def resolved(wanted: DataFrame, stores: list[DataFrame], key: str) -> DataFrame:
+    """Each wanted key with its row of the first store that has one, and the
+    store's place in ``found_in`` (null: none has it)."""
+    columns = [c for c in stores[0].columns if c != key]
+    rows = reduce(DataFrame.unionByName, [s.select(key, *columns).withColumn("_store", F.lit(i)) for i, s in enumerate(stores)])
+    best = rows.groupBy(key).agg(F.min_by(F.struct(*columns, "_store"), "_store").alias("_row"))
+    return wanted.join(best, key, "left").select(*wanted.columns, *[F.col("_row")[c].alias(c) for c in columns], F.col("_row")["_store"].alias("found_in"))
+
+
+def stamped(df: DataFrame, ids: DataFrame, key: str, status: str, at: str) -> DataFrame:
+    """Rows whose key is in ``ids`` with a new ``status`` and ``updated_at``."""
+    change = ids.select(F.col(ids.columns[0]).alias(key)).distinct().select(key, F.lit(status).alias("status"), F.lit(at).cast("timestamp_ntz").alias("updated_at"))
+    return patch(df, change, key)

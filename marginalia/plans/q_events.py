@@ -87,13 +87,14 @@ def revision_delta(spark, d):
 
 
 @query("""
-with i as (select user_id, event_id, ts, sum(case when event_type = 'signup' then 1 else 0 end) over (partition by user_id order by ts, event_id) as island from events),
+with i as (select user_id, event_id, ts, case when event_type = 'signup' then 's' || (event_id % 7) end as name, sum(case when event_type = 'signup' then 1 else 0 end) over (partition by user_id order by ts, event_id) as island from events),
 p as (select *, row_number() over (partition by user_id order by ts, event_id) as page_no from i)
-select cast(user_id as varchar) as file, row_number() over (partition by user_id order by island) as document, min(page_no) as start_page, max(page_no) as end_page, max(page_no) - min(page_no) + 1 as page_count
+select cast(user_id as varchar) as file, row_number() over (partition by user_id order by island) as document, coalesce(min(name), 'Unknown Student 01') as student_name,
+  string_agg(cast(event_id as varchar), chr(10) || chr(10) order by page_no) as text, min(page_no) as start_page, max(page_no) as end_page, max(page_no) - min(page_no) + 1 as page_count
 from p group by user_id, island
 """)
 def page_sessions(spark, d):
-    return sessions.sessionise(_pages(spark, d)).select("file", "document", "start_page", "end_page", "page_count")
+    return sessions.sessionise(_pages(spark, d))
 
 
 def _pages(spark, d):

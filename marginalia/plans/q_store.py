@@ -98,14 +98,13 @@ select n_name, s_name, row_number() over (partition by n_name order by s_name nu
 from nation left join supplier on n_nationkey = s_nationkey
 """)
 def report_listing(spark, d):
-    joined = table(spark, d, "nation").join(table(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left")
-    w = Window.partitionBy("n_name").orderBy(F.col("s_name").asc_nulls_first(), F.col("s_suppkey").asc_nulls_first())
-    return joined.select("n_name", "s_name", F.row_number().over(w).cast("long").alias("place"))
+    on = F.col("n_nationkey") == F.col("s_nationkey")
+    return store.numbered_children(table(spark, d, "nation"), table(spark, d, "supplier"), on, ["n_name"], ["s_name", "s_suppkey"]).select("n_name", "s_name", "place")
 
 
 @query("select event_type, count(*) as n from events group by event_type")
 def status_counts(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return store.counted(table(spark, d, "events"), ["event_type"])
 
 
 @query("""
@@ -114,9 +113,7 @@ select user_id, count(*) as total, count_if(event_type = 'purchase') as sent, co
 """)
 def log_partition(spark, d):
     kind = F.col("event_type")
-    return table(spark, d, "events").groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(kind == "purchase").alias("sent"), F.count_if(kind == "error").alias("failed"), F.count_if(~kind.isin("purchase", "error")).alias("other")
-    )
+    return store.partitioned_counts(table(spark, d, "events"), ["user_id"], sent=kind == "purchase", failed=kind == "error")
 
 
 @query("""
@@ -125,14 +122,15 @@ where o_custkey in (select c_custkey from customer where c_acctbal < 0) group by
 """)
 def semi_anti(spark, d):
     """Orders of customers on the list (semi), by priority."""
-    listed = table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    rows = table(spark, d, "orders").join(listed, "o_custkey", "left_semi")
-    return rows.groupBy(F.col("o_custkey").alias("c_custkey"), "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    names = table(spark, d, "customer").where("c_acctbal < 0").select("c_custkey")
+    rows = store.listed(table(spark, d, "orders"), names, "o_custkey")
+    return store.counted(rows.withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey", "o_orderpriority"])
 
 
 @query("select c_custkey, c_mktsegment from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
 def skip_anti(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey")
+    return store.listed(table(spark, d, "customer"), urgent, "c_custkey", inside=False).select("c_custkey", "c_mktsegment")
 
 
 @query("""
@@ -170,11 +168,21 @@ def replace_by_key(spark, d):
 select user_id, string_agg(event_type, ',' order by event_type) as words
 from (select distinct user_id, event_type from events union select distinct user_id, 'extra' from events) group by user_id
 """)
-def map_merge(spark, d):
+def word_union(spark, d):
     words = table(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("w"))
     return words.select("user_id", F.array_join(store.merge_words(F.col("w"), F.array(F.lit("extra"))), ",").alias("words"))
 
 
+@query("""
+select event_id, case when event_id % 2 = 0 then 'new' else json_extract_string(props, '$.k') end as k, case when event_id % 2 = 1 then 'new' end as seen from events
+""")
+def map_merge(spark, d):
+    """An entry set in each event's map: one that is there, or a further one."""
+    rows = table(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
+    merged = F.when(F.col("event_id") % 2 == 0, store.set_entry(F.col("m"), "k", F.lit("new"))).otherwise(store.set_entry(F.col("m"), "seen", F.lit("new")))
+    return rows.select("event_id", merged.alias("m")).select("event_id", F.col("m")["k"].alias("k"), F.col("m")["seen"].alias("seen"))
+
+
 @query("""
 select o_orderkey, case o_orderstatus when 'O' then 'P' when 'P' then 'F' else o_orderstatus end as next_status from orders
 """)
@@ -186,22 +194,25 @@ def status_advance(spark, d):
 select c_custkey, c_acctbal >= 0 and c_mktsegment = 'BUILDING' as changed, c_acctbal < 0 or c_mktsegment = 'BUILDING' as archived from customer
 """)
 def soft_delete(spark, d):
-    customers = table(spark, d, "customer").withColumn("id", F.col("c_custkey")).withColumn("archived", F.col("c_acctbal") < 0)
-    # the ids to archive come from a list, here as a flag of the row
-    hit = (F.col("c_mktsegment") == "BUILDING") & ~F.col("archived")
-    return customers.select("c_custkey", hit.alias("changed"), (F.col("archived") | hit).alias("archived"))
+    customers = table(spark, d, "customer").withColumn("archived", F.col("c_acctbal") < 0)
+    ids = customers.where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    return store.archive(customers, ids, key="c_custkey").select("c_custkey", "changed", "archived")
 
 
 @query("""
-select c_custkey from customer where c_acctbal >= 0 union all select o_orderkey + 1000000000000 from orders
-where o_custkey in (select c_custkey from customer where c_acctbal >= 0)
+with c as (select c_custkey from customer where c_acctbal >= 0), o as (select o_orderkey from orders where o_custkey in (from c))
+select 'customer' as store, c_custkey as id, count(*) as n from c group by all
+union all select 'orders', o_orderkey, count(*) from o group by all
+union all select 'lineitem', l_orderkey, count(*) from lineitem where l_orderkey in (from o) group by all
 """)
 def cascade_delete(spark, d):
-    tables = {"customer": table(spark, d, "customer").select("c_custkey", "c_acctbal"), "orders": table(spark, d, "orders").select("o_orderkey", "o_custkey")}
+    """Customers with a debt, their orders, and the lines of these."""
+    keys = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey"}
+    tables = {"customer": table(spark, d, "customer").select("c_custkey", "c_acctbal"), "orders": table(spark, d, "orders").select("o_orderkey", "o_custkey"), "lineitem": table(spark, d, "lineitem").select("l_orderkey")}
     gone = tables["customer"].where("c_acctbal < 0").select("c_custkey")
-    left = store.cascade(tables, {"customer": [("orders", "o_custkey")]}, "customer", "c_custkey", gone)
-    kept = left["orders"].join(gone.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey", "left_anti")
-    return left["customer"].select("c_custkey").union(kept.select(F.col("o_orderkey") + F.lit(1000000000000)))
+    left = store.cascade(tables, {"customer": [("orders", "o_custkey")], "orders": [("lineitem", "l_orderkey")]}, "customer", "c_custkey", gone, keys)
+    parts = [store.counted(left[name].select(F.lit(name).alias("store"), F.col(key).alias("id")), ["store", "id"]) for name, key in keys.items()]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query("""
@@ -218,12 +229,12 @@ def override_join(spark, d):
 def dedupe_ordered(spark, d):
     """Ordered distinct: first position of each text.  Texts meet by digest."""
     rows = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return rows.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
+    return store.first_seen(rows, ["h"], "doc_id").select("doc_id", "copies")
 
 
 @query("select l_returnflag, l_linestatus, count(*) as n from lineitem group by all")
 def hist_map(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+    return store.counted(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"])
 
 
 @query("""

@@ -22,14 +22,20 @@ def query(sql: str | None = None):
 
 
 @query(r"""
-with d as (select distinct lower(unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+'))) as w from benchmark),
-t as (select doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+')) as tok,
-  generate_subscripts(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+'), 1) as i from documents)
-select doc_id, string_agg(case when lower(tok) in (select w from d) then '[STUDENT_NAME]' else tok end, '' order by i) as scrubbed from t group by doc_id
+with b as (select regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') as w from benchmark),
+d as (select distinct unnest(w) as w from b),
+pairs as (select string_agg(distinct chr(2) || w[1] || chr(3) || ' ' || chr(2) || w[2] || chr(3) || '|' || chr(2) || w[3] || chr(3) || '-' || chr(2) || w[4] || chr(3), '|') as p from b where len(w) >= 4),
+m as (select doc_id, regexp_replace(regexp_replace(text, '([\p{L}\p{M}\p{N}_]+)', chr(2) || '\1' || chr(3), 'g'), '(?i)(?:' || (select p from pairs) || ')', chr(4), 'g') as t from documents),
+t as (select doc_id, unnest(regexp_extract_all(t, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+')) as tok,
+  generate_subscripts(regexp_extract_all(t, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+'), 1) as i from m)
+select doc_id, replace(replace(replace(string_agg(case when lower(tok) in (select w from d) then '[STUDENT_NAME]' else tok end, '' order by i), chr(2), ''), chr(3), ''), chr(4), '[STUDENT_NAME]') as scrubbed from t group by doc_id
 """)
 def scrub_documents(spark, d):
-    names = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0))).alias("name"))
-    return scrub.scrub(table(spark, d, "documents").select("doc_id", "text"), names).select("doc_id", "scrubbed")
+    """Names: all words of ``benchmark``, and of each of its texts the first
+    two with a blank and the next two with a hyphen between them."""
+    words = table(spark, d, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit(T.WORD), F.lit(0)).alias("w"))
+    pairs = words.where(F.size("w") >= 4).select(F.explode(F.array(F.concat_ws(" ", F.col("w")[0], F.col("w")[1]), F.concat_ws("-", F.col("w")[2], F.col("w")[3]))).alias("name"))
+    return scrub.scrub(table(spark, d, "documents").select("doc_id", "text"), words.select(F.explode("w").alias("name")).union(pairs)).select("doc_id", "scrubbed")
 
 
 @query(r"""

@@ -57,10 +57,17 @@ def test_sessions(spark):
     assert [tuple(r) for r in got.orderBy("document").collect()] == [("f", 1, "Unknown Student 01", "t1", 1, 1, 1), ("f", 2, "Ann", "t2\n\nt3", 2, 3, 2), ("f", 3, "Bob", "t4", 4, 4, 1)]
 
 
-def test_routed_pages():
+def test_routed_pages(spark):
+    def routed(rows):
+        df = spark.createDataFrame([("f", *r) for r in rows], "file string, page_no int, text string, detected_name string, continuation_name string")
+        return [(r["student_name"], r["text"].split("\f"), r["start_page"], r["end_page"]) for r in sessions.sessionise_routed(df).orderBy("document").collect()]
+
     rows = [(1, "a", "Ann", None), (2, "b", "Bob", None), (3, "c", None, " ann "), (4, "d", None, None), (5, "e", None, "Cid"), (6, "f", "Cid", None), (7, "g", None, "Dee")]
-    got = [(n, [p for p, _ in pages]) for n, pages in sessions.route_pages(rows)]
-    assert got == [("Ann", [1, 3]), ("Bob", [2, 4]), ("Cid", [6, 5]), ("Dee", [7])]
+    assert routed(rows) == [("Ann", ["a", "c"], 1, 3), ("Bob", ["b", "d"], 2, 4), ("Cid", ["f", "e"], 5, 6), ("Dee", ["g"], 7, 7)]
+    # a page that continues nobody comes before the document that is open; the last of a name has its pages
+    rows = [(1, "a", None, None), (2, "b", None, "  "), (3, "c", "Ann", ""), (4, "d", "ANN", None), (5, "e", None, "Ann"), (6, "f", None, "Eve"), (7, "g", None, "eve"), (8, "h", None, None)]
+    assert routed(rows) == [("Unknown Student 02", ["b"], 2, 2), ("Unknown Student 01", ["a"], 1, 1), ("Ann", ["c"], 3, 3), ("ANN", ["d", "e", "h"], 4, 8), ("Eve", ["f", "g"], 6, 7)]
+    assert routed([(1, "x", None, "Zed")]) == [("Zed", ["x"], 1, 1)] and routed([]) == []
 
 
 def test_page_text(spark):
@@ -82,6 +89,10 @@ def test_store_mutations(spark):
     tables = {"jobs": spark.createDataFrame([("a",), ("b",)], "id string"), "essays": spark.createDataFrame([(1, "a"), (2, "b")], "id long, job_id string")}
     left = store.cascade(tables, CHILDREN, "jobs", "id", spark.createDataFrame([("a",)], "k string"))
     assert [r[0] for r in left["jobs"].collect()] == ["b"] and [r["id"] for r in left["essays"].collect()] == [2]
+    # a child without a column called id, and what hangs from it
+    deep = {"a": spark.createDataFrame([(1,), (2,)], "id int"), "b": spark.createDataFrame([(10, 1), (11, 2), (12, None)], "bk int, fk int"), "c": spark.createDataFrame([("x", 10), ("y", 11)], "v string, b int")}
+    left = store.cascade(deep, {"a": [("b", "fk")], "b": [("c", "b")]}, "a", "id", spark.createDataFrame([(1,)], "k int"), {"b": "bk"})
+    assert {n: sorted(map(str, (tuple(r) for r in df.collect()))) for n, df in left.items()} == {"a": ["(2,)"], "b": ["(11, 2)", "(12, None)"], "c": ["('y', 11)"]}
     soft = spark.createDataFrame([("a", False), ("b", True), ("c", None)], "id string, archived boolean")
     assert {r["id"]: (r["archived"], r["changed"]) for r in store.archive(soft, ["a", "b"]).collect()} == {"a": (True, True), "b": (True, False), "c": (False, False)}
     first = spark.createDataFrame([(1,)], "id int")
@@ -162,3 +173,42 @@ def test_archive(spark):
     rows = spark.createDataFrame([("j", "b.html", "x"), ("j", "a.html", "yy")], "job string, name string, content string")
     z = zipfile.ZipFile(io.BytesIO(bytes(reports.archive(rows, "job", "name", "content").first()["archive"])))
     assert z.namelist() == ["a.html", "b.html", "manifest.json"]
+
+
+def test_store_lookups_and_counters(spark):
+    jobs = spark.createDataFrame([("a", "NEW", 7), ("b", None, None)], "id string, status string, n int")
+    rows = spark.createDataFrame([(1, "a", "ok"), (2, "a", "bad"), (3, None, "ok")], "id int, job_id string, status string")
+    assert store.lookup(jobs, "id", "b").count() == 1 and [r["id"] for r in store.children_of(rows, "job_id", "a", ["id"], ["ok"]).collect()] == [1]
+    assert store.without(rows, ["status"]).columns == ["id", "job_id"]
+    asked = spark.createDataFrame([(1, "a"), (1, "b"), (9, "a")], "id int, job_id string")
+    assert {tuple(r) for r in store.owned(rows, "id", "job_id", asked).collect()} == {(1, "a", "ok"), (1, "b", "not owned"), (9, "a", "not found")}
+    fresh = store.refreshed(jobs, rows, "id", "job_id", {"n": F.col("status") == "ok"})
+    assert {(r["id"], r["n"]) for r in fresh.collect()} == {("a", 1), ("b", 0)} and fresh.columns == jobs.columns
+    raised = store.incremented(jobs, spark.createDataFrame([("a",), ("a",), ("b",)], "id string"), "id", "n")
+    assert {(r["id"], r["n"]) for r in raised.collect()} == {("a", 9), ("b", 1)}
+    other = spark.createDataFrame([("b", "OLD", 1), ("c", "OLD", 2)], "id string, status string, n int")
+    got = store.resolved(spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string"), [jobs, other], "id")
+    assert {(r["id"], r["n"], r["found_in"]) for r in got.collect()} == {("a", 7, 0), ("b", None, 0), ("c", 2, 1), ("d", None, None)}
+    stamped = store.stamped(jobs.withColumn("updated_at", F.lit(None).cast("timestamp_ntz")), spark.createDataFrame([("b",)], "k string"), "id", "DONE", "2024-01-01 00:00:00")
+    assert {(r["id"], r["status"], str(r["updated_at"])) for r in stamped.collect()} == {("a", "NEW", "None"), ("b", "DONE", "2024-01-01 00:00:00")}
+    past = store.page(jobs, "id", {"id": "id"}, "id", offset=10).collect()
+    assert len(past) == 1 and past[0]["total"] == 2 and past[0]["id"] is None
+
+
+def test_nearest_against_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from marginalia.operators import knowledge
+
+    monkeypatch.setattr(knowledge, "BLOCK_QUERIES", 3)
+    rng = np.random.default_rng(1)
+    vecs = [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(60)] + [(60, [0.0] * 4), (61, None), (62, [1.0, 2.0])]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>").repartition(3)
+    queries = [(i, v) for i, v in vecs if i % 6 == 0]
+    got = knowledge.top_k(spark.createDataFrame(queries, "query_id long, query array<double>"), df, 4).collect()
+    cos = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
+    for i, q in queries:
+        near = sorted((-round(cos(q, v), 9), k) for k, v in vecs if v and len(v) == len(q) and any(v) and any(q))[:4]
+        mine = sorted((r["rank"], -round(r["similarity"], 9)) for r in got if r["query_id"] == i)
+        assert [s for _, s in mine] == [s for s, _ in near], i
+    assert knowledge.top_k(spark.createDataFrame([], "query_id long, query array<double>"), df, 4).count() == 0

@@ -71,10 +71,29 @@ def test_find_quote():
     assert similar.find_quote("abc", "entirely different") is None
 
 
-def test_paragraphs_and_log():
-    assert similar.rebuild_paragraphs("one\ntwo\nthree") == "one two three"
-    assert similar.rebuild_paragraphs("a\fb") == "a\n\nb"
-    assert similar.log_errors("ok\n! Bad\nl.1\nx\n") == ["! Bad\nl.1\nx"]
+def test_quotes_like_the_text():
+    body = "It was the best of times, it was the worst of times, it was the age of wisdom, it was the age of foolishness."
+    at = similar.find_quote(body, "it was teh worst of times, it was an age of wisdom")
+    assert body[slice(*at)].strip(" ,").startswith("it was the worst of times, it was the age of")
+    assert similar.find_quote(body, "") == (0, 0) and similar.find_quote("", "abc") is None
+    assert similar.find_quote("a.b c", "a.b  c") == (0, 5)
+
+
+def test_paragraphs_and_log(spark):
+    long = "This line is a good deal longer than the others are"
+    raws = ["one\ntwo\nthree", "a\fb", f"{long}\n{long}\n{long}\nThe end.\n{long}\nand more", f"{long}\n \n\n\n{long}", None, " ", "x" * 300 + "\n" + "y" * 300 + ".\nz"]
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
+    got = [r[0] for r in rows.orderBy("i").select(similar.paragraphs(F.col("raw"))).collect()]
+    assert got == ["one two three", "a\n\nb", f"{long} {long} {long} The end.\n\n{long} and more", f"{long}\n\n{long}", None, "", "x" * 300 + " " + "y" * 300 + ". z"]
+    logs = ["ok\n! Bad\nl.1\nx\n", "! a\n! b\n1\n2\n3\n4\n5\n6\n", "! last", "fine ! not", None]
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(logs)], "i int, log string")
+    got = [r[0] for r in rows.orderBy("i").select(similar.tex_errors(F.col("log"))).collect()]
+    assert got == [["! Bad\nl.1\nx"], ["! a", "! b\n1\n2\n3\n4\n5"], ["! last"], [], []]
+
+
+def test_a_changed_text_that_diverged(spark):
+    rows = spark.createDataFrame([("one two three", "one two there"), ("one two three", "something else"), ("kept", None), (None, "")], "a string, b string")
+    assert [r[0] for r in rows.select(similar.unless_diverged("a", "b")).collect()] == ["one two there", "one two three", "kept", ""]
 
 
 @settings(max_examples=20, deadline=None)
@@ -87,10 +106,16 @@ def test_scrubbing_twice_changes_nothing(spark, texts):
     assert sorted(once.collect()) == sorted(twice.collect())
 
 
-def test_scrub_layers_and_join_path(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "Ann met Bob, ANNA and Zed.", "Bob-Ray Lee"), (2, None, None)], "doc_id long, text string, who string")
-    names = spark.createDataFrame([("ann",)], "name string")
-    want = "[STUDENT_NAME] met [STUDENT_NAME], ANNA and [STUDENT_NAME]."
-    assert scrub.scrub(docs, names, own="who", custom=["zed"]).where("doc_id = 1").first()["scrubbed"] == want
-    monkeypatch.setattr(scrub, "INLINE_WORDS", 0)
-    assert scrub.scrub(docs, names, own="who", custom=["zed"]).where("doc_id = 1").first()["scrubbed"] == want
+def test_scrub_layers(spark):
+    docs = spark.createDataFrame([(1, "Ann met Bob, ANNA and Zed.", "Bob-Ray Lee"), (2, None, None), (None, "Ann", None), (1, "ann", None)], "doc_id long, text string, who string")
+    names = spark.createDataFrame([("ann",), (None,), ("",), ("--",)], "name string")
+    got = {(r["doc_id"], r["text"]): r["scrubbed"] for r in scrub.scrub(docs, names, own="who", custom=["zed"]).collect()}
+    assert got == {(1, "Ann met Bob, ANNA and Zed."): "[STUDENT_NAME] met [STUDENT_NAME], ANNA and [STUDENT_NAME].", (2, None): None, (None, "Ann"): "[STUDENT_NAME]", (1, "ann"): "[STUDENT_NAME]"}
+
+
+def test_names_of_several_words(spark):
+    docs = spark.createDataFrame([(1, "O'Brien saw Mary Ann, Mary and Jean-Luc; maryann and jean-lucas not. Mary  Ann \u00c9va."), (2, "nothing")], "doc_id long, text string")
+    names = spark.createDataFrame([("o'brien",), ("mary ann",), ("Jean-Luc",), ("mary",), ("\u00e9va",), ("a.b(c",)], "name string")
+    got = {r["doc_id"]: r["scrubbed"] for r in scrub.scrub(docs, names).collect()}
+    x = "[STUDENT_NAME]"
+    assert got == {1: f"{x} saw {x}, {x} and {x}; maryann and jean-lucas not. {x}  Ann {x}.", 2: "nothing"}
