@@ -65,7 +65,9 @@ def replace_tokens(x, is_name, placeholder: str = PLACEHOLDER) -> Column:
 
 def redact_pii(x) -> Column:
     """E-mail addresses and pairs of capitalised ASCII words."""
-    return F.regexp_replace(_c(x), f"{EMAIL}|{TITLE_PAIR}", REDACTED)
+    whole = F.regexp_replace(_c(x), f"{EMAIL}|{TITLE_PAIR}", REDACTED)
+    # an address is looked for at every letter, so only in texts that can have one
+    return F.when(F.contains(_c(x), F.lit("@")), whole).otherwise(F.regexp_replace(_c(x), TITLE_PAIR, REDACTED))
 
 
 def truncate(x, most: int = 180) -> Column:

@@ -112,3 +112,77 @@ def send(ready: DataFrame, transport: Transport, dry_run: bool = False) -> DataF
 def needs_ocr(pages: DataFrame, least: float = 10) -> DataFrame:
     """Files whose pages have fewer than ``least`` characters on average."""
     return pages.groupBy("file").agg(F.avg(F.length(F.trim(F.coalesce("text", F.lit(""))))).alias("mean_chars")).withColumn("needs_ocr", F.col("mean_chars") < least)
+
+
+def called(rows: DataFrame, column: str, out: str, kind: str, service: Callable, tries: int = 3, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """``rows`` with what a service makes of a column, with retries: pages of
+    a PDF as images, a file in another format, the markers of a scan, the
+    questions of a source.  Null stays null; a call that fails for good gives
+    null and its reason in ``<out>_error``."""
+    schema = rows.limit(0).withColumn(out, F.lit(None).cast(kind)).withColumn(f"{out}_error", F.lit(None).cast("string")).schema
+
+    def run(batches):
+        ask = with_retry(service, tries, wait=wait)
+        for pdf in batches:
+            made, why = [], []
+            for v in pdf[column].tolist():
+                result, reason = None, None
+                if v is not None and v == v:
+                    try:
+                        result = ask(bytes(v) if isinstance(v, (bytearray, memoryview)) else v)
+                    except Exception as e:
+                        reason = f"{type(e).__name__}: {e}"
+                made.append(result)
+                why.append(reason)
+            yield pdf.assign(**{out: pd.Series(made, index=pdf.index, dtype=object), f"{out}_error": pd.Series(why, index=pdf.index, dtype=object)})
+
+    return rows.mapInPandas(run, schema)
+
+
+def paged(parents: DataFrame, key: str, fetch: Callable[[object, str | None], tuple[list[dict], str | None]], schema: str, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Rows of a remote listing for each parent, page after page.
+
+    ``fetch(parent, token)`` gives a page's rows and the token of the next
+    page, none after the last.  Each row has the parent's ``key`` too.  Pages
+    are fetched where the parent lies and passed on one at a time."""
+    kind = parents.schema[key].dataType.simpleString()
+
+    def run(batches):
+        ask = with_retry(fetch, wait=wait)
+        for pdf in batches:
+            for parent in pdf[key].tolist():
+                token, more = None, True
+                while more:
+                    rows, token = ask(parent, token)
+                    more = token is not None
+                    if rows:
+                        yield pd.DataFrame(rows).assign(**{key: parent})
+
+    return parents.select(key).distinct().mapInPandas(run, f"{key} {kind}, {schema}")
+
+
+LEDGER = "job_id string, report_type string, student_name string, email_address string, status string, reason string, subject string, sent_at timestamp, batch string"
+
+
+def ledger(spark, path: str) -> DataFrame:
+    """The log of all attempts; empty before the first one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(LEDGER).parquet(path) if there else spark.createDataFrame([], LEDGER)
+
+
+def run_campaign(ready: DataFrame, path: str, job_id: str, report_type: str, at: str, transport: Transport, dry_run: bool = False) -> DataFrame:
+    """Send to the ``ready`` students (student_name, email, subject, body) of a
+    campaign and append every attempt to the ledger at ``path``; returns this
+    call's rows of it.
+
+    Who has a row with ``SENT`` for the job and the report gets nothing, so a
+    call may be repeated.  ``at`` names the call: it is the time in its rows."""
+    spark = ready.sparkSession
+    sent = ledger(spark, path).where((F.col("job_id") == job_id) & (F.col("report_type") == report_type) & (F.col("status") == "SENT"))
+    todo = ready.dropDuplicates(["student_name"]).join(sent.select("student_name").distinct(), "student_name", "left_anti")
+    batch = hashlib.sha256(f"{job_id}|{report_type}|{at}|{time.time_ns()}".encode()).hexdigest()[:16]
+    rows = send(todo.select("student_name", "email", "subject", "body"), transport, dry_run)
+    rows = rows.select(F.lit(job_id).alias("job_id"), F.lit(report_type).alias("report_type"), "student_name", "email_address", "status", "reason", "subject", F.lit(at).cast("timestamp").alias("sent_at"), F.lit(batch).alias("batch"))
+    rows.write.mode("append").parquet(path)
+    return ledger(spark, path).where(F.col("batch") == batch)

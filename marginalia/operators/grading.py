@@ -62,6 +62,21 @@ def score_questions(responses: DataFrame, key: DataFrame) -> DataFrame:
     return joined.select("job_id", "response_id", "question", "answer", "points", S.option_score(F.col("points"), F.col("correct"), T.split_answers("answer")).alias("score"))
 
 
+def score_responses(responses: DataFrame, key: DataFrame) -> DataFrame:
+    """Total and percentage of each response, as ``response_totals`` of
+    ``score_questions`` gives them, scored within the response's own row: its
+    answers meet once, and a job's key, which is small, comes to them."""
+    given = F.array_sort(F.collect_list(F.struct("position", S.question_key(F.col("question")).alias("question"), "answer")))
+    answers = responses.groupBy("job_id", "response_id").agg(given.alias("given"))
+    spec = key.groupBy("job_id").agg(F.collect_list(F.struct(S.question_key(F.col("question")).alias("question"), T.split_answers("answer").alias("correct"), "points")).alias("spec"))
+    joined = answers.join(spec, "job_id")
+    first = lambda q: F.get(F.filter("given", lambda a: a["question"] == q), F.lit(0))["answer"]
+    scores = F.transform("spec", lambda k: S.option_score(k["points"], k["correct"], T.split_answers(first(k["question"]))))
+    total = F.round(F.aggregate(scores, F.lit(0.0), lambda n, x: n + x), 2)
+    points = F.aggregate("spec", F.lit(0.0), lambda n, k: n + k["points"])
+    return joined.select("job_id", "response_id", total.alias("score"), points.alias("_points")).select("job_id", "response_id", "score", F.when(F.col("_points") > 0, F.round(F.col("score") / F.col("_points") * 100, 2)).otherwise(0.0).alias("percent"))
+
+
 def response_totals(scored: DataFrame) -> DataFrame:
     """Total and percentage of each response, to two places."""
     total, points = F.round(F.sum("score"), 2), F.sum("points")
@@ -186,3 +201,85 @@ def word_bank(questions: DataFrame, by: str, seed: int = 0) -> DataFrame:
     fib = questions.where((F.col("question_type") == "fib") & F.col("correct_answer").isNotNull())
     rows = fib.groupBy(by).agg(F.collect_list(F.struct(F.xxhash64("correct_answer", F.lit(seed)).alias("h"), "correct_answer")).alias("a"))
     return rows.select(by, F.array_distinct(F.transform(F.array_sort("a"), lambda s: s["correct_answer"])).alias("words"))
+
+
+def grade_job(responses: DataFrame, key: DataFrame, latest_by: str | None = None) -> dict[str, DataFrame]:
+    """A job's grading in one go, for all jobs at once.
+
+    ``responses``: job_id, response_id, position, question, answer, and the
+    column that ``latest_by`` names, if any: of several sheets of a response
+    the last one counts.  ``key`` as for ``score_questions``; of a question
+    that it has twice the first counts.  Returns ``questions``, ``totals``,
+    ``stats`` (by job) and ``refused`` (questions a key has twice)."""
+    if latest_by:
+        last = responses.groupBy("job_id", "response_id").agg(F.max(latest_by).alias("_last"))
+        responses = responses.join(last, ["job_id", "response_id"]).where(F.col(latest_by) == F.col("_last")).drop("_last")
+    refused = duplicate_questions(key)
+    single = key.groupBy("job_id", S.question_key(F.col("question")).alias("question")).agg(F.min(F.struct("answer", "points")).alias("k")).select("job_id", "question", "k.*")
+    questions = score_questions(responses, single)
+    totals = score_responses(responses, single)
+    return {"questions": questions, "totals": totals, "stats": score_stats(totals, "score", "percent", ["job_id"]), "refused": refused}
+
+
+# fixed values: sections of a test by type, their titles and instructions
+SECTIONS = {
+    "mcq": ("Multiple Choice", "Choose the best answer for each question."),
+    "fib": ("Fill in the Blank", "Complete each sentence with the correct word or phrase."),
+    "sa": ("Short Answer", "Answer each question in complete sentences."),
+}
+
+
+def sections(questions: DataFrame, by: str, by_type: bool = True, with_points: bool = True) -> DataFrame:
+    """Nested sections of each job's test: by type, or all questions as one.
+
+    ``questions``: ``by``, question_number, question_type, question_text,
+    options (array of letter and text), points.  Types without a section are
+    left out, as are sections without a question; null points count as 1."""
+    points = F.coalesce("points", F.lit(1.0)) if with_points else F.lit(None).cast("double")
+    options = F.when(F.col("question_type") == "mcq", F.col("options"))
+    entry = F.struct(F.col("question_number").alias("number"), F.col("question_type").alias("type"), F.coalesce("question_text", F.lit("")).alias("text"), options.alias("options"), points.alias("points"))
+    known = questions.where(F.col("question_type").isin(*SECTIONS))
+    place = F.array_position(F.lit(list(SECTIONS)), F.col("question_type")) if by_type else F.lit(1)
+    part = known.groupBy(by, place.alias("place")).agg(F.array_sort(F.collect_list(F.struct("question_number", entry.alias("q")))).alias("qs"))
+    said = lambda i: F.element_at(F.lit([v[i] for v in SECTIONS.values()]), F.col("place").cast("int"))
+    title, instructions = (said(0), said(1)) if by_type else (F.lit("Questions"), F.lit(""))
+    made = part.select(by, F.struct("place", title.alias("title"), instructions.alias("instructions"), F.transform("qs", lambda s: s["q"]).alias("questions")).alias("s"))
+    totals = questions.groupBy(by).agg(F.count(F.lit(1)).alias("total_questions"), F.sum(F.coalesce("points", F.lit(1.0))).alias("total_points"))
+    nested = made.groupBy(by).agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: F.struct(s["title"].alias("title"), s["instructions"].alias("instructions"), s["questions"].alias("questions"))).alias("sections"))
+    return totals.join(nested, by, "left")
+
+
+#: Widths of the rules, and what a test has for a name.
+WIDE, NARROW, NAME_LINE = "=" * 60, "-" * 40, "Name: ________________________  Date: ____________"
+
+
+def test_text(tests: DataFrame, by: str, words: DataFrame | None = None, header: bool = True) -> DataFrame:
+    """Plain text of each test: (by, text).
+
+    ``tests``: ``by``, name, description (may be null), total_points and
+    ``sections``, as ``sections`` gives them.  ``words``: ``by`` and words, a
+    word bank for the tests that have one."""
+    rows = tests.join(words.select(by, F.col("words").alias("_words")), by, "left") if words is not None else tests.withColumn("_words", F.lit(None).cast("array<string>"))
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    listed = F.array
+
+    def question(q):
+        worth = F.when(F.coalesce(q["points"], F.lit(0.0)) != 0, line(" (", q["points"].cast("string"), " pts)")).otherwise("")
+        choices = F.transform(F.coalesce(q["options"], F.array().cast("array<struct<letter:string,text:string>>")), lambda o: line("    ", F.coalesce(o["letter"], F.lit("?")), ". ", F.coalesce(o["text"], F.lit(""))))
+        return F.concat(listed(line(F.coalesce(q["number"].cast("string"), F.lit("?")), ".", worth, " ", q["text"])), choices, listed(F.lit("")))
+
+    def section(s):
+        told = F.when(s["instructions"] != "", listed(line("Instructions: ", s["instructions"]))).otherwise(F.array().cast("array<string>"))
+        return F.concat(listed(line("\n", s["title"]), F.lit(NARROW)), told, listed(F.lit("")), F.flatten(F.transform(s["questions"], question)))
+
+    none = F.array().cast("array<string>")
+    head = none
+    if header:
+        about = F.when(F.coalesce("description", F.lit("")) != "", listed(line("  ", F.col("description")))).otherwise(none)
+        head = F.concat(listed(F.lit(WIDE), line("  ", F.coalesce("name", F.lit("Test")))), about, listed(line("  Total Points: ", F.col("total_points").cast("string")), F.lit(WIDE), F.lit(""), F.lit(NAME_LINE), F.lit("")))
+    bank = F.when(F.size("_words") > 0, listed(F.lit("\nWord Bank"), F.lit(NARROW), F.array_join("_words", ", "), F.lit(""))).otherwise(none)
+    body = F.coalesce(F.flatten(F.transform("sections", section)), none)
+    return rows.select(by, F.array_join(F.concat(head, body, bank), "\n").alias("text"))
+
+
+test_text.__test__ = False  # no test of pytest's

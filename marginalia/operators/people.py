@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -54,45 +54,94 @@ def validate(detected: DataFrame, roster: DataFrame) -> DataFrame:
     return found.unionByName(missing)
 
 
+#: Letters of the grams that candidates are found by.
+GRAM = 3
+
+
+def _grams(c) -> Column:
+    """Distinct runs of ``GRAM`` letters; all of a shorter text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - GRAM + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(GRAM))))
+
+
+def _holding(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(a, b) where text ``a`` of ``short`` is within text ``b`` of ``long``.
+
+    Each ``a`` is looked up by that of its grams which the fewest ``b`` have;
+    those of fewer letters than a gram by themselves among shorter runs."""
+    keyed = long.select("b", F.explode(_grams(F.col("b"))).alias("g"))
+    common = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    asked = short.where(F.length("a") >= GRAM).select("a", F.explode(_grams(F.col("a"))).alias("g")).join(common, "g", "left")
+    rarest = asked.groupBy("a").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
+    found = rarest.join(keyed, "g").where(F.contains("b", "a")).select("a", "b")
+    few = short.where(F.length("a") < GRAM)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM - 1)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("b"), F.lit(1))), lambda i: F.substring(F.col("b"), i, n))))
+    parts = long.select("b", F.explode(F.array_distinct(F.concat(runs, F.array(F.lit(""))))).alias("a"))
+    return found.union(few.join(parts, "a").select("a", "b")).distinct()
+
+
 def suggest(names: DataFrame, roster: DataFrame, most: int = 5) -> DataFrame:
     """Roster names that contain a given name or are contained in it: the
-    first ``most`` in roster order.
+    first ``most`` in roster order.  Null names have no suggestions.
 
-    Containment has no join key.  Both sides are therefore keyed by their
-    tokens' pairs of letters; only pairs that share the first two letters of
-    the shorter name are compared."""
-    left = names.select("name", F.lower(F.trim("name")).alias("a")).distinct()
+    Containment has no join key: the shorter text is looked up by its rarest
+    run of three letters, so common ones form no pairs."""
+    left = names.where("name is not null").select("name", F.lower(F.trim("name")).alias("n")).distinct()
     # of equal roster names the first ``most`` are enough, and they are compared once
-    places = roster.select("full_name", "position").distinct().withColumn("of_name", F.row_number().over(Window.partitionBy("full_name").orderBy("position"))).where(F.col("of_name") <= most)
-    right = places.select("full_name", F.lower(F.trim("full_name")).alias("b")).distinct()
-
-    def grams(c):
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-
-    inside = left.select("name", "a", F.substring("a", 1, 2).alias("g")).join(right.select("full_name", "b", F.explode(grams(F.col("b"))).alias("g")), "g").where(F.contains("b", "a"))
-    around = left.select("name", "a", F.explode(grams(F.col("a"))).alias("g")).join(right.select("full_name", "b", F.substring("b", 1, 2).alias("g")), "g").where(F.contains("a", "b"))
-    pairs = inside.select("name", "full_name").union(around.select("name", "full_name")).distinct().join(places.select("full_name", "position"), "full_name")
+    places = roster.where("full_name is not null").select("full_name", "position").distinct()
+    places = places.withColumn("of_name", F.row_number().over(Window.partitionBy("full_name").orderBy("position"))).where(F.col("of_name") <= most)
+    right = places.select("full_name", F.lower(F.trim("full_name")).alias("r")).distinct()
+    texts, others = left.select("n").distinct(), right.select("r").distinct()
+    inside = _holding(texts.select(F.col("n").alias("a")), others.select(F.col("r").alias("b"))).select(F.col("a").alias("n"), F.col("b").alias("r"))
+    around = _holding(others.select(F.col("r").alias("a")), texts.select(F.col("n").alias("b"))).select(F.col("b").alias("n"), F.col("a").alias("r"))
+    pairs = left.join(inside.union(around).distinct(), "n").join(right, "r").select("name", "full_name").distinct().join(places.select("full_name", "position"), "full_name")
     w = Window.partitionBy("name").orderBy("position")
     return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most).select("name", "full_name", "rank")
 
 
+def _alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(x, y): texts (column t) whose lengths and letters allow a ratio of
+    ``least``."""
+    labelled = lambda c: F.transform(F.split(c, ""), lambda x, i: F.concat(x, F.size(F.filter(F.slice(F.split(c, ""), 1, i + 1), lambda y: y == x)).cast("string")))
+    held = right.select("t", F.length("t").alias("n"), labelled(F.col("t")).alias("ls"))
+    asked = left.select("t", F.length("t").alias("n"), labelled(F.col("t")).alias("ls"))
+    # letters by rarity among those that are looked up in; a letter that none has comes first
+    common = held.select(F.explode("ls").alias("l")).groupBy("l").agg(F.count(F.lit(1)).alias("c"))
+
+    def ranked(df):
+        rows = df.select("t", "n", "ls", F.explode("ls").alias("l")).join(common, "l", "left")
+        return rows.groupBy("t", "n").agg(F.first("ls").alias("ls"), F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "l"))), lambda s: s["l"]).alias("by"))
+
+    # with lengths n and m a pair needs o = ceil(least / 2 * (n + m)) letters in common; whatever m is,
+    # o is at least ceil(least / (2 - least) * n), so the first n - o + 1 letters by rarity hold one of them
+    spare = F.col("n") - F.ceil(F.col("n") * least / (2 - least) - 1e-9) + 1
+    first = lambda df: ranked(df).select("t", "n", "ls", F.explode(F.slice("by", F.lit(1), spare.cast("int"))).alias("l"))
+    x = first(asked).select(F.col("t").alias("x"), F.col("n").alias("nx"), F.col("ls").alias("lx"), "l")
+    y = first(held).select(F.col("t").alias("y"), F.col("n").alias("ny"), F.col("ls").alias("ly"), "l")
+    bound = F.least("nx", "ny") * 2 >= (F.col("nx") + F.col("ny")) * least - 1e-9
+    met = x.join(y, "l").where(bound).select("x", "y", "nx", "ny", "lx", "ly").distinct()
+    shared = F.size(F.array_intersect("lx", "ly"))
+    return met.where(shared * 2 >= (F.col("nx") + F.col("ny")) * least - 1e-9).select("x", "y")
+
+
 def fuzzy_match(names: DataFrame, roster: DataFrame, least: float = LEAST_RATIO) -> DataFrame:
     """Best roster row of each distinct name: by equal normal name if that row
     has an e-mail, else by the highest ratio of at least ``least``; ties to
     the earlier row.  A match without an e-mail is no match.
 
-    Pairs whose lengths alone keep the ratio below ``least`` are not compared:
-    2 min(a, b) / (a + b) bounds it.  Lengths are the join key, so no pair
-    outside the bound is ever formed."""
+    Only pairs that can reach ``least`` are aligned.  The ratio is twice the
+    aligned letters over all letters, so a pair that reaches it shares so many
+    letters (counted with repeats) that, of each text's labelled letters in
+    the order of their rarity, the first few must hold a common one; that one
+    is the join key, together with the length.  The letters shared in all are
+    counted before a pair is aligned."""
     wanted = names.select("name", T.normal_name("name").alias("key")).distinct()
     people = roster.select("name_key", "full_name", "email", "position")
     mailed = people.where(F.coalesce("email", F.lit("")) != "")
     exact = wanted.join(mailed, wanted["key"] == mailed["name_key"]).select("name", "full_name", "email", F.lit(1.0).alias("score"))
-    rest = wanted.join(exact.select("name"), "name", "left_anti").withColumn("la", F.length("key"))
-    low, high = F.ceil(F.col("la") * least / (2 - least) - 1e-9), F.floor(F.col("la") * (2 - least) / least + 1e-9)
-    spread = rest.where("la > 0").select("name", "key", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("lb"))
-    sized = people.withColumn("lb", F.length("name_key"))
-    scored = spread.join(sized, "lb").withColumn("score", ratio("key", "name_key")).where(F.col("score") >= least)
+    rest = wanted.join(exact.select("name"), "name", "left_anti").where("key <> ''").select("name", "key")
+    keys, others = rest.select(F.col("key").alias("t")).distinct(), people.select(F.col("name_key").alias("t")).where("t <> ''").distinct()
+    pairs = _alike(keys, others, least).withColumn("score", ratio("x", "y")).where(F.col("score") >= least)
+    scored = rest.join(pairs, rest["key"] == pairs["x"]).join(people, F.col("y") == F.col("name_key"))
     best = scored.groupBy("name").agg(F.max_by(F.struct("full_name", "email", "score"), F.struct("score", -F.col("position"))).alias("m"))
     close = best.select("name", "m.full_name", "m.email", "m.score").where(F.coalesce("email", F.lit("")) != "")
     return exact.unionByName(close)
@@ -107,20 +156,54 @@ def campaign(students: DataFrame, sent: DataFrame, addresses: DataFrame, reports
     return joined.select(*students.columns, out.alias("class"))
 
 
+# fixed values: why a student can't be written to
+NOT_FOUND = "Student name not found in roster (possible OCR error or typo)"
+NO_ADDRESS = "Student found in roster but has no email address"
+NO_REPORT = "PDF not generated for this student"
+
+
 def triage(students: DataFrame, skipped: DataFrame, roster: DataFrame, reports: DataFrame) -> DataFrame:
     """Why a student can't be written to; those on the skip list are left out."""
     known = roster.groupBy("name").agg(F.max(F.coalesce("email", F.lit(""))).alias("email"))
     left = students.join(skipped.select("name").distinct(), "name", "left_anti")
     joined = left.join(known, "name", "left").join(reports.select("name").distinct().withColumn("has_report", F.lit(True)), "name", "left")
     why = (
-        F.when(F.col("email").isNull(), "Student name not found in roster (possible OCR error or typo)")
-        .when(F.col("email") == "", "Student found in roster but has no email address")
-        .when(F.col("has_report").isNull(), "PDF not generated for this student")
+        F.when(F.col("email").isNull(), NOT_FOUND)
+        .when(F.col("email") == "", NO_ADDRESS)
+        .when(F.col("has_report").isNull(), NO_REPORT)
         .otherwise("ready")
     )
     return joined.select(*students.columns, why.alias("reason"))
 
 
+# fixed values: what a report is called in a subject
+REPORT_LABELS, REPORT = {"student_html": "Feedback Report", "student_pdf": "Feedback Report (PDF)"}, "Report"
+
+
+def subject(given, assignment, report_type) -> Column:
+    """The subject given, else one made of the report's label and the
+    assignment, where there is one."""
+    label = F.coalesce(*[F.when(report_type == k, v) for k, v in REPORT_LABELS.items()], F.lit(REPORT))
+    made = F.concat(F.lit("Your "), label, F.when(F.coalesce(assignment, F.lit("")) != "", F.concat(F.lit(": "), assignment)).otherwise(""))
+    return F.coalesce(F.nullif(given, F.lit("")), made)
+
+
+def planned(students: DataFrame, sent: DataFrame, addresses: DataFrame, reports: DataFrame, only: DataFrame | None = None, skip: DataFrame | None = None) -> DataFrame:
+    """``campaign`` with those left out that ``only`` (names, if given) lacks
+    or ``skip`` has, in any case; these are ``skipped`` unless already sent."""
+    rows = campaign(students, sent, addresses, reports)
+    lowered = lambda df, c: df.select(F.lower("name").alias("_low"), F.lit(True).alias(c)).distinct()
+    out = rows.withColumn("_low", F.lower("name"))
+    left_out = F.lit(False)
+    if only is not None:
+        out = out.join(lowered(only, "_only"), "_low", "left")
+        left_out = F.col("_only").isNull()
+    if skip is not None:
+        out = out.join(lowered(skip, "_skip"), "_low", "left")
+        left_out = left_out | F.coalesce("_skip", F.lit(False))
+    return out.select(*students.columns, F.when((F.col("class") != "already_sent") & left_out, "skipped").otherwise(F.col("class")).alias("class"))
+
+
 def retry(log: DataFrame) -> DataFrame:
     """Names with a failed attempt and none that succeeded, with the number
     of failed attempts."""

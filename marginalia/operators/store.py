@@ -246,3 +246,10 @@ def stamped(df: DataFrame, ids: DataFrame, key: str, status: str, at: str) -> Da
     """Rows whose key is in ``ids`` with a new ``status`` and ``updated_at``."""
     change = ids.select(F.col(ids.columns[0]).alias(key)).distinct().select(key, F.lit(status).alias("status"), F.lit(at).cast("timestamp_ntz").alias("updated_at"))
     return patch(df, change, key)
+
+
+def purged(tables: dict[str, DataFrame], children: dict[str, list[tuple[str, str]]], table: str, key: str, column: str, now: str, days: int = 210, keys: dict[str, str] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """``tables`` without what is past its retention and what hangs from it,
+    and the rows of ``table`` that went."""
+    gone = older_than(tables[table], column, now, days)
+    return cascade(tables, children, table, key, gone.select(key), keys), gone

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import audit, sessions
+from ..functions import text as T
 from ..functions.similar import added_text
 from ..sources.files import table
 
@@ -45,6 +46,63 @@ def edit_audit(spark, d):
     return audit.revision_flags(revisions, "conv_id")
 
 
+_FLAGS = rf"""
+with r as (select conv_id, turn + 1 as rev_no, length(text) as added, text, sum(length(text)) over w as length, sum({_WORDS}) over w as words,
+    timestamp '2024-01-01 20:00:00' + to_minutes(cast((conv_id % 5) * 120 + turn * 4 as integer)) as tm, timestamp '2024-01-02 00:30:00' as deadline
+  from conversations window w as (partition by conv_id order by turn)),
+e as (select conv_id, count(*) as n, max_by(length, rev_no) as len, cast(max_by(words, rev_no) as bigint) as words, min_by(length, rev_no) as first, bool_and(hour(tm) < 6 or hour(tm) >= 23) as off,
+    bool_and(tm <= deadline and tm >= deadline - interval 2 hours) as late from r group by conv_id),
+b as (select conv_id, min_by(total, tm) as total from (select r.conv_id, r.tm, sum(added) over (partition by r.conv_id order by r.tm range between current row and interval 10 minutes following) as total from r) x
+  join e using (conv_id) where len > 0 and total / len > 0.6 group by conv_id),
+f as (
+  select conv_id, 0 as k, rev_no, 'bulk_insertion' as flag_type, 'high' as severity,
+    'Revision ' || rev_no || ' added ' || added || ' characters (' || cast(round_even(added / len * 100, 0) as bigint) || '% of final document) in one step.' as description from r join e using (conv_id) where len > 0 and added / len > 0.2
+  union all select conv_id, 1, 0, 'few_revisions', 'medium', 'Document has ' || words || ' words but only ' || n || ' revision(s).' from e where words >= 300 and n <= 3
+  union all select conv_id, 2, 0, 'burst_editing', 'high', cast(round_even(total / len * 100, 0) as bigint) || '% of final content added within a 10-minute window.' from b join e using (conv_id) where n >= 2
+  union all select conv_id, 3, 0, 'cold_start', 'medium', 'First revision already contained ' || cast(round_even(first / len * 100, 0) as bigint) || '% of the final document length with minimal subsequent editing.' from e where len > 0 and first / len > 0.8 and n > 1
+  union all select conv_id, 4, 0, 'timing_off_hours', 'low', 'All ' || n || ' edits occurred outside 6:00–23:00.' from e where off and n > 1
+  union all select conv_id, 5, 0, 'deadline_crunch', 'medium', 'All edits occurred within 2 hours of the deadline.' from e where late)
+"""
+
+
+def _revisions(spark, d):
+    """Conversations as documents: revision k is all turns so far, four
+    minutes after the one before."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    minutes = (F.col("conv_id") % 5) * 120 + F.col("turn") * 4
+    at = F.timestamp_add("MINUTE", minutes.cast("int"), F.lit("2024-01-01 20:00:00").cast("timestamp_ntz"))
+    return table(spark, d, "conversations").select(
+        "conv_id",
+        (F.col("turn") + 1).alias("rev_no"),
+        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified_time"),
+        F.length("text").cast("long").alias("added"),
+        F.col("text").alias("first"),
+        F.sum(F.length("text")).over(w).alias("length"),
+        F.sum(F.size(T.words("text"))).over(w).alias("words"),
+        F.lit("2024-01-02T00:30:00+00:00").alias("deadline"),
+    )
+
+
+@query(_FLAGS + "select conv_id, row_number() over (partition by conv_id order by k, rev_no) as flag_no, flag_type, severity, description from f")
+def audit_flags(spark, d):
+    return audit.flags(_revisions(spark, d), "conv_id", "deadline").drop("snippet")
+
+
+@query(_FLAGS + """, s as (select conv_id, conv_id % 3 as class, count(f.conv_id) as flag_count, count_if(severity = 'high') as high, count_if(severity = 'medium') as medium, count_if(severity = 'low') as low
+  from e left join f using (conv_id) group by all),
+i as (select *, row_number() over (partition by class order by conv_id) - 1 as i from s)
+select class, conv_id, case when i < 26 then 'Submission ' || chr(cast(65 + i as integer)) else 'Submission ' || cast(i + 1 as varchar) end as label, flag_count, high, medium, low,
+  row_number() over (partition by class order by case when high > 0 then 3 when medium > 0 then 2 when low > 0 then 1 else 0 end desc, flag_count desc, i) as triage_rank from i""")
+def audit_assignment(spark, d):
+    """The whole audit: flags, counts by severity, labels and triage order."""
+    revisions = _revisions(spark, d)
+    rated = audit.severity_counts(audit.flags(revisions, "conv_id", "deadline"), ["conv_id"])
+    every = revisions.select("conv_id").distinct().join(rated, "conv_id", "left").fillna(0, ["high", "medium", "low"])
+    worst = F.when(F.col("high") > 0, "high").when(F.col("medium") > 0, "medium").when(F.col("low") > 0, "low").otherwise("none")
+    flagged = every.select("*", (F.col("conv_id") % 3).alias("class"), (F.col("high") + F.col("medium") + F.col("low")).alias("flag_count"), worst.alias("max_severity"))
+    return audit.report(flagged, "conv_id", "class").select("class", "conv_id", "label", "flag_count", "high", "medium", "low", "triage_rank")
+
+
 @query("""
 with c as (select turn % 2 as class, conv_id, count(*) as flag_count, case when count(*) > 3 then 'high' when count(*) > 1 then 'medium' else 'low' end as max_severity from conversations group by all),
 i as (select *, row_number() over (partition by class order by conv_id) - 1 as i from c)

@@ -38,20 +38,13 @@ def roster_validate(spark, d):
 
 
 @query("""
-with n as (select distinct p_name as name from part where p_size = 1),
-r as (select p_partkey as position, p_name as full_name from part where p_size = 2 union all select -1, 'a'),
-p as (select name, full_name, position from n, r where contains(lower(trim(name)), lower(trim(full_name))) or contains(lower(trim(full_name)), lower(trim(name)))),
-k as (select *, row_number() over (partition by name order by position) as rank from (select distinct * from p))
-select name, full_name, rank from k where rank <= 5 and full_name <> 'a'
-""".replace(" union all select -1, 'a'", "").replace(" and full_name <> 'a'", ""))
+with r as (select p_name as full_name, p_partkey as position, row_number() over (partition by p_name order by p_partkey) as i from part),
+n as (select distinct p_name as name from part),
+p as (select name, full_name from n, (select distinct full_name from r) where contains(lower(trim(name)), lower(trim(full_name))) or contains(lower(trim(full_name)), lower(trim(name)))),
+k as (select name, full_name, row_number() over (partition by name order by position) as rank from p join r using (full_name) where i <= 5)
+select name, full_name, rank from k where rank <= 5
+""")
 def containment_suggest(spark, d):
-    part = table(spark, d, "part")
-    roster = part.where("p_size = 2").select(F.col("p_partkey").alias("position"), F.col("p_name").alias("full_name"))
-    return people.suggest(part.where("p_size = 1").select(F.col("p_name").alias("name")), roster)
-
-
-@query()
-def containment_suggest_all(spark, d):
     """All part names against the whole table as roster."""
     part = table(spark, d, "part")
     roster = part.select(F.col("p_partkey").alias("position"), F.col("p_name").alias("full_name"))

@@ -33,12 +33,14 @@ s as (select *, case when len(correct) > 1 then round(greatest(0, (len(list_inte
 select l_orderkey as response_id, round(sum(score), 2) as score, round(round(sum(score), 2) / 10.0 * 100, 2) as percent from s group by l_orderkey
 """)
 def multi_select_score(spark, d):
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.explode(F.array("l_returnflag", "l_linestatus")).alias("x"))
+    # one exchange serves the lines of an order and the order
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus").repartition("l_orderkey")
+    lines = lines.select("l_orderkey", "l_linenumber", F.explode(F.array("l_returnflag", "l_linestatus")).alias("x"))
     marked = lines.groupBy("l_orderkey", "l_linenumber").agg(F.array_join(F.array_sort(F.collect_set("x")), ",").alias("answer"))
     responses = marked.select(F.lit("j").alias("job_id"), F.col("l_orderkey").alias("response_id"), F.col("l_linenumber").alias("position"), F.concat(F.lit("Q0"), F.col("l_linenumber").cast("string")).alias("question"), "answer")
     values = ", ".join(f"('j', '{q}', '{a}', {p}D)" for q, a, p in _KEY)
     key = spark.sql(f"select * from values {values} as t(job_id, question, answer, points)")
-    return grading.response_totals(grading.score_questions(responses, key)).select("response_id", "score", "percent")
+    return grading.score_responses(responses, key).select("response_id", "score", "percent")
 
 
 @query("""

@@ -33,8 +33,8 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def read_roster(spark: SparkSession, path: str) -> DataFrame:
-    """Roster CSV with a header: all strings, and ``position`` by line order
-    in the file."""
+    """Roster CSV with a header: all strings, and ``position`` by file and
+    line: files by name, lines as they are read."""
     raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
     wanted = ("id", "first_name", "last_name", "grade", "email")
     have = {c.strip().lower(): c for c in raw.columns}
@@ -44,21 +44,48 @@ def read_roster(spark: SparkSession, path: str) -> DataFrame:
 def read_texts(spark: SparkSession, folder: str, glob: str = "*.txt") -> tuple[DataFrame, DataFrame]:
     """Essays of a folder (student_identifier from the file's stem, text), and
     the blank files."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(folder)
+    files = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True)
     named = files.select(F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), r"\.[^.]*$", "").alias("student_identifier"), F.col("value").alias("text"))
     blank = F.trim(F.regexp_replace("text", r"\s+", " ")) == ""
     return named.where(~blank), named.where(blank).select("student_identifier")
 
 
-def read_binaries(spark: SparkSession, folder: str, extensions=("pdf",), recursive: bool = False) -> DataFrame:
+def _there(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def discover(spark: SparkSession, folders: list[str], extensions=("pdf",)) -> tuple[DataFrame, list[str]]:
+    """Files of several folders and all below them, and the folders that are
+    missing: these are told, not raised."""
+    found = [f for f in folders if _there(spark, f)]
+    missing = [f for f in folders if f not in found]
+    if not found:
+        return spark.createDataFrame([], "path string, length long, content binary"), missing
+    return read_binaries(spark, found, extensions, recursive=True), missing
+
+
+def each_file(files: DataFrame, read, out: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """What ``read`` makes of each file's content, and the files it fails on
+    with the reason: one bad file stops no other."""
+    from ..operators.external import called
+
+    rows = called(files, "content", out, kind, read, tries=1).drop("content")
+    return rows.where(F.col(f"{out}_error").isNull()).drop(f"{out}_error"), rows.where(F.col(f"{out}_error").isNotNull()).select("path", F.col(f"{out}_error").alias("reason"))
+
+
+def read_binaries(spark: SparkSession, folder: str | list[str], extensions=("pdf",), recursive: bool = False) -> DataFrame:
     """Files by extension in any case: path, length, content."""
     glob = "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(folder).select("path", "length", "content")
 
 
 def read_skip_list(spark: SparkSession, path: str) -> DataFrame:
-    """Ids of a JSON array file, one row each; an unreadable one is empty."""
-    raw = spark.read.option("wholetext", True).text(path)
+    """Ids of a JSON array file, one row each; one that is missing or no JSON
+    array is empty."""
+    if not _there(spark, path):
+        return spark.createDataFrame([], "name string")
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", "array<string>")).alias("name"))
 
 

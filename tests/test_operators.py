@@ -1,8 +1,10 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import scoring as S
-from marginalia.operators import audit, external, grading, people, reports, sessions, store
+from marginalia.operators import audit, external, grading, people, replies, reports, sessions, store
 from marginalia.schemas import CHILDREN, TABLES
 
 
@@ -128,7 +130,7 @@ def test_suggestions_over_the_whole_table_against_brute_force(spark):
     for name in {n for _, n in parts}:
         hits = [n for _, n in sorted(parts) if name.strip().lower() in n.strip().lower() or n.strip().lower() in name.strip().lower()]
         want |= {(name, n, i + 1) for i, n in enumerate(hits[:5])}
-    got = [tuple(r) for r in registry.QUERIES["containment_suggest_all"](spark, sf).select("name", "full_name", "rank").collect()]
+    got = [tuple(r) for r in registry.QUERIES["containment_suggest"](spark, sf).select("name", "full_name", "rank").collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -212,3 +214,165 @@ def test_nearest_against_brute_force(spark, monkeypatch):
         mine = sorted((r["rank"], -round(r["similarity"], 9)) for r in got if r["query_id"] == i)
         assert [s for _, s in mine] == [s for s, _ in near], i
     assert knowledge.top_k(spark.createDataFrame([], "query_id long, query array<double>"), df, 4).count() == 0
+
+
+def test_flags_of_a_submission(spark):
+    def flags(revisions, deadline=None):
+        rows, old = [], ""
+        for i, (at, text) in enumerate(revisions):
+            new = text[len(old) :] if text.startswith(old) else text
+            rows.append(("d", i + 1, at, len(new), new, len(text), len(text.split()), deadline))
+            old = text
+        df = spark.createDataFrame(rows, "doc string, rev_no int, modified_time string, added long, first string, length long, words long, deadline string")
+        return [(r["flag_type"], r["severity"], r["description"], r["snippet"]) for r in audit.flags(df, "doc", "deadline").orderBy("flag_no").collect()]
+
+    essay = "word " * 400
+    got = flags([("2024-01-01T23:30:00Z", essay[:1700]), ("2024-01-01T23:35:00Z", essay)], "2024-01-02T00:30:00Z")
+    assert [g[:2] for g in got] == [("bulk_insertion", "high"), ("few_revisions", "medium"), ("burst_editing", "high"), ("cold_start", "medium"), ("timing_off_hours", "low"), ("deadline_crunch", "medium")]
+    assert got[0][2] == "Revision 1 added 1700 characters (85% of final document) in one step." and got[1][2] == "Document has 400 words but only 2 revision(s)."
+    assert got[0][3] == essay[:180] + "…" or len(got[0][3]) == 181
+    # a time that can't be read; an even split; a name in the snippet
+    assert [g[0] for g in flags([("never", "a" * 50), ("2024-01-01T23:00:00Z", "a" * 50 + "b" * 10)])] == ["bulk_insertion", "cold_start"]
+    assert flags([("2024-01-01T12:00:00Z", "x")])[0][0] == "bulk_insertion" and flags([("2024-01-01T12:00:00Z", "")]) == []
+    assert flags([("2024-01-01T12:00:00+0200", "by John Smith a@b.c")])[0][3] == "by [REDACTED] [REDACTED]"
+    # ten minutes apart, ends included, is a burst; a second more is none
+    assert "burst_editing" in [g[0] for g in flags([("2024-01-01T12:00:00Z", "a" * 35), ("2024-01-01T12:10:00Z", "a" * 70), ("2024-01-02T12:10:00Z", "a" * 100)])]
+    assert "burst_editing" not in [g[0] for g in flags([("2024-01-01T12:00:00Z", "a" * 35), ("2024-01-01T12:10:01Z", "a" * 70), ("2024-01-02T12:10:00Z", "a" * 100)])]
+
+
+def test_times_and_dates(spark):
+    times = ["2024-01-02T03:04:05Z", "2024-01-02T03:04:05.5+02:00", "2024-01-02T03:04:05+0200", "2024-01-02", "2024-13-02", "yesterday", "", None, "2024-01-02 03:04"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(times)], "i int, x string").orderBy("i")
+    got = [str(r[0]) for r in rows.select(replies.parse_time(F.col("x")).cast("string")).collect()]
+    assert got == ["2024-01-02 03:04:05", "2024-01-02 01:04:05.5", "2024-01-02 01:04:05", "2024-01-02 00:00:00", "None", "None", "None", "None", "2024-01-02 03:04:00"]
+    assert [r[0] for r in rows.select(F.hour(replies.wall_clock(F.col("x")))).collect()] == [3, 3, 3, 0, None, None, None, None, 3]
+    dues = spark.createDataFrame([((2024, 5, 6), (7, 8)), ((2024, None, 6), None), (None, (1, 2))], "due struct<year:int,month:int,day:int>, time struct<hours:int,minutes:int>")
+    assert [r[0] for r in dues.select(replies.due_time(F.col("due"), F.col("time"))).collect()] == ["2024-05-06T07:08:00Z", "2024-01-06T23:59:00Z", None]
+
+
+def test_replies_of_loose_shape(spark):
+    raws = ['{"criteria": [{"name": "A"}]}', 'Sure:\n```json\n[{"name": "A"}]\n```', '{"criteria": [], "other": [{"name": "B"}]}', '{"name": "C"}', '{"x": 1}', "no json", None, '{"criteria": "text"}']
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(raws)], "i int, x string").orderBy("i")
+    got = [[json.loads(x) for x in r[0]] for r in rows.select(replies.items(F.col("x"), ["criteria", "other"], "name")).collect()]
+    assert got == [[{"name": "A"}], [{"name": "A"}], [{"name": "B"}], [{"name": "C"}], [], [], [], []]
+    marks = '{"highlights": [{"quote": "q", "suggestion": "s", "category": "evidence"}, {"quote": " ", "suggestion": "s"}, {"quote": 3, "suggestion": "s"}, "x", {"quote": "q2", "suggestion": "s2", "category": "odd"}, {"quote": "q3"}]}'
+    rows = spark.createDataFrame([(0, marks), (1, '{"highlights": {}}'), (2, None)], "i int, x string").orderBy("i")
+    got = [[tuple(h) for h in r[0]] for r in rows.select(replies.highlights(F.col("x"))).collect()]
+    assert got == [[("q", "evidence", "s"), ("q2", "grammar", "s2")], [], []]
+
+
+def test_fuzzy_match_against_brute_force(spark):
+    import difflib
+    import random
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdeilnor") for _ in range(n))
+    base = [word(rng.randint(1, 9)) + " " + word(rng.randint(1, 9)) for _ in range(120)]
+    edited = ["".join(c for c in b if rng.random() > 0.12) + rng.choice(["", "x"]) for b in base] + ["abcdefgh", "ab", "a", "aab", "ü" * 5]
+    people_rows = [(b, b.title(), f"{i}@x", i) for i, b in enumerate(base + ["abcdefghijkl", "aba", "ü" * 4])]
+    roster = spark.createDataFrame(people_rows, "name_key string, full_name string, email string, position long")
+    got = {r["name"]: (r["full_name"], round(r["score"], 9)) for r in people.fuzzy_match(spark.createDataFrame([(e,) for e in edited], "name string"), roster).collect()}
+    want = {}
+    for e in set(edited):
+        key = " ".join(e.lower().split())
+        same = [r for r in people_rows if r[0] == key]
+        scores = [(1.0, -same[0][3], same[0][1])] if same else [(difflib.SequenceMatcher(None, key, r[0]).ratio(), -r[3], r[1]) for r in people_rows]
+        best = max(scores)
+        if best[0] >= 0.8 and key:
+            want[e] = (best[2], round(best[0], 9))
+    assert got == want
+
+
+def test_suggestions_against_brute_force(spark):
+    names = ["ann", "Ann Lee", "a", "", " ", "lee b", "ann lee bob", None, "x", "nn le"]
+    roster = [("Ann Lee", 1), ("Bob", 2), ("a", 3), ("Ann Lee", 4), ("Lee", 5), ("ANN LEE BOB", 6), ("", 7), (None, 8), ("n", 9), ("zz", 10)]
+    df = spark.createDataFrame(roster, "full_name string, position long")
+    got = {}
+    for r in people.suggest(spark.createDataFrame([(n,) for n in names], "name string"), df, 4).collect():
+        got.setdefault(r["name"], []).append((r["rank"], r["full_name"]))
+    want = {}
+    for n in names:
+        if n is not None:
+            low = n.strip().lower()
+            fits = [f for f, _ in sorted((r for r in roster if r[0] is not None), key=lambda r: r[1]) if low in f.strip().lower() or f.strip().lower() in low]
+            if fits:
+                want[n] = list(enumerate(fits[:4], 1))
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_a_job_graded_and_a_test_laid_out(spark):
+    key = spark.createDataFrame([("j", "Q1", "a,d", 1.0), ("j", "2", "b", 2.0), ("j", "q02", "c", 2.0)], "job_id string, question string, answer string, points double")
+    sheets = [("j", "r1", 1, "1", "a", 1), ("j", "r1", 1, "1", "a,d", 2), ("j", "r1", 2, "Q2", "b", 2), ("j", "r2", 1, "Q1", "a,c,d", 1)]
+    got = grading.grade_job(spark.createDataFrame(sheets, "job_id string, response_id string, position int, question string, answer string, scanned int"), key, "scanned")
+    assert {(r["response_id"], r["score"], r["percent"]) for r in got["totals"].collect()} == {("r1", 3.0, 100.0), ("r2", 0.5, 16.67)}
+    slow = grading.response_totals(got["questions"]).collect()
+    assert {tuple(r) for r in slow} == {tuple(r) for r in got["totals"].collect()}
+    assert got["stats"].first()["mean_score"] == 1.75 and [r["question"] for r in got["refused"].collect()] == ["Q2"]
+    q = [("j", 1, "mcq", "Which?", [("a", "One"), ("b", "Two")], 2.0), ("j", 2, "fib", "The ____.", None, None), ("j", 3, "essay", "No section", None, 1.0), ("k", 1, "sa", None, None, 0.0)]
+    questions = spark.createDataFrame(q, "job string, question_number int, question_type string, question_text string, options array<struct<letter:string,text:string>>, points double")
+    nested = grading.sections(questions, "job")
+    assert {r["job"]: (r["total_questions"], r["total_points"], [(s["title"], [x["number"] for x in s["questions"]]) for s in r["sections"]]) for r in nested.collect()} == {
+        "j": (3, 4.0, [("Multiple Choice", [1]), ("Fill in the Blank", [2])]),
+        "k": (1, 0.0, [("Short Answer", [1])]),
+    }
+    assert [len(r["sections"][0]["questions"]) for r in grading.sections(questions.where("job = 'j'"), "job", by_type=False).collect()] == [2]
+    tests = nested.withColumn("name", F.lit("Quiz")).withColumn("description", F.lit(None).cast("string"))
+    words = spark.createDataFrame([("j", ["cat", "dog"])], "job string, words array<string>")
+    text = {r["job"]: r["text"] for r in grading.test_text(tests, "job", words).collect()}
+    assert text["j"].split("\n")[1:3] == ["  Quiz", "  Total Points: 4.0"]
+    assert "\n1. (2.0 pts) Which?\n    a. One\n    b. Two\n\n\nFill in the Blank\n" + "-" * 40 in text["j"] and text["j"].endswith("Word Bank\n" + "-" * 40 + "\ncat, dog\n")
+    assert "1. \n" in text["k"] and "Word Bank" not in text["k"]
+
+
+def test_a_campaign_sends_once(spark, tmp_path):
+    import pathlib
+
+    from marginalia.operators import external
+
+    outbox = tmp_path / "out"
+    outbox.mkdir()
+
+    def transport(address, subject, body, outbox=str(outbox)):
+        if "bad" in address:
+            raise ValueError("bounced")
+        with open(pathlib.Path(outbox) / address, "a") as f:
+            f.write(subject)
+
+    ready = spark.createDataFrame([("Ann", "ann@x", "S", "b"), ("Bob", "bad@x", "S", "b"), ("Ann", "ann@x", "S", "b")], "student_name string, email string, subject string, body string")
+    run = lambda at, **k: sorted((r["student_name"], r["status"], r["reason"]) for r in external.run_campaign(ready, str(tmp_path / "log"), "j", "student_html", at, transport, **k).collect())
+    assert run("2024-01-01 10:00:00", dry_run=True) == [("Ann", "DRY_RUN", None), ("Bob", "DRY_RUN", None)] and not list(outbox.iterdir())
+    assert run("2024-01-01 11:00:00") == [("Ann", "SENT", None), ("Bob", "FAILED", "bounced")]
+    assert run("2024-01-01 12:00:00") == [("Bob", "FAILED", "bounced")] and (outbox / "ann@x").read_text() == "S"
+    assert external.ledger(spark, str(tmp_path / "log")).count() == 5
+    students = spark.createDataFrame([("Ann",), ("Bob",), ("Cid",), ("Dee",)], "name string")
+    planned = people.planned(students, students.where("name = 'Ann'"), students, students, only=spark.createDataFrame([("ann",), ("BOB",), ("Dee",)], "name string"), skip=spark.createDataFrame([("dee",)], "name string"))
+    assert {tuple(r) for r in planned.collect()} == {("Ann", "already_sent"), ("Bob", "ready"), ("Cid", "skipped"), ("Dee", "skipped")}
+    subjects = spark.createDataFrame([("Given", "Essay", "student_pdf"), ("", "Essay", "student_pdf"), (None, None, "other")], "s string, a string, r string")
+    assert [r[0] for r in subjects.select(people.subject(F.col("s"), F.col("a"), F.col("r"))).collect()] == ["Given", "Your Feedback Report (PDF): Essay", "Your Report"]
+
+
+def test_services_plug_in(spark):
+    from marginalia.operators import external
+
+    rows = spark.createDataFrame([(1, b"abc"), (2, b""), (3, None)], "id int, content binary")
+
+    def pages(content):
+        if not content:
+            raise ValueError("empty")
+        return [content[:1], content[1:]]
+
+    got = {r["id"]: (r["pages"], r["pages_error"]) for r in external.called(rows, "content", "pages", "array<binary>", pages, wait=lambda s: None).collect()}
+    assert got[1] == ([bytearray(b"a"), bytearray(b"bc")], None) and got[2] == (None, "ValueError: empty") and got[3] == (None, None)
+
+    def listing(course, token):
+        at = int(token or 0)
+        return [{"item": f"{course}-{at}"}], (str(at + 1) if at < 2 else None)
+
+    courses = spark.createDataFrame([("c",), ("d",)], "course string")
+    assert sorted(tuple(r) for r in external.paged(courses, "course", listing, "item string").collect()) == [(c, f"{c}-{i}") for c in "cd" for i in range(3)]
+
+
+def test_purge_of_old_jobs(spark):
+    tables = {"jobs": spark.sql("select * from values ('a', timestamp_ntz'2020-01-01'), ('b', timestamp_ntz'2024-01-01') as t(id, created)"), "essays": spark.createDataFrame([(1, "a"), (2, "b")], "id long, job_id string")}
+    left, gone = store.purged(tables, {"jobs": [("essays", "job_id")]}, "jobs", "id", "created", "2024-02-01 00:00:00")
+    assert [r["id"] for r in left["essays"].collect()] == [2] and [r["id"] for r in gone.collect()] == ["a"]
