@@ -99,8 +99,8 @@ def suggest(names: DataFrame, roster: DataFrame, most: int = 5) -> DataFrame:
 
 
 def _alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(x, y): texts (column t) whose lengths and letters allow a ratio of
-    ``least``."""
+    """(x, y, bound): texts (column t) whose lengths and letters allow a ratio
+    of ``least``, and the highest that they allow."""
     labelled = lambda c: F.transform(F.split(c, ""), lambda x, i: F.concat(x, F.size(F.filter(F.slice(F.split(c, ""), 1, i + 1), lambda y: y == x)).cast("string")))
     held = right.select("t", F.length("t").alias("n"), labelled(F.col("t")).alias("ls"))
     asked = left.select("t", F.length("t").alias("n"), labelled(F.col("t")).alias("ls"))
@@ -114,13 +114,13 @@ def _alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     # with lengths n and m a pair needs o = ceil(least / 2 * (n + m)) letters in common; whatever m is,
     # o is at least ceil(least / (2 - least) * n), so the first n - o + 1 letters by rarity hold one of them
     spare = F.col("n") - F.ceil(F.col("n") * least / (2 - least) - 1e-9) + 1
-    first = lambda df: ranked(df).select("t", "n", "ls", F.explode(F.slice("by", F.lit(1), spare.cast("int"))).alias("l"))
-    x = first(asked).select(F.col("t").alias("x"), F.col("n").alias("nx"), F.col("ls").alias("lx"), "l")
-    y = first(held).select(F.col("t").alias("y"), F.col("n").alias("ny"), F.col("ls").alias("ly"), "l")
-    bound = F.least("nx", "ny") * 2 >= (F.col("nx") + F.col("ny")) * least - 1e-9
-    met = x.join(y, "l").where(bound).select("x", "y", "nx", "ny", "lx", "ly").distinct()
-    shared = F.size(F.array_intersect("lx", "ly"))
-    return met.where(shared * 2 >= (F.col("nx") + F.col("ny")) * least - 1e-9).select("x", "y")
+    first = lambda df: ranked(df).select("t", "n", "ls", F.slice("by", F.lit(1), spare.cast("int")).alias("by"))
+    x = first(asked).select(F.col("t").alias("x"), F.col("n").alias("nx"), F.col("ls").alias("lx"), F.col("by").alias("bx"), F.explode("by").alias("l"))
+    y = first(held).select(F.col("t").alias("y"), F.col("n").alias("ny"), F.col("ls").alias("ly"), F.col("by").alias("by"), F.explode("by").alias("l"))
+    # a pair counts where it meets first
+    met = x.join(y, "l").where((F.least("nx", "ny") * 2 >= (F.col("nx") + F.col("ny")) * least - 1e-9) & (F.get(F.array_intersect("bx", "by"), F.lit(0)) == F.col("l")))
+    best = F.size(F.array_intersect("lx", "ly")) * 2 / (F.col("nx") + F.col("ny"))
+    return met.select("x", "y", best.alias("bound")).where(F.col("bound") >= least - 1e-9)
 
 
 def fuzzy_match(names: DataFrame, roster: DataFrame, least: float = LEAST_RATIO) -> DataFrame:
@@ -132,15 +132,19 @@ def fuzzy_match(names: DataFrame, roster: DataFrame, least: float = LEAST_RATIO)
     aligned letters over all letters, so a pair that reaches it shares so many
     letters (counted with repeats) that, of each text's labelled letters in
     the order of their rarity, the first few must hold a common one; that one
-    is the join key, together with the length.  The letters shared in all are
-    counted before a pair is aligned."""
+    is the join key.  All letters that a pair shares bound its ratio: a name is
+    aligned with the row of its highest bound first, and then with those alone
+    whose bounds reach that ratio."""
     wanted = names.select("name", T.normal_name("name").alias("key")).distinct()
     people = roster.select("name_key", "full_name", "email", "position")
     mailed = people.where(F.coalesce("email", F.lit("")) != "")
     exact = wanted.join(mailed, wanted["key"] == mailed["name_key"]).select("name", "full_name", "email", F.lit(1.0).alias("score"))
     rest = wanted.join(exact.select("name"), "name", "left_anti").where("key <> ''").select("name", "key")
     keys, others = rest.select(F.col("key").alias("t")).distinct(), people.select(F.col("name_key").alias("t")).where("t <> ''").distinct()
-    pairs = _alike(keys, others, least).withColumn("score", ratio("x", "y")).where(F.col("score") >= least)
+    pairs = _alike(keys, others, least)
+    tops = pairs.groupBy("x").agg(F.max_by("y", F.struct("bound", "y")).alias("y"))
+    floors = tops.select("x", F.greatest(ratio("x", "y"), F.lit(least)).alias("floor"))
+    pairs = pairs.join(floors, "x").where(F.col("bound") >= F.col("floor") - 1e-9).withColumn("score", ratio("x", "y")).where(F.col("score") >= least)
     scored = rest.join(pairs, rest["key"] == pairs["x"]).join(people, F.col("y") == F.col("name_key"))
     best = scored.groupBy("name").agg(F.max_by(F.struct("full_name", "email", "score"), F.struct("score", -F.col("position"))).alias("m"))
     close = best.select("name", "m.full_name", "m.email", "m.score").where(F.coalesce("email", F.lit("")) != "")
