@@ -31,7 +31,11 @@ def identify_language(spark, docs, sf_dir):
 
 
 def drop_exact_copies(spark, docs, sf_dir):
-    """Of equal texts (A-Z folded) the row with the largest doc_id."""
+    """Of equal texts (A-Z folded) the row with the largest doc_id.
+
+    Null text counts as empty.  Repeated rows of the doc_id that stays all
+    stay; a null doc_id stays only where its text has no other.  No rows give
+    none."""
     judged = exactdedup.dedup_table(docs)
     gone = judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct().hint("merge")  # it grows with the corpus
     sha = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
@@ -39,7 +43,11 @@ def drop_exact_copies(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """Of each class of near-duplicates the row with the smallest doc_id."""
+    """Of each class of near-duplicates the row with the smallest doc_id.
+
+    Null text counts as empty, and texts without words are one class.
+    Repeated rows of the doc_id that stays all stay; a null doc_id counts as
+    the smallest.  No rows give none."""
     judged = orderhash.classes(docs)
     gone = judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct().hint("merge")  # it grows with the corpus
     hashed = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -49,7 +57,8 @@ def drop_near_copies(spark, docs, sf_dir):
 def cut_repeats(spark, docs, sf_dir):
     """Texts without byte strings that start in an earlier document.
 
-    Where a removed run ends inside a character, what is left of it goes too.
+    Null text counts as empty; rows of one doc_id don't cut each other.  No
+    rows give none.  Where a removed run ends inside a character, what is left of it goes too.
     Rows that keep no text go."""
     cut = bwtdedup.dedup(docs.select(*COLUMNS), ("lang", "source"))
     text = F.decode(F.col("kept"), "UTF-8")
@@ -60,7 +69,10 @@ def cut_repeats(spark, docs, sf_dir):
 
 def pack_sequences(spark, docs, sf_dir):
     """Pieces of token sequences of at most 2048 ids.  ``ids`` is base64 of
-    little-endian 32-bit ids."""
+    little-endian 32-bit ids.
+
+    A row without text is its closing id alone; repeated rows are each packed;
+    no rows give none."""
     pieces, places = packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), 2048, 0)
     return pieces.join(places, "uid").select("sequence_id", "offset", "doc_id", "piece", "start", "length", F.base64("ids").alias("ids"))
 
