@@ -659,6 +659,74 @@ def test_links_against_sql(spark):
     assert sorted(map(tuple, got), key=str) == want
 
 
+# Odd input for every operator
+
+CLASHES = ("size", "shard", "slot", "uid", "piece", "start", "length", "digest", "kept", "old", "norm", "salt", "hash", "id", "key", "class_id", "tid", "block", "row", "part", "term", "n", "carried", "held_out", "score", "ids", "host", "url", "_id")
+
+
+def _operators():
+    return {
+        "shards": lambda df: sharding.shard_by_bytes(df, 3),
+        "packing": lambda df: packing.pack(df, tokenizer_file("byte_bpe_50k.json"), 2048, 0)[0],
+        "exact": exactdedup.dedup_table,
+        "cut": bwtdedup.dedup,
+        "near": orderhash.classes,
+        "prints": imatch.edited_fingerprints,
+        "language": langid.identify,
+        "pieces": lambda df: pieces.encode_texts(df, tokenizer_file("piece_bpe_32k.model")),
+    }
+
+
+@pytest.mark.parametrize("name", sorted(_operators()))
+def test_long_texts_and_clashing_columns(spark, name):
+    rng = random.Random(11)
+    long = " ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(40_000))
+    rows = [(1, long), (2, long), (3, long[: len(long) // 2] + " changed " + long[len(long) // 2 :]), (4, "x" * 300_000), (5, "né 日本 " * 20_000), (6, None), (7, ""), (None, "short"), (8, "short"), (8, "short")]
+    df = spark.createDataFrame([(i, t, "aa") for i, t in rows], "doc_id long, text string, lang string")
+    odd = df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHES)])
+    operator = _operators()[name]
+    plain = operator(df)
+    keep = [c for c in plain.columns if c not in ("uid", "shard", "slot")]
+    got = sorted(map(str, operator(odd).select(keep).collect()))
+    assert got == sorted(map(str, plain.select(keep).collect()))
+    assert len(got) == len(rows) or name == "packing"
+    if name == "near":
+        of = {r["doc_id"]: r["class_id"] for r in plain.collect()}
+        assert of[1] == of[2] == of[3] == 1 and of[4] == 4
+    if name == "cut":
+        left = {r["doc_id"]: r["n_bytes"] - r["n_removed"] for r in plain.collect()}
+        assert left[1] == len(long) and left[2] == 0 and left[3] < 200
+
+
+def test_links_around_the_threshold(spark):
+    """All links of families whose members are more or less alike."""
+    rng = random.Random(12)
+    rows = []
+    for family in range(40):
+        base = [f"{rng.choice(WORDS)}{rng.randint(0, 999)}" for _ in range(250)]
+        for k in range(6):
+            words = list(base)
+            for _ in range(rng.randint(1, 9)):
+                words[rng.randrange(len(words))] = f"new{rng.randint(0, 10**6)}"
+            rows.append((family * 100 + k, " ".join(words)))
+    got = {r["doc_id"]: r["class_id"] for r in orderhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seqs = {i: orderhash.shingles(orderhash.word_hashes(t)) for i, t in rows}
+    ids = sorted(seqs)
+    links = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if a // 100 == b // 100 and orderhash.similarity(seqs[a], seqs[b]) >= 0.8]
+    assert len(links) > 100 and np.mean([got[a] == got[b] for a, b in links]) == 1.0
+    # and no class is larger than what links make
+    top = {i: i for i in ids}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a, b in links:
+        top[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {i: find(i) for i in ids}
+
+
 # The subpackage
 
 
