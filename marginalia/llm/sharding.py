@@ -78,9 +78,10 @@ def splitters(sized: DataFrame, targets: list[tuple[int, int]], total: int) -> l
     state = {t: ((None, 0, 2**63 - 1), 0) for t in range(len(targets))}
     while state:
         ranges = list(dict.fromkeys(r for r, _ in state.values()))
+        index = {r: i for i, r in enumerate(ranges)}
         hist = {r: g for r, g in _histogram(sized, ranges).groupby("range")}
         for t, (rng, before) in list(state.items()):
-            g = hist[ranges.index(rng)]
+            g = hist[index[rng]]
             place, tolerance = targets[t]
             ends = before + g["bytes"].cumsum().to_numpy()
             starts = ends - g["bytes"].to_numpy()

@@ -751,3 +751,77 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in df.collect()}
     gone = corpus_pipeline.identify_language(spark, df.limit(0), None)
     assert gone.count() == 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    import tokenizers
+
+    rng = random.Random(21)
+    letters = {"aa": "abcdefgh", "bb": "ijklmnop"}
+    word = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(rng.randint(3, 8)))
+    text = lambda lang, n: " ".join(word(lang) for _ in range(n))
+    rows = [(i, text(lang, rng.randint(20, 400)), lang) for i in range(60) for lang in [rng.choice(list(letters))]]
+    passage = text("aa", 14)
+    rows += [(100 + i, f"{text('aa', 50)} {passage} {text('aa', 50)}", "aa") for i in range(5)]
+    rows += [(200 + i, rows[i][1].upper() if i % 2 else rows[i][1], rows[i][2]) for i in range(8)]
+    rows += [(300 + i, f"{rows[i][1]} {word('aa')}", "aa") for i in range(10, 18)]
+    rows += [(400, "", "aa"), (401, None, "aa"), (402, "123 !", "bb"), (403, text("aa", 4000), None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+
+    def left(rows):
+        return sorted((i, t) for i, t in rows)
+
+    # languages: fewest phrases of the longest matches, weighed by what a phrase costs
+    sample = langid.labelled_sample(df)
+    parser = langid.CrossParser(sample)
+    count, has = parser.phrases([t or "" for _, t, _ in rows])
+    bits = count * np.array(parser.cost)[:, None]
+    share = 1 / (2.0 ** -np.minimum(bits - bits.min(axis=0), 1000)).sum(axis=0)
+    want = [(i, t) for (i, t, _), ok in zip(rows, has & (share >= corpus_pipeline.MIN_SCORE), strict=True) if ok]
+    steps = [left(want)]
+    # exact copies: the largest doc_id of each text
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    largest = {}
+    for i, t in want:
+        largest[lower(t)] = max(largest.get(lower(t), i), i)
+    want = [(i, t) for i, t in want if largest[lower(t)] == i]
+    steps.append(left(want))
+    # near copies: the smallest doc_id of each component
+    seqs, top = {i: orderhash.shingles(orderhash.word_hashes(t)) for i, t in want}, {i: i for i, _ in want}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a in seqs:
+        for b in seqs:
+            if a < b and orderhash.similarity(seqs[a], seqs[b]) >= 0.8:
+                top[max(find(a), find(b))] = min(find(a), find(b))
+    want = [(i, t) for i, t in want if find(i) == i]
+    steps.append(left(want))
+    want = [(int(i), kept.decode()) for i, _, _, _, kept in brute_force_cut(want) if kept]
+    steps.append(left(want))
+
+    docs, ids = corpus_pipeline.read(spark, str(tmp_path), "documents"), tokenizers.Tokenizer.from_file(str(tokenizer_file("byte_bpe_50k.json")))
+    for (name, stage), expected in zip(corpus_pipeline.STAGES[:-1], steps, strict=True):
+        docs = common.Scratch(spark).save(stage(spark, docs, str(tmp_path)))
+        assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == expected, name
+    assert len({len(s) for s in steps}) > 2 and sum(len(t) for _, t in steps[3]) < sum(len(t) for _, t in steps[2])
+
+    import base64
+
+    packed, room, pieces_of = corpus_pipeline.run(spark, str(tmp_path)).collect(), {}, {}
+    for r in packed:
+        room.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        pieces_of.setdefault(r["doc_id"], []).append((r["piece"], r["start"], np.frombuffer(base64.b64decode(r["ids"]), "<u4").tolist()))
+    for spans in room.values():
+        ends = np.cumsum([n for _, n in sorted(spans)])
+        assert [o for o, _ in sorted(spans)] == [0, *ends[:-1].tolist()] and ends[-1] <= 2048
+    for i, t in steps[3]:
+        mine = sorted(pieces_of.pop(i))
+        assert [x for _, _, part in mine for x in part] == [*ids.encode(t, add_special_tokens=False).ids, 0]
+    assert not pieces_of
