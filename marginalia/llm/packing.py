@@ -179,7 +179,9 @@ def pack(documents: DataFrame, vocabulary: str, length: int = 2048, end_id: int
 
     Null text counts as empty and gives the one id ``end_id``; a null doc_id
     stays null; repeated rows are packed each; an empty table gives empty
-    frames; columns beside doc_id and text are ignored.
+    frames; columns beside doc_id and text are ignored.  Pieces of one size
+    are placed in the order in which their group has them; which sequence each
+    gets may differ from run to run, how full they are doesn't depend on it.
     """
     scratch = Scratch(documents.sparkSession)
     pieces = scratch.save(tokenise(documents, vocabulary, length, end_id))
