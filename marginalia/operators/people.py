@@ -99,28 +99,43 @@ def suggest(names: DataFrame, roster: DataFrame, most: int = 5) -> DataFrame:
 
 
 def _alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(x, y, bound): texts (column t) whose lengths and letters allow a ratio
-    of ``least``, and the highest that they allow."""
+    """(x, y, floor, bound): texts (column t) whose lengths and letters allow a
+    ratio of ``floor`` (a column of ``left``, ``least`` or more), and the
+    highest that they allow."""
     labelled = lambda c: F.transform(F.split(c, ""), lambda x, i: F.concat(x, F.size(F.filter(F.slice(F.split(c, ""), 1, i + 1), lambda y: y == x)).cast("string")))
-    held = right.select("t", F.length("t").alias("n"), labelled(F.col("t")).alias("ls"))
-    asked = left.select("t", F.length("t").alias("n"), labelled(F.col("t")).alias("ls"))
+    held = right.select("t", F.length("t").alias("n"), labelled(F.col("t")).alias("ls"), F.lit(least).alias("floor"))
+    asked = left.select("t", F.length("t").alias("n"), labelled(F.col("t")).alias("ls"), "floor")
     # letters by rarity among those that are looked up in; a letter that none has comes first
     common = held.select(F.explode("ls").alias("l")).groupBy("l").agg(F.count(F.lit(1)).alias("c"))
 
     def ranked(df):
-        rows = df.select("t", "n", "ls", F.explode("ls").alias("l")).join(common, "l", "left")
-        return rows.groupBy("t", "n").agg(F.first("ls").alias("ls"), F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "l"))), lambda s: s["l"]).alias("by"))
-
-    # with lengths n and m a pair needs o = ceil(least / 2 * (n + m)) letters in common; whatever m is,
-    # o is at least ceil(least / (2 - least) * n), so the first n - o + 1 letters by rarity hold one of them
-    spare = F.col("n") - F.ceil(F.col("n") * least / (2 - least) - 1e-9) + 1
-    first = lambda df: ranked(df).select("t", "n", "ls", F.slice("by", F.lit(1), spare.cast("int")).alias("by"))
-    x = first(asked).select(F.col("t").alias("x"), F.col("n").alias("nx"), F.col("ls").alias("lx"), F.col("by").alias("bx"), F.explode("by").alias("l"))
+        rows = df.select("t", "n", "ls", "floor", F.explode("ls").alias("l")).join(common, "l", "left")
+        return rows.groupBy("t", "n", "floor").agg(F.first("ls").alias("ls"), F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "l"))), lambda s: s["l"]).alias("by"))
+
+    # with lengths n and m a pair needs o = ceil(floor / 2 * (n + m)) letters in common; whatever m is,
+    # o is at least ceil(floor / (2 - floor) * n), so the first n - o + 1 letters by rarity hold one of them
+    spare = F.col("n") - F.ceil(F.col("n") * F.col("floor") / (2 - F.col("floor")) - 1e-9) + 1
+    first = lambda df: ranked(df).select("t", "n", "ls", "floor", F.slice("by", F.lit(1), spare.cast("int")).alias("by"))
+    x = first(asked).select(F.col("t").alias("x"), F.col("n").alias("nx"), F.col("ls").alias("lx"), F.col("by").alias("bx"), "floor", F.explode("by").alias("l"))
     y = first(held).select(F.col("t").alias("y"), F.col("n").alias("ny"), F.col("ls").alias("ly"), F.col("by").alias("by"), F.explode("by").alias("l"))
     # a pair counts where it meets first
-    met = x.join(y, "l").where((F.least("nx", "ny") * 2 >= (F.col("nx") + F.col("ny")) * least - 1e-9) & (F.get(F.array_intersect("bx", "by"), F.lit(0)) == F.col("l")))
+    met = x.join(y, "l").where((F.least("nx", "ny") * 2 >= (F.col("nx") + F.col("ny")) * F.col("floor") - 1e-9) & (F.get(F.array_intersect("bx", "by"), F.lit(0)) == F.col("l")))
     best = F.size(F.array_intersect("lx", "ly")) * 2 / (F.col("nx") + F.col("ny"))
-    return met.select("x", "y", best.alias("bound")).where(F.col("bound") >= least - 1e-9)
+    return met.select("x", "y", "floor", best.alias("bound")).where(F.col("bound") >= F.col("floor") - 1e-9)
+
+
+def _near(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(x, y, score): texts (column t) that are equal once each has lost one
+    letter at most, and their ratio where it is ``least`` or more."""
+
+    def shorter(c):
+        n = F.length(c)
+        without = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, n))))
+        # a letter less, a pair's ratio is 2 (n - 1) / (2 n - 1) at most
+        return F.array_distinct(F.concat(F.array(F.xxhash64(c)), F.when((n - 1) * 2 >= (n * 2 - 1) * least - 1e-9, without).otherwise(F.array().cast("array<bigint>"))))
+
+    x, y = (df.select(F.col("t").alias(name), F.explode(shorter(F.col("t"))).alias("k")) for df, name in ((left, "x"), (right, "y")))
+    return x.join(y, "k").select("x", "y").distinct().withColumn("score", ratio("x", "y")).where(F.col("score") >= least)
 
 
 def fuzzy_match(names: DataFrame, roster: DataFrame, least: float = LEAST_RATIO) -> DataFrame:
@@ -128,23 +143,31 @@ def fuzzy_match(names: DataFrame, roster: DataFrame, least: float = LEAST_RATIO)
     has an e-mail, else by the highest ratio of at least ``least``; ties to
     the earlier row.  A match without an e-mail is no match.
 
-    Only pairs that can reach ``least`` are aligned.  The ratio is twice the
-    aligned letters over all letters, so a pair that reaches it shares so many
-    letters (counted with repeats) that, of each text's labelled letters in
-    the order of their rarity, the first few must hold a common one; that one
-    is the join key.  All letters that a pair shares bound its ratio: a name is
-    aligned with the row of its highest bound first, and then with those alone
-    whose bounds reach that ratio."""
+    Of most names the best is told by those that differ in one letter (of
+    either or of both): any other ratio is at most n / (n + 1) for a name of n
+    letters.  The rest is compared with all, with what it has found so far as
+    the least.  Only pairs that can reach that are aligned.  The ratio is twice
+    the aligned letters over all letters, so a pair that reaches it shares so
+    many letters (counted with repeats) that, of each text's labelled letters
+    in the order of their rarity, the first few must hold a common one; that
+    one is the join key.  All letters that a pair shares bound its ratio: a
+    name is aligned with the row of its highest bound first, and then with
+    those alone whose bounds reach that ratio."""
     wanted = names.select("name", T.normal_name("name").alias("key")).distinct()
     people = roster.select("name_key", "full_name", "email", "position")
     mailed = people.where(F.coalesce("email", F.lit("")) != "")
     exact = wanted.join(mailed, wanted["key"] == mailed["name_key"]).select("name", "full_name", "email", F.lit(1.0).alias("score"))
     rest = wanted.join(exact.select("name"), "name", "left_anti").where("key <> ''").select("name", "key")
     keys, others = rest.select(F.col("key").alias("t")).distinct(), people.select(F.col("name_key").alias("t")).where("t <> ''").distinct()
-    pairs = _alike(keys, others, least)
-    tops = pairs.groupBy("x").agg(F.max_by("y", F.struct("bound", "y")).alias("y"))
-    floors = tops.select("x", F.greatest(ratio("x", "y"), F.lit(least)).alias("floor"))
-    pairs = pairs.join(floors, "x").where(F.col("bound") >= F.col("floor") - 1e-9).withColumn("score", ratio("x", "y")).where(F.col("score") >= least)
+    near = _near(keys, others, least)
+    found = keys.join(near.groupBy(F.col("x").alias("t")).agg(F.max("score").alias("score")), "t", "left")
+    n = F.length("t")
+    unsettled = found.where(F.coalesce(F.col("score") <= n / (n + 1) + 1e-9, F.lit(True))).select("t", F.coalesce("score", F.lit(least)).alias("floor"))
+    far = _alike(unsettled, others, least)
+    tops = far.groupBy("x").agg(F.max_by("y", F.struct("bound", "y")).alias("y"))
+    floors = tops.select("x", ratio("x", "y").alias("reached"))
+    far = far.join(floors, "x").where(F.col("bound") >= F.greatest("floor", "reached") - 1e-9).select("x", "y", ratio("x", "y").alias("score")).where(F.col("score") >= least)
+    pairs = near.unionByName(far)
     scored = rest.join(pairs, rest["key"] == pairs["x"]).join(people, F.col("y") == F.col("name_key"))
     best = scored.groupBy("name").agg(F.max_by(F.struct("full_name", "email", "score"), F.struct("score", -F.col("position"))).alias("m"))
     close = best.select("name", "m.full_name", "m.email", "m.score").where(F.coalesce("email", F.lit("")) != "")

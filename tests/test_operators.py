@@ -376,3 +376,26 @@ def test_purge_of_old_jobs(spark):
     tables = {"jobs": spark.sql("select * from values ('a', timestamp_ntz'2020-01-01'), ('b', timestamp_ntz'2024-01-01') as t(id, created)"), "essays": spark.createDataFrame([(1, "a"), (2, "b")], "id long, job_id string")}
     left, gone = store.purged(tables, {"jobs": [("essays", "job_id")]}, "jobs", "id", "created", "2024-02-01 00:00:00")
     assert [r["id"] for r in left["essays"].collect()] == [2] and [r["id"] for r in gone.collect()] == ["a"]
+
+
+def test_fuzzy_match_of_serial_and_of_short_names(spark):
+    import difflib
+    import itertools
+
+    texts = [f"serial#{i:05d}" for i in range(0, 300, 3)] + ["".join(t) for n in (1, 2, 3, 5) for t in itertools.product("ab", repeat=n)]
+    roster = [(t, t, "e", i) for i, t in enumerate(texts)]
+    names = [f"serial#{i // 100:04d}{i % 10}" for i in range(0, 300, 7)] + ["ab", "abab", "babbab", "aaaaaaa", "c"]
+    score = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+    want = {}
+    for x in names:
+        r, i = max((score(x, y), -i) for i, y in enumerate(texts))
+        if r >= 0.8:
+            want[x] = (texts[-i], round(r, 9))
+    frame = spark.createDataFrame([(x,) for x in names], "name string")
+    got = people.fuzzy_match(frame, spark.createDataFrame(roster, "name_key string, full_name string, email string, position long")).collect()
+    assert {r["name"]: (r["full_name"], round(r["score"], 9)) for r in got} == want and len(got) == len(want)
+    # one letter less tells all pairs that one letter parts, and only these are aligned
+    keys = lambda rows: spark.createDataFrame([(t,) for t in rows], "t string")
+    fewer = lambda t: {t} | {t[:i] + t[i + 1 :] for i in range(len(t))}
+    near = {(r["x"], r["y"]) for r in people._near(keys(sorted(set(names))), keys(texts), 0.8).collect()}
+    assert near == {(x, y) for x in names for y in texts if fewer(x) & fewer(y) and score(x, y) >= 0.8}
