@@ -5,7 +5,7 @@
    its grams.  Equal windows have equal names, so a name that occurs in one
    text alone rules out all its windows.
 3. Around the remaining names, segments that hold just their windows go to
-   buckets by name, each distinct one of a block once.
+   buckets by name, each distinct one of a lot of blocks once.
 4. In a bucket, shards of distinct segments get their transforms, and these
    are merged by interleave refinement: round h orders all suffixes by h
    symbols from the transforms alone, without sorting suffixes again, and
@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 
 import numpy as np
@@ -33,6 +34,8 @@ LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
 #: Bytes of a block; names of a bucket; suffixes of a shard; windows of a segment.
 BLOCK_BYTES, BUCKET_NAMES, SHARD_SUFFIXES, SEGMENT_WINDOWS = 1 << 20, 1 << 17, 1 << 17, 64
+#: Blocks that send a bucket one row in common: rows are as many as lots times buckets.
+LOT_BLOCKS = 16
 
 
 def _hashes(body: np.ndarray) -> np.ndarray:
@@ -203,6 +206,11 @@ def _body(row) -> tuple[np.ndarray, np.ndarray, bytes]:
     return np.frombuffer(row.ids, np.int64), np.frombuffer(row.lengths, np.int64), raw
 
 
+def _lots(batches):
+    """(lot, blocks) of blocks of one lot that follow each other."""
+    return itertools.groupby((r for pdf in batches for r in pdf.itertuples()), lambda r: r.block // LOT_BLOCKS)
+
+
 def dedup(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """What is left of each text without repeated strings.
 
@@ -245,8 +253,9 @@ def dedup(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         return (name // np.uint64(span)).astype(np.int64) if span < 2**64 else np.zeros(len(name), np.int64)
 
     def names(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
+        for lot, blocks_of in _lots(batches):
+            lows, homes, several, sizes = [], [], [], np.zeros(LOT_BLOCKS, np.int64)
+            for r in sorted(blocks_of, key=lambda r: r.block):
                 ids, lengths, raw = _body(r)
                 _, name, text = window_names(np.frombuffer(raw, np.uint8), lengths)
                 at = _runs(name, text)
@@ -254,94 +263,132 @@ def dedup(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                 by = np.lexsort((owner, name))
                 name, owner = name[by], owner[by]
                 head = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else at
-                if not len(head):
-                    continue
-                several = np.minimum.reduceat(owner, head) != np.maximum.reduceat(owner, head)
-                name = name[head]
-                bucket = bucket_of(name)
-                cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                low = name.astype(np.uint32)
-                ends = np.r_[cut[1:], len(name)]
-                yield pd.DataFrame(
-                    {
-                        "bucket": bucket[cut],
-                        "block": r.block,
-                        "low": [low[a:b].tobytes() for a, b in zip(cut, ends, strict=True)],
-                        "several": [np.packbits(several[a:b]).tobytes() for a, b in zip(cut, ends, strict=True)],
-                    }
-                )
+                sizes[r.block % LOT_BLOCKS] = len(head)
+                if len(head):
+                    several.append(np.minimum.reduceat(owner, head) != np.maximum.reduceat(owner, head))
+                    lows.append(name[head].astype(np.uint32))
+                    homes.append(bucket_of(name[head]))
+            if not lows:
+                continue
+            low, home, several = np.concatenate(lows), np.concatenate(homes), np.concatenate(several)
+            by = np.argsort(home, kind="stable")
+            low, home, several, block = low[by], home[by], several[by], np.repeat(np.arange(LOT_BLOCKS), sizes)[by]
+            cut = np.flatnonzero(np.r_[True, home[1:] != home[:-1]])
+            ends = np.r_[cut[1:], len(home)]
+            counts = np.bincount(np.repeat(np.arange(len(cut)), ends - cut) * LOT_BLOCKS + block, minlength=len(cut) * LOT_BLOCKS).astype(np.uint32).reshape(-1, LOT_BLOCKS)
+            yield pd.DataFrame(
+                {
+                    "bucket": home[cut],
+                    "lot": lot,
+                    "counts": [c.tobytes() for c in counts],
+                    "low": [low[a:b].tobytes() for a, b in zip(cut, ends, strict=True)],
+                    "several": [np.packbits(several[a:b]).tobytes() for a, b in zip(cut, ends, strict=True)],
+                }
+            )
 
     def shared(pdf: pd.DataFrame) -> pd.DataFrame:
         lows = [np.frombuffer(x, np.uint32) for x in pdf["low"]]
         several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(low)).astype(bool) for x, low in zip(pdf["several"], lows, strict=True)]
         every = np.sort(np.concatenate(lows))
         known = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[low[s] for low, s in zip(lows, several, strict=True)]]))
-        kept = [low[known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low].tobytes() if len(known) else b"" for low in lows]
-        out = pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "low": kept})
+        kept, counts = [], []
+        for low, sizes in zip(lows, pdf["counts"], strict=True):
+            sizes = np.frombuffer(sizes, np.uint32)
+            hit = known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low if len(known) else np.zeros(len(low), bool)
+            kept.append(low[hit].tobytes())
+            counts.append(np.bincount(np.repeat(np.arange(LOT_BLOCKS), sizes)[hit], minlength=LOT_BLOCKS).astype(np.uint32).tobytes())
+        out = pd.DataFrame({"lot": pdf["lot"], "bucket": pdf["bucket"], "counts": counts, "low": kept})
         return out[out["low"].str.len() > 0]
 
-    named = blocks.select("block", "ids", "lengths", "body").mapInPandas(names, "bucket long, block long, low binary, several binary")
-    screened = scratch.save(named.groupBy("bucket").applyInPandas(shared, "block long, bucket long, low binary"))
-    wanted = screened.groupBy("block").agg(F.collect_list(F.struct("bucket", "low")).alias("wanted"))
+    def by_block(pdf: pd.DataFrame) -> list[np.ndarray]:
+        """A lot's remaining names, with their buckets, of each block in order."""
+        if not len(pdf):
+            return [np.array([], np.uint64)] * LOT_BLOCKS
+        counts = np.stack([np.frombuffer(c, np.uint32) for c in pdf["counts"]]).astype(np.int64)
+        home = np.repeat(pdf["bucket"].to_numpy().astype(np.uint64), counts.sum(axis=1))
+        key = (home << np.uint64(32)) | np.frombuffer(b"".join(pdf["low"]), np.uint32).astype(np.uint64)
+        block = np.repeat(np.tile(np.arange(LOT_BLOCKS, dtype=np.uint8), len(counts)), counts.ravel())
+        by = np.argsort(block, kind="stable")
+        return [np.sort(k) for k in np.split(key[by], np.cumsum(counts.sum(axis=0))[:-1])]
+
+    named = blocks.select("block", "ids", "lengths", "body").mapInPandas(names, "bucket long, lot long, counts binary, low binary, several binary")
+    screened = scratch.save(named.groupBy("bucket").applyInPandas(shared, "lot long, bucket long, counts binary, low binary"))
+
+    def segments(lot, bodies: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        columns = ["bucket", "lot", "lens", "segs", "names", "least", "place", "begin", "of", "own"]
+        copied = asked["bucket"].isna()
+        keys, gone = by_block(asked[~copied]), asked[copied]
+        index: dict[bytes, int] = {}
+        whiches, homes, lows, begins, owns, sizes = [], [], [], [], [], np.zeros(LOT_BLOCKS, np.int64)
+        for r in bodies.sort_values("block").itertuples():
+            key = keys[r.block % LOT_BLOCKS]
+            if not len(key):
+                continue
+            ids, lengths, raw = _body(r)
+            start, name, text = window_names(np.frombuffer(raw, np.uint8), lengths)
+            at = _runs(name, text)
+            stop = np.r_[at[1:], len(name)]
+            name = mixed(name[at])
+            bucket, low = bucket_of(name), name.astype(np.uint32)
+            own = (bucket.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)
+            hit = key[np.minimum(np.searchsorted(key, own), len(key) - 1)] == own
+            hit &= ~np.isin(text[at], gone.loc[gone["of"] == r.block % LOT_BLOCKS, "row"].to_numpy(np.int64))
+            at, stop, bucket, low = at[hit], stop[hit], bucket[hit], low[hit]
+            # long runs (of text that repeats itself) in parts
+            parts = -(-(stop - at) // SEGMENT_WINDOWS)
+            part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            at = np.repeat(at, parts) + part * SEGMENT_WINDOWS
+            begin = start[at]
+            end = begin + np.minimum(SEGMENT_WINDOWS, np.repeat(stop, parts) - at) + LENGTH - 1
+            whiches.append(np.array([index.setdefault(raw[x:y], len(index)) for x, y in zip(begin.tolist(), end.tolist(), strict=True)], np.int64))
+            homes.append(np.repeat(bucket, parts))
+            lows.append(np.repeat(low, parts))
+            begins.append(begin.astype(np.int32))
+            owns.append(ids[text[at]])
+            sizes[r.block % LOT_BLOCKS] = len(at)
+        if not index:
+            return pd.DataFrame([], columns=columns)
+        which, begin, own = np.concatenate(whiches), np.concatenate(begins), np.concatenate(owns)
+        block = np.repeat(np.arange(LOT_BLOCKS, dtype=np.uint8), sizes)
+        n = len(index)
+        least = np.full(n, 2**63 - 1, np.int64)
+        np.minimum.at(least, which, own)
+        home, key = np.empty(n, np.int64), np.empty(n, np.uint32)
+        home[which], key[which] = np.concatenate(homes), np.concatenate(lows)
+        order = np.argsort(home, kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        segs = list(index)
+        uses = np.argsort(place[which], kind="stable")  # occurrences by bucket
+        cut = np.flatnonzero(np.r_[True, home[order][1:] != home[order][:-1]])
+        use_cut = np.searchsorted(place[which][uses], cut)
+        rows = []
+        for a, b, c, d in zip(cut.tolist(), [*cut[1:].tolist(), n], use_cut.tolist(), [*use_cut[1:].tolist(), len(uses)], strict=True):
+            mine, used = order[a:b], uses[c:d]
+            here = [segs[i] for i in mine.tolist()]
+            rows.append(
+                (
+                    int(home[mine[0]]),
+                    int(lot[0]),
+                    bytes(map(len, here)),
+                    b"".join(here),
+                    key[mine].tobytes(),
+                    least[mine].tobytes(),
+                    (place[which[used]] - a).astype(np.int32).tobytes(),
+                    begin[used].tobytes(),
+                    block[used].tobytes(),
+                    own[used].tobytes(),
+                )
+            )
+        return pd.DataFrame(rows, columns=columns)
 
-    def segments(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                ids, lengths, raw = _body(r)
-                start, name, text = window_names(np.frombuffer(raw, np.uint8), lengths)
-                at = _runs(name, text)
-                stop = np.r_[at[1:], len(name)]
-                name = mixed(name[at])
-                bucket, low = bucket_of(name), name.astype(np.uint32)
-                key = np.sort(np.concatenate([(np.uint64(w["bucket"]) << np.uint64(32)) | np.frombuffer(w["low"], np.uint32).astype(np.uint64) for w in r.wanted]))
-                own = (bucket.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)
-                hit = key[np.minimum(np.searchsorted(key, own), len(key) - 1)] == own
-                if r.skipped is not None:
-                    hit &= ~np.isin(text[at], np.asarray(r.skipped, np.int64))
-                at, stop, bucket, low = at[hit], stop[hit], bucket[hit], low[hit]
-                if not len(at):
-                    continue
-                # long runs (of text that repeats itself) in parts
-                parts = -(-(stop - at) // SEGMENT_WINDOWS)
-                part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-                bucket, low = np.repeat(bucket, parts), np.repeat(low, parts)
-                at = np.repeat(at, parts) + part * SEGMENT_WINDOWS
-                begin = start[at]
-                end = begin + np.minimum(SEGMENT_WINDOWS, np.repeat(stop, parts) - at) + LENGTH - 1
-                index: dict[bytes, int] = {}
-                which = np.array([index.setdefault(raw[x:y], len(index)) for x, y in zip(begin.tolist(), end.tolist(), strict=True)], np.int64)
-                n = len(index)
-                least = np.full(n, 2**63 - 1, np.int64)
-                np.minimum.at(least, which, ids[text[at]])
-                home, key = np.empty(n, np.int64), np.empty(n, np.uint32)
-                home[which], key[which] = bucket, low
-                order = np.argsort(home, kind="stable")
-                place = np.empty(n, np.int64)
-                place[order] = np.arange(n)
-                segs = list(index)
-                uses = np.argsort(place[which], kind="stable")  # occurrences by bucket
-                cut = np.flatnonzero(np.r_[True, home[order][1:] != home[order][:-1]])
-                use_cut = np.searchsorted(place[which][uses], cut)
-                rows = []
-                for a, b, c, d in zip(cut.tolist(), [*cut[1:].tolist(), n], use_cut.tolist(), [*use_cut[1:].tolist(), len(uses)], strict=True):
-                    mine, used = order[a:b], uses[c:d]
-                    own = [segs[i] for i in mine.tolist()]
-                    occ = np.stack([place[which[used]] - a, begin[used], text[at[used]]], axis=1)
-                    rows.append(
-                        (
-                            int(home[mine[0]]),
-                            r.block,
-                            bytes(map(len, own)),
-                            b"".join(own),
-                            key[mine].tobytes(),
-                            least[mine].tobytes(),
-                            occ.astype(np.int32).tobytes(),
-                        )
-                    )
-                yield pd.DataFrame(rows, columns=["bucket", "block", "lens", "segs", "names", "least", "occ"])
-
-    asked = blocks.select("block", "ids", "lengths", "body").join(wanted, "block").join(skipped, "block", "left")
-    found = scratch.save(asked.mapInPandas(segments, "bucket long, block long, lens binary, segs binary, names binary, least binary, occ binary"))
+    lot = F.expr(f"block div {LOT_BLOCKS}")
+    asked = screened.select("lot", "bucket", "counts", "low", F.lit(None).cast("int").alias("of"), F.lit(None).cast("long").alias("row")).unionByName(
+        copies.select(lot.alias("lot"), F.expr(f"cast(block % {LOT_BLOCKS} as int)").alias("of"), "row"), allowMissingColumns=True
+    )
+    bodies = blocks.select(lot.alias("lot"), "block", "ids", "lengths", "body")
+    sent = "bucket long, lot long, lens binary, segs binary, names binary, least binary, place binary, begin binary, of binary, own binary"
+    found = scratch.save(bodies.groupBy("lot").cogroup(asked.groupBy("lot")).applyInPandas(segments, sent))
 
     scratch.drop(screened)
 
@@ -379,12 +426,31 @@ def dedup(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             counts.append(per.astype(np.uint8).tobytes())
             sizes.append(runs[pick].tobytes())
             firsts.append(owner[pick].tobytes())
-        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "counts": counts, "sizes": sizes, "owners": firsts})
-
-    judged = found.select("bucket", "block", "lens", "segs", "names", "least").groupBy("bucket").applyInPandas(owners, "block long, bucket long, counts binary, sizes binary, owners binary")
-    answers = found.select("block", "bucket", "occ").join(judged, ["block", "bucket"]).groupBy("block").agg(F.collect_list(F.struct("occ", "counts", "sizes", "owners")).alias("answers"))
+        return pd.DataFrame({"lot": pdf["lot"], "bucket": pdf["bucket"], "counts": counts, "sizes": sizes, "owners": firsts})
+
+    def placed(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Runs of windows that go, by block: where they begin, and how many."""
+        whole = lambda c, kind: np.frombuffer(b"".join(pdf[c]), kind)
+        counts, sizes, least = whole("counts", np.uint8).astype(np.int64), whole("sizes", np.uint8).astype(np.int64), whole("owners", np.int64)
+        segments_of, uses_of = pdf["counts"].str.len().to_numpy(), pdf["of"].str.len().to_numpy()
+        place = whole("place", np.int32) + np.repeat(np.cumsum(segments_of) - segments_of, uses_of)
+        run0 = np.cumsum(counts) - counts
+        per = counts[place]
+        run = np.repeat(run0[place] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+        inside = np.cumsum(sizes) - sizes  # windows before each run, over all segments
+        older = least[run] < np.repeat(whole("own", np.int64), per)
+        at = (np.repeat(whole("begin", np.int32) - inside[run0[place]], per) + inside[run])[older].astype(np.int32)
+        size, block = sizes[run[older]].astype(np.uint8), np.repeat(whole("of", np.uint8), per)[older]
+        by = np.argsort(block, kind="stable")
+        at, size, cuts = at[by], size[by], np.searchsorted(block[by], np.arange(LOT_BLOCKS + 1))
+        rows = [(int(pdf["lot"].iloc[0]) * LOT_BLOCKS + i, at[a:b].tobytes(), size[a:b].tobytes()) for i, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)) if a < b]
+        return pd.DataFrame(rows, columns=["block", "at", "sizes"])
+
+    judged = found.select("bucket", "lot", "lens", "segs", "names", "least").groupBy("bucket").applyInPandas(owners, "lot long, bucket long, counts binary, sizes binary, owners binary")
+    answers = found.select("lot", "bucket", "place", "begin", "of", "own").join(judged, ["lot", "bucket"]).groupBy("lot").applyInPandas(placed, "block long, at binary, sizes binary")
     answers = scratch.save(answers)
     scratch.drop(found)
+
     def cut(batches):
         for pdf in batches:
             for r in pdf.itertuples():
@@ -392,17 +458,10 @@ def dedup(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                 ends = np.cumsum(lengths)
                 begin = ends - lengths
                 edge = np.zeros(len(raw) + 1, np.int32)
-                for a in r.answers if r.answers is not None else ():
-                    occ = np.frombuffer(a["occ"], np.int32).reshape(-1, 3).astype(np.int64)
-                    counts, sizes, least = np.frombuffer(a["counts"], np.uint8).astype(np.int64), np.frombuffer(a["sizes"], np.uint8).astype(np.int64), np.frombuffer(a["owners"], np.int64)
-                    run0 = np.cumsum(counts) - counts
-                    per = counts[occ[:, 0]]
-                    run = np.repeat(run0[occ[:, 0]] - (np.cumsum(per) - per), per) + np.arange(per.sum())
-                    inside = np.cumsum(sizes) - sizes  # windows before each run, over all segments
-                    at = np.repeat(occ[:, 1], per) + inside[run] - np.repeat(inside[run0[occ[:, 0]]], per)
-                    older = least[run] < ids[np.repeat(occ[:, 2], per)]
-                    np.add.at(edge, at[older], 1)
-                    np.add.at(edge, at[older] + sizes[run[older]] + LENGTH - 1, -1)
+                if r.at is not None:
+                    at = np.frombuffer(r.at, np.int32)
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + np.frombuffer(r.sizes, np.uint8).astype(np.int64) + LENGTH - 1, -1)
                 covered = np.cumsum(edge[:-1]) > 0
                 for i in np.asarray(r.skipped if r.skipped is not None else [], np.int64):
                     covered[begin[i] : ends[i]] = lengths[i] >= LENGTH

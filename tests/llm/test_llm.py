@@ -312,6 +312,24 @@ def test_merge_of_transforms_against_sorting():
         assert w.tolist() == [least[s[k : k + 10]] for k in range(len(s) - 9)]
 
 
+def test_cut_sends_a_row_for_a_lot_and_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(bwtdedup, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(bwtdedup, "BUCKET_NAMES", 50)
+    rng, saved = random.Random(3), []
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(90)) for _ in range(40)]
+    rows = [(i, rng.choice(base)[rng.randint(0, 9) :] + str(i) + rng.choice(base)) for i in range(300)]
+    keep = common.Scratch.save
+    monkeypatch.setattr(common.Scratch, "save", lambda self, df: saved.append(out := keep(self, df)) or saved[-1])
+    monkeypatch.setattr(common.Scratch, "drop", lambda self, *tables: None)
+    got = bwtdedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == brute_force_cut(rows)
+    blocks = saved[0].count()
+    sent = [t for t in saved if "bucket" in t.columns]
+    buckets = max(t.select("bucket").distinct().count() for t in sent)
+    assert blocks > 50 and buckets > 50 and len(sent) == 2
+    assert all(t.count() <= -(-blocks // 16) * buckets for t in sent)
+
+
 def test_cut_of_nothing(empty):
     assert bwtdedup.dedup(empty).count() == 0
 
